@@ -54,8 +54,8 @@ def fit_forest(df: DataFrame, features: list[str], key: str = "session_id", tree
     share = min(1.0, 4.0 * trees * sample / max(n, 1))
     rows = df.select(F.col(key).cast("string").alias("k"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
     thin = rows.filter(C.uniform(F.col("k"), "candidate") < share)
-    width = 8 if share < 1.0 else trees
-    # below full size a candidate serves 8 trees picked by its hash; small tables serve all
+    # with rows to spare a candidate serves 8 trees picked by its hash; small tables serve all
+    width = 8 if n * 8 >= 4 * trees * sample else trees
     if width == trees:
         tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
     else:

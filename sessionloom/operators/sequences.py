@@ -209,8 +209,11 @@ def rolling_entropy(values: Column) -> Column:
     low, high = F.array_min(values), F.array_max(values)
     bins = F.least(F.lit(6), F.greatest(F.lit(2), n))
     slots = F.transform(values, lambda v: C.equal_width_bin(v, low, high, bins))
-    counts = [F.size(F.filter(slots, lambda s, b=b: s == b)) for b in range(6)]
-    return C.bin_entropy(counts)
+    return C.bin_entropy([count_equal(slots, b) for b in range(6)])
+
+
+def count_equal(values: Column, item: int) -> Column:
+    return F.size(F.filter(values, lambda v: v == item))
 
 
 def remap_legacy_steps(df: DataFrame, column: str = "steps") -> DataFrame:

@@ -40,19 +40,26 @@ def time_gaps(
     chain = W.partitionBy(*keys).orderBy("_chunk")
     heads = (
         local.groupBy(*keys, "_chunk")
-        .agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max("_starts").alias("_inner"))
+        .agg(
+            F.min("_us").alias("_first"),
+            F.max("_us").alias("_last"),
+            F.max("_starts").alias("_inner"),
+            F.min("first_tie").alias("_tie"),
+        )
         .withColumn("_head_gap", F.col("_first") - F.lag("_last").over(chain))
         .withColumn("_opens", F.when(F.col("_head_gap") <= limit, 0).otherwise(1))
         .withColumn(
             "_base",
             F.sum(F.col("_opens") + F.col("_inner")).over(chain.rowsBetween(W.unboundedPreceding, 0)) - F.col("_inner"),
         )
-        .select(*keys, "_chunk", "_head_gap", "_base")
+        .select(*keys, "_chunk", "_head_gap", "_base", "_tie")
     )
+    # reading _tie (never above first_tie) keeps the columns of both branches equal, so
+    # Spark reuses one shuffle of the instants for the summary and for the detail
     out = local.join(heads, [*keys, "_chunk"]).select(
         *keys,
         time,
-        "first_tie",
+        F.greatest("first_tie", "_tie").alias("first_tie"),
         F.coalesce("_step", "_head_gap").alias("gap_us"),
         (F.col("_base") + F.col("_starts")).alias("session_index"),
     )
