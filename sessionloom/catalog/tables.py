@@ -408,7 +408,7 @@ def rank_sql(value: str) -> str:
     prof(f"SELECT session_id, round_even(10.0 * {rank_sql('requests_per_minute')} / count(*) OVER (), 0)::INT AS decile FROM sc"),
 )
 def _(spark, folder):
-    return ranks.decile_strata(profiled(spark, folder), "requests_per_minute", "session_id", "decile").select("session_id", "decile")
+    return ranks.decile_strata(profiled(spark, folder), {"requests_per_minute": "decile"}, "session_id").select("session_id", "decile")
 
 
 @query(
@@ -424,7 +424,7 @@ def _(spark, folder):
     prof(f"SELECT session_id, greatest(1, ceil(({rank_sql('click_count')} - 1) * 5.0 / (count(*) OVER () - 1)))::INT AS bin FROM sc"),
 )
 def _(spark, folder):
-    return ranks.frequency_strata(profiled(spark, folder), "click_count", "session_id", "bin").select("session_id", "bin")
+    return ranks.frequency_strata(profiled(spark, folder), {"click_count": "bin"}, "session_id").select("session_id", "bin")
 
 
 @query("win12_ordinal_reindex", f"WITH {MOVES} SELECT session_id, ordinal - 1 AS movement_index, {R('x')} AS x FROM mv0")

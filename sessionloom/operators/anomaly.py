@@ -16,6 +16,9 @@ from pyspark.sql import Window as W
 
 from sessionloom.functions import columns as C
 from sessionloom.plans.cuts import quantiles
+from sessionloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, size int"
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import columns as C
 from sessionloom.operators.structure import align_schema
-from sessionloom.plans.chunks import ordered_points, ranked
+from sessionloom.plans.chunks import ordered_points, ranked, running_total
 from sessionloom.plans.cuts import at_or_before, rank_cuts
+from sessionloom.session import materialise
 
 
 def motion_features(moves: DataFrame, key: str = "session_id", tie: str = "tie") -> DataFrame:
@@ -71,7 +72,8 @@ def largest_remainder(df: DataFrame, weight: str, total: int, key: str, name: st
     # fractions equal up to rounding noise must tie, so they are compared at 9 decimals
     based = df.withColumns({"_floor": F.floor(raw), "_frac": -F.round(raw - F.floor(raw), 9)})
     left = total - int(based.agg(F.sum("_floor")).first()[0])
-    cut = rank_cuts(based, "_frac", key, [left])[0] if left > 0 else None
+    base = based.select(F.lit("all").alias("g"), F.col("_frac").alias("v"), F.col(key).cast("string").alias("k"))
+    cut = rank_cuts(base, ranks={"all": [left]})["all"][0] if left > 0 else None
     extra = at_or_before(F.col("_frac"), F.col(key), cut).cast("long") if cut else F.lit(0)
     return based.withColumn(name, F.col("_floor") + extra).drop("_floor", "_frac")
 
@@ -136,7 +138,8 @@ def sessions_from_traces(
     Requests are apportioned by the square root of the trace length (at least 20 each);
     duration, intervals and the start (7 minutes apart in id order) follow from motion.
     """
-    motion = motion_features(moves, tie=tie)
+    # apportioning scans the motion table several times
+    motion = materialise(motion_features(moves, tie=tie), "motion")
     motion = largest_remainder(
         motion.withColumn("_w", F.sqrt("total_movements")), "_w", request_total, "session_id", "_share"
     ).drop("_w")
@@ -186,8 +189,6 @@ def sessions_from_traces(
 
 def id_ordinals(df: DataFrame, key: str = "session_id", name: str = "_ordinal") -> DataFrame:
     """0-based position of every row in key order, two-level: prefix cells first, then inside a cell."""
-    from sessionloom.plans.chunks import running_total
-
     # range edges sampled from the ids keep cells small and in order
     edges = id_edges(df, key)
     cell = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(key))) if edges else F.lit(0)

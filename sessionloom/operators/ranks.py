@@ -23,25 +23,31 @@ def average_rank(df: DataFrame, value: str, name: str, pct: bool = False) -> Dat
     return df.join(table, value, "left")
 
 
-def decile_strata(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
+def decile_strata(df: DataFrame, values: dict[str, str], key: str, by: str | None = None) -> DataFrame:
     """Percentile rank (ties by key hash) rounded half-even to one decimal, as an int 0..10."""
-    n = df.filter(F.col(value).isNotNull()).count()
-    ranks = []
-    for d in range(10):
-        # largest r whose 10 r / n rounds half-even to at most d
-        r, rest = divmod(n * (2 * d + 1), 20)
-        ranks.append(r - 1 if rest == 0 and d % 2 else r)
-    return rank_slots(df, value, key, ranks, name)
 
+    def ranks(n: int) -> list[int]:
+        out = []
+        for d in range(10):
+            # largest r whose 10 r / n rounds half-even to at most d
+            r, rest = divmod(n * (2 * d + 1), 20)
+            out.append(r - 1 if rest == 0 and d % 2 else r)
+        return out
 
-def frequency_strata(df: DataFrame, value: str, key: str, name: str, bins: int = 5) -> DataFrame:
+    return rank_slots(df, values, key, ranks, by)
+
+
+def frequency_strata(df: DataFrame, values: dict[str, str], key: str, bins: int = 5) -> DataFrame:
     """Equal-frequency bins 1..q of the first-come rank, q = min(bins, distinct values).
 
     Bin b ends at rank 1 + floor(b (n-1) / q), the interpolated quantile edge.
     """
-    distinct = df.filter(F.col(value).isNotNull()).select(value).distinct().limit(bins).count()
-    n = df.filter(F.col(value).isNotNull()).count()
-    if distinct <= 1 or n < 2:
-        return df.withColumn(name, F.when(F.col(value).isNotNull(), F.lit(1)))
-    ranks = [1 + (b * (n - 1)) // distinct for b in range(1, distinct)]
-    return rank_slots(df, value, key, ranks, name).withColumn(name, F.col(name) + 1)
+    by_q: dict[int, dict[str, str]] = {}
+    for value, name in values.items():
+        q = df.filter(F.col(value).isNotNull()).select(value).distinct().limit(bins).count()
+        by_q.setdefault(max(q, 1), {})[value] = name
+    for q, part in by_q.items():
+        edges = lambda n, q=q: [1 + (b * (n - 1)) // q for b in range(1, q)] if n > 1 else []
+        df = rank_slots(df, part, key, edges)
+        df = df.withColumns({name: F.col(name) + 1 for name in part.values()})
+    return df

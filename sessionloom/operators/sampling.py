@@ -43,38 +43,35 @@ def stratified_sample(df: DataFrame, targets: dict[int, int], key: str = "sessio
     """Down-sample classes above their target, spread over decile strata of three features.
 
     A stratum gives max(1, round-half-even(target * share)) rows; the total is then trimmed
-    or topped up to the target by a second hash order.
+    or topped up to the target by a second hash order. All classes go through one plan.
     """
-    out = None
-    for label, n in sorted(class_sizes(df).items()):
-        group = df.filter(F.col("label") == label)
-        target = targets.get(int(label), n)
-        if n > target:
-            group = _stratified_class(group, n, target, key)
-        out = group if out is None else out.unionByName(group)
-    return out
-
-
-def _stratified_class(group: DataFrame, n: int, target: int, key: str) -> DataFrame:
-    columns = group.columns
-    strata = []
-    for i, feature in enumerate(("requests_per_minute", "session_duration_sec", "coordinate_entropy")):
-        group = decile_strata(group, feature, key, f"_s{i}")
-        strata.append(f"_s{i}")
-    group = group.withColumns({s: F.coalesce(F.col(s), F.lit(-1)) for s in strata})
-    share = F.rint(F.lit(float(target)) * F.col("_n") / n)
-    quota = group.groupBy(*strata).agg(F.count("*").alias("_n")).withColumn(
-        "take", F.least(F.col("_n"), F.greatest(F.lit(1.0), share)).cast("long")
-    )
-    picked = int(quota.agg(F.sum("take")).first()[0])
-    marked = flag_by_hash(group, strata, quota, key, "stratum")
-    chosen = marked.filter("taken").drop("taken")
-    if picked > target:
-        chosen = sample_n(chosen, target, key, "trim")
-    elif picked < target:
-        rest = marked.filter("not taken").drop("taken")
-        chosen = chosen.unionByName(sample_n(rest, target - picked, key, "topup"))
-    return chosen.select(*columns)
+    sizes = class_sizes(df)
+    large = {k: n for k, n in sizes.items() if n > targets.get(int(k), n)}
+    if not large:
+        return df.filter(F.col("label").isNotNull())
+    spark, kind = df.sparkSession, dict(df.dtypes)["label"]
+    group = df.filter(F.col("label").isin(*large))
+    names = {"requests_per_minute": "_s0", "session_duration_sec": "_s1", "coordinate_entropy": "_s2"}
+    marked = decile_strata(group, names, key, by="label")
+    strata = ["label", *names.values()]
+    marked = marked.withColumns({s: F.coalesce(F.col(s), F.lit(-1)) for s in names.values()})
+    goal = {k: targets[int(k)] for k in large}
+    table = spark.createDataFrame([(k, float(goal[k]), n) for k, n in large.items()], f"label {kind}, _goal double, _all long")
+    share = F.rint(F.col("_goal") * F.col("_n") / F.col("_all"))
+    quota = marked.groupBy(*strata).agg(F.count("*").alias("_n")).join(F.broadcast(table), "label")
+    quota = quota.withColumn("take", F.least(F.col("_n"), F.greatest(F.lit(1.0), share)).cast("long"))
+    picked = {r["label"]: r["n"] for r in quota.groupBy("label").agg(F.sum("take").alias("n")).collect()}
+    flagged = flag_by_hash(marked, strata, quota, key, "stratum")
+    limits = lambda rows: spark.createDataFrame(rows, f"label {kind}, take long")
+    chosen = flagged.filter("taken").drop("taken")
+    if any(picked[k] > goal[k] for k in large):
+        chosen = take_by_hash(chosen, ["label"], limits([(k, min(goal[k], picked[k])) for k in large]), key, "trim")
+    short = [(k, goal[k] - picked[k]) for k in large if picked[k] < goal[k]]
+    if short:
+        rest = flagged.filter("not taken").drop("taken")
+        chosen = chosen.unionByName(take_by_hash(rest, ["label"], limits(short), key, "topup"))
+    small = df.filter(~F.col("label").isin(*large))
+    return chosen.select(*df.columns).unionByName(small)
 
 
 def downsample_majority(df: DataFrame, key: str = "session_id") -> DataFrame:
@@ -90,8 +87,8 @@ def downsample_majority(df: DataFrame, key: str = "session_id") -> DataFrame:
     majority = max(sizes, key=lambda k: (sizes[k], -k))
     target = sizes[minority]
     big = df.filter(F.col("label") == majority)
-    for name, feature in (("_r", "requests_per_minute"), ("_d", "session_duration_sec"), ("_e", "coordinate_entropy")):
-        big = frequency_strata(big, feature, key, name)
+    names = {"requests_per_minute": "_r", "session_duration_sec": "_d", "coordinate_entropy": "_e"}
+    big = frequency_strata(big, names, key)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in ("data_source", "is_proxy", "_r", "_d", "_e")]
     big = big.withColumn("_stratum", F.concat_ws("|", *parts))
     quota = largest_remainder(big.groupBy("_stratum").agg(F.count("*").alias("_n")), "_n", target, "_stratum", "take")

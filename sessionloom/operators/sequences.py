@@ -203,17 +203,29 @@ def standardise_steps(df: DataFrame, scaler: DataFrame, column: str = "steps") -
     return df.withColumn(column, F.transform(column, scaled))
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use`` (a let-binding for array lambdas)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rolling_entropy(values: Column) -> Column:
     """Histogram entropy of a short array with min(6, max(2, n)) bins."""
-    n = F.size(values)
-    low, high = F.array_min(values), F.array_max(values)
-    bins = F.least(F.lit(6), F.greatest(F.lit(2), n))
-    slots = F.transform(values, lambda v: C.equal_width_bin(v, low, high, bins))
-    return C.bin_entropy([count_equal(slots, b) for b in range(6)])
+    span = F.struct(
+        values.alias("v"),
+        F.array_min(values).alias("lo"),
+        F.array_max(values).alias("hi"),
+        F.least(F.lit(6), F.greatest(F.lit(2), F.size(values))).alias("k"),
+    )
+
+    def slots(b: Column) -> Column:
+        return F.transform(b["v"], lambda v: C.equal_width_bin(v, b["lo"], b["hi"], b["k"]))
 
+    def entropy(found: Column) -> Column:
+        share = lambda i: F.size(F.filter(found, lambda s: s == i)) / F.size(found)
+        term = lambda p: F.when(p > 0, C.entropy_term(p, F.lit(1.0))).otherwise(0.0)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(5)), F.lit(0.0), lambda a, i: a + bind(share(i), term))
 
-def count_equal(values: Column, item: int) -> Column:
-    return F.size(F.filter(values, lambda v: v == item))
+    return bind(span, lambda b: bind(slots(b), entropy))
 
 
 def remap_legacy_steps(df: DataFrame, column: str = "steps") -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,15 +31,22 @@ def to_long(df: DataFrame, columns: list[str], by: str | None = None) -> DataFra
 
 
 def order_statistics(
-    long: DataFrame, ranks: dict[str, list[int]] | None = None, rank_of=None, limit: int = RANGE_LIMIT
+    long: DataFrame, ranks: dict[str, list[int]] | None = None, rank_of=None, limit: int = RANGE_LIMIT, keep: bool = True
 ) -> tuple[dict[tuple[str, int], tuple[float, int, int]], dict[str, int]]:
     """Exact values at 0-based ranks per group of a (g, v) frame.
 
     Give ``ranks`` per group, or ``rank_of(n) -> ranks`` when they depend on the group
     size. Returns {(g, rank): (value, rows below the value, rows equal to it)} and the
     group sizes. The groups must be few (columns x classes): their ranges are held on
-    the driver.
+    the driver. ``keep`` holds the narrow (g, v) rows on executor disk between the rounds,
+    so that what produced them runs once; lost blocks are recomputed.
     """
+    if keep:
+        long = long.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return order_statistics(long, ranks, rank_of, limit, keep=False)
+        finally:
+            long.unpersist()
     spark = long.sparkSession
     sizes = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count("*").alias("n")).collect()}
     wanted = {g: sorted(set(ranks.get(g, []) if ranks is not None else rank_of(n))) for g, n in sizes.items()}
@@ -176,41 +184,60 @@ def quantiles(
     return dict(out)
 
 
-def rank_cuts(df: DataFrame, value: str, key: str, ranks: list[int]) -> list[tuple[float, float, str] | None]:
-    """The (value, hash, key) triple at each 1-based rank of the order (value, hash(key), key).
+Cut = tuple[float, float, str]
 
-    Ties on the value are ordered by the key's hash, so a value shared by a third of the
-    rows is cut as evenly as any other. NULL values are not ranked.
+
+def rank_cuts(base: DataFrame, ranks: dict[str, list[int]] | None = None, rank_of=None) -> dict[str, list[Cut | None]]:
+    """The (value, hash, key) triples at 1-based ranks of the order (value, hash(key), key), per group.
+
+    ``base`` has columns g (group), v (value) and k (key); give ``ranks`` per group or
+    ``rank_of(n) -> ranks``. Ties on the value are ordered by the key's hash, so a value
+    shared by a third of the rows is cut as evenly as any other. NULL values are not ranked.
+    All groups share the same few passes.
     """
-    base = df.select(F.col(value).cast("double").alias("v"), F.col(key).cast("string").alias("k")).filter("v is not null")
-    found, sizes = order_statistics(base.select(F.lit("all").alias("g"), "v"), rank_of=lambda n: [r - 1 for r in ranks if 1 <= r <= n])
-    n = sizes.get("all", 0)
+    base = base.filter("v is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _rank_cuts(base, ranks, rank_of)
+    finally:
+        base.unpersist()
+
+
+def _rank_cuts(base: DataFrame, ranks, rank_of) -> dict[str, list[Cut | None]]:
+    spark = base.sparkSession
+    if rank_of is None:
+        lower = {g: [r - 1 for r in rs if r >= 1] for g, rs in ranks.items()}
+        found, sizes = order_statistics(base.select("g", "v"), ranks=lower, keep=False)
+        asked = ranks
+    else:
+        inside = lambda n: [r - 1 for r in rank_of(n) if 1 <= r <= n]
+        found, sizes = order_statistics(base.select("g", "v"), rank_of=inside, keep=False)
+        asked = {g: rank_of(n) for g, n in sizes.items()}
+    # per tied value: which positions inside the tie are sought
     inner: dict[str, list[int]] = defaultdict(list)
     place = {}
-    for r in ranks:
-        if 1 <= r <= n:
-            v, below, _ = found[("all", r - 1)]
-            inner[repr(v)].append(r - 1 - below)
-            place[r] = (v, r - 1 - below)
+    for (g, r), (v, below, _) in found.items():
+        tie = f"{g}\t{v!r}"
+        inner[tie].append(r - below)
+        place[(g, r + 1)] = (v, tie, r - below)
+    out: dict[str, list[Cut | None]] = {g: [None] * len(rs) for g, rs in asked.items()}
     if not place:
-        return [None for _ in ranks]
-    values = df.sparkSession.createDataFrame([(float(g), g) for g in inner], "v double, g string")
-    hashed = base.join(F.broadcast(values), "v").select("g", "k", stable_fraction(F.col("k")).alias("h"))
-    cuts, _ = order_statistics(hashed.select("g", F.col("h").alias("v")), ranks=dict(inner))
+        return out
+    values = spark.createDataFrame(
+        sorted({(g, v, tie) for (g, _), (v, tie, _) in place.items()}), "g string, v double, tie string"
+    )
+    hashed = base.join(F.broadcast(values), ["g", "v"]).select(F.col("tie").alias("g"), "k", stable_fraction(F.col("k")).alias("h"))
+    cuts, _ = order_statistics(hashed.select("g", F.col("h").alias("v")), ranks=dict(inner), keep=False)
     # rows sharing one 48-bit hash: order the handful by key
-    spots = {(g, h): None for (g, r), (h, _, _) in cuts.items()}
-    table = df.sparkSession.createDataFrame(list(spots), "g string, h double")
+    spots = sorted({(g, h) for (g, _), (h, _, _) in cuts.items()})
     shared = defaultdict(list)
-    for row in hashed.join(F.broadcast(table), ["g", "h"]).collect():
+    for row in hashed.join(F.broadcast(spark.createDataFrame(spots, "g string, h double")), ["g", "h"]).collect():
         shared[(row["g"], row["h"])].append(row["k"])
-    out = []
-    for r in ranks:
-        if r not in place:
-            out.append(None)
-            continue
-        v, within = place[r]
-        h, below, _ = cuts[(repr(v), within)]
-        out.append((v, h, sorted(shared[(repr(v), h)])[within - below]))
+    for g, rs in asked.items():
+        for i, r in enumerate(rs):
+            if (g, r) in place:
+                v, tie, within = place[(g, r)]
+                h, below, _ = cuts[(tie, within)]
+                out[g][i] = (v, h, sorted(shared[(tie, h)])[within - below])
     return out
 
 
@@ -225,19 +252,40 @@ def at_or_before(value: Column, key: Column, cut: tuple[float, float, str] | Non
     return F.coalesce((x < v) | ((x == v) & tie), F.lit(False))
 
 
-def rank_slots(df: DataFrame, value: str, key: str, ranks: list[int], name: str) -> DataFrame:
+def rank_slots(df: DataFrame, values: dict[str, str], key: str, rank_of, by: str | None = None) -> DataFrame:
     """Add the slot of each row between ascending rank cuts: 0 up to the first cut, and so on.
 
-    Slots come from literal cut values, so no row is shuffled. NULL values get a NULL slot.
+    ``values`` maps each ranked column to its slot name; ``by`` ranks inside classes (few).
+    Slots come from literal cut values, so no row is shuffled. A NULL value gets no slot.
     """
-    cuts = rank_cuts(df, value, key, ranks)
-    out = df.withColumn("_hk", stable_fraction(F.col(key).cast("string")))
-    slot = None
-    for i, cut in enumerate(cuts):
-        test = at_or_before(F.col(value), F.col(key), cut, F.col("_hk"))
-        slot = F.when(test, i) if slot is None else slot.when(test, i)
-    slot = F.lit(0) if slot is None else slot.otherwise(len(cuts))
-    return out.withColumn(name, F.when(F.col(value).isNotNull(), slot)).drop("_hk")
+    group = F.col(by).cast("string") if by else F.lit("")
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in values])
+    base = df.select(group.alias("grp"), F.col(key).cast("string").alias("k"), F.inline(cells))
+    base = base.filter("grp is not null").select(F.concat_ws("\t", "grp", "c").alias("g"), "v", "k")
+    cuts = rank_cuts(base, rank_of=rank_of)
+    slots = {}
+    for c, name in values.items():
+        arms = []
+        for g, triples in cuts.items():
+            grp, column = g.split("\t")
+            if column == c:
+                tests = " ".join(f"WHEN {_cut_sql(c, key, cut)} THEN {i}" for i, cut in enumerate(triples) if cut)
+                inner = f"CASE {tests} ELSE {len(triples)} END" if tests else str(len(triples))
+                arms.append(f"WHEN `{c}` IS NOT NULL AND {f'CAST(`{by}` AS STRING) = {_quoted(grp)}' if by else 'true'} THEN {inner}")
+        slots[name] = F.expr(f"CASE {' '.join(arms)} END") if arms else F.lit(None).cast("int")
+    return df.withColumn("_hk", stable_fraction(F.col(key).cast("string"))).withColumns(slots).drop("_hk")
+
+
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _cut_sql(column: str, key: str, cut: Cut) -> str:
+    """``at_or_before`` as text: hundreds of cuts parse faster than they chain through columns."""
+    v, h, k = cut
+    x, edge, hash_edge = f"CAST(`{column}` AS DOUBLE)", f"CAST('{v!r}' AS DOUBLE)", f"CAST('{h!r}' AS DOUBLE)"
+    return f"({x} < {edge} OR ({x} = {edge} AND (_hk < {hash_edge} OR (_hk = {hash_edge} AND CAST(`{key}` AS STRING) <= {_quoted(k)}))))"
 
 
 def flag_by_hash(

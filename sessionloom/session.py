@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +54,8 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_by_value(module: str) -> None:
+    """Pickle a module's functions by value, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

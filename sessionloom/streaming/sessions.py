@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.functions import columns as C
-from sessionloom.session import work_folder
+from sessionloom.session import ship_by_value, work_folder
+
+ship_by_value(__name__)
+EPSILON = C.ENTROPY_EPSILON
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -88,7 +91,7 @@ def interval_statistics(gaps: np.ndarray, counts: np.ndarray) -> tuple[float, fl
     slot = np.zeros(len(gaps), dtype=int) if low == high else np.minimum((gaps - low) / (high - low) * 10, 9).astype(int)
     p = np.bincount(slot, weights=counts, minlength=10) / n
     p = p[p > 0]
-    return mean / 1e6, std, float(-(p * np.log2(p + C.ENTROPY_EPSILON)).sum())
+    return mean / 1e6, std, float(-(p * np.log2(p + EPSILON)).sum())
 
 
 def session_interval_features(clicks: DataFrame, keys: list[str], gap_us: int, delay: str = "10 minutes", time: str = "click_time") -> DataFrame:
