@@ -422,7 +422,7 @@ def legacy_steps(spark, folder):
     from sessionloom.plans.chunks import ordered_points
 
     p = ordered_points(bindings.moves(spark, folder), "session_id", "movement_index", "tie", "x_coordinate", "y_coordinate")
-    speed = F.coalesce(F.hypot(F.col("x_coordinate") - F.col("prev1.x"), F.col("y_coordinate") - F.col("prev1.y")), F.lit(0.0))
+    speed = F.coalesce(F.hypot(F.col("x_coordinate") - F.col("x1"), F.col("y_coordinate") - F.col("y1")), F.lit(0.0))
     features = F.array(
         "x_coordinate", "y_coordinate", speed, F.lit(1.0), (F.col("x_coordinate") % 2).cast("double"), F.col("movement_index").cast("double")
     )

@@ -392,9 +392,9 @@ def _(spark, folder):
     out = p.select(
         "session_id",
         "ordinal",
-        F.coalesce(F.col("movement_index") - F.col("prev1.i"), F.lit(0)).alias("d_index"),
-        F.coalesce(F.col("x_coordinate") - F.col("prev1.x"), F.lit(0.0)).alias("dx"),
-        F.coalesce(F.col("y_coordinate") - F.col("prev1.y"), F.lit(0.0)).alias("dy"),
+        F.coalesce(F.col("movement_index") - F.col("i1"), F.lit(0)).alias("d_index"),
+        F.coalesce(F.col("x_coordinate") - F.col("x1"), F.lit(0.0)).alias("dx"),
+        F.coalesce(F.col("y_coordinate") - F.col("y1"), F.lit(0.0)).alias("dy"),
     )
     return rounded(out)
 

@@ -14,7 +14,10 @@ from sessionloom.plans.cuts import at_or_before, rank_cuts
 from sessionloom.session import materialise
 
 
-def motion_features(moves: DataFrame, key: str = "session_id", tie: str = "tie") -> DataFrame:
+TIES = ["tie"]
+
+
+def motion_features(moves: DataFrame, key: str = "session_id", tie: str | list[str] = TIES) -> DataFrame:
     """Eight motion statistics per trace; a trace of one point gives zeros.
 
     Headings are not wrapped: crossing +-pi counts as a turn of about 2 pi. The first
@@ -22,9 +25,8 @@ def motion_features(moves: DataFrame, key: str = "session_id", tie: str = "tie")
     """
     points = ordered_points(moves, key, "movement_index", tie, "x_coordinate", "y_coordinate")
     x, y = F.col("x_coordinate").cast("double"), F.col("y_coordinate").cast("double")
-    p1, p2 = F.col("prev1"), F.col("prev2")
-    dx, dy = x - p1["x"], y - p1["y"]
-    dx1, dy1 = p1["x"] - p2["x"], p1["y"] - p2["y"]
+    dx, dy = x - F.col("x1"), y - F.col("y1")
+    dx1, dy1 = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
     steps = points.withColumns({"dx": dx, "dy": dy, "dist": F.hypot(dx, dy), "dist1": F.hypot(dx1, dy1)})
     turn = F.abs(F.atan2(dy, dx) - F.atan2(dy1, dx1))
     steps = steps.withColumns(
@@ -37,7 +39,7 @@ def motion_features(moves: DataFrame, key: str = "session_id", tie: str = "tie")
         }
     )
     bins = [
-        F.sum(F.when(F.col(f"b{a}") == k, 1).otherwise(0)).alias(f"_{a}{k}") for a in "xy" for k in range(16)
+        F.count_if(F.col(f"b{a}") == k).alias(f"_{a}{k}") for a in "xy" for k in range(16)
     ]
     zero = F.lit(0.0)
     pooled = F.sqrt(
@@ -48,7 +50,7 @@ def motion_features(moves: DataFrame, key: str = "session_id", tie: str = "tie")
         F.coalesce(F.avg("dist"), zero).alias("mouse_speed_mean"),
         F.coalesce(F.stddev_pop("dist"), zero).alias("mouse_speed_std"),
         F.coalesce(F.sum("dist"), zero).alias("mouse_path_length"),
-        F.sum(F.when(F.col("turn") > math.pi / 4, 1).otherwise(0)).alias("direction_change_count"),
+        F.count_if(F.col("turn") > math.pi / 4).alias("direction_change_count"),
         F.coalesce(pooled, zero).alias("movement_std"),
         F.coalesce(F.stddev_pop("accel"), zero).alias("mouse_acceleration_std"),
         F.coalesce(F.avg("bend"), zero).alias("movement_curvature"),
@@ -78,7 +80,7 @@ def largest_remainder(df: DataFrame, weight: str, total: int, key: str, name: st
     return based.withColumn(name, F.col("_floor") + extra).drop("_floor", "_frac")
 
 
-def segment_traces(moves: DataFrame, target: int, prefix: str, tie: str = "tie") -> DataFrame:
+def segment_traces(moves: DataFrame, target: int, prefix: str, tie: str | list[str] = TIES) -> DataFrame:
     """Split traces into about ``target`` pseudo-sessions of near-equal contiguous parts.
 
     Every trace keeps one segment; the rest are apportioned by trace length.
@@ -118,7 +120,7 @@ def rank_matched_ids(segments: DataFrame, sessions: DataFrame) -> DataFrame:
     return left.join(right, "rank", "left").select("segment_id", "session_id")
 
 
-def align_traces_to_sessions(moves: DataFrame, sessions: DataFrame, prefix: str = "adv", tie: str = "tie") -> DataFrame:
+def align_traces_to_sessions(moves: DataFrame, sessions: DataFrame, prefix: str = "adv", tie: str | list[str] = TIES) -> DataFrame:
     """Segment long traces to the number of sessions and re-key them to the session ids."""
     segments = segment_traces(moves, sessions.count(), prefix, tie)
     ids = rank_matched_ids(segments, sessions)
@@ -130,7 +132,7 @@ def sessions_from_traces(
     moves: DataFrame,
     request_total: int = 57_454,
     base_start: str = "2019-10-30 00:00:00",
-    tie: str = "tie",
+    tie: str | list[str] = TIES,
     align: bool = True,
 ) -> DataFrame:
     """Session rows for traces that came without request logs.
@@ -187,19 +189,31 @@ def sessions_from_traces(
     return align_schema(out) if align else out
 
 
-def id_ordinals(df: DataFrame, key: str = "session_id", name: str = "_ordinal") -> DataFrame:
-    """0-based position of every row in key order, two-level: prefix cells first, then inside a cell."""
-    # range edges sampled from the ids keep cells small and in order
-    edges = id_edges(df, key)
-    cell = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(key))) if edges else F.lit(0)
-    base = df.withColumns({"_chunk": cell, "_one": F.lit(1), "_all": F.lit(0)})
-    out = running_total(base, ["_all"], [key], {name: "_one"})
+ORDINAL_LIMIT = 5_000_000
+
+
+def id_ordinals(df: DataFrame, key: str = "session_id", name: str = "_ordinal", limit: int = ORDINAL_LIMIT) -> DataFrame:
+    """0-based position of every row in key order: cells in order first, then inside a cell.
+
+    Up to ``limit`` rows the cells come from sampled edges, without another pass over the
+    data. Beyond it the table is range-partitioned by key and written once, so that the
+    cell number is data and cannot change when a task runs again.
+    """
+    n = df.count()
+    if n > limit:
+        parts = max(64, n // 1_000_000)
+        ranged = df.repartitionByRange(int(parts), key).withColumn("_chunk", F.spark_partition_id())
+        base = materialise(ranged, "ordinals")
+    else:
+        edges = id_edges(df, key, n)
+        cell = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(key))) if edges else F.lit(0)
+        base = df.withColumn("_chunk", cell)
+    out = running_total(base.withColumns({"_one": F.lit(1), "_all": F.lit(0)}), ["_all"], [key], {name: "_one"})
     return out.withColumn(name, F.col(name) - 1).drop("_one", "_all", f"{name}_total")
 
 
-def id_edges(df: DataFrame, key: str, cells: int = 64) -> list[str]:
+def id_edges(df: DataFrame, key: str, n: int, cells: int = 64) -> list[str]:
     """Cell edges from a hash sample of at most about ``cells * 16`` ids (bounded driver data)."""
-    n = df.count()
     if n <= cells:
         return []
     share = min(1.0, cells * 16 / n)

@@ -26,14 +26,13 @@ def progress(ordinal: Column, n: Column) -> Column:
     return F.coalesce(F.try_divide((ordinal - 1).cast("double"), (n - 1).cast("double")), F.lit(0.0))
 
 
-def mouse_steps(moves: DataFrame, sessions: DataFrame, length: int = SEQUENCE_LENGTH, tie: str = "tie") -> DataFrame:
+def mouse_steps(moves: DataFrame, sessions: DataFrame, length: int = SEQUENCE_LENGTH, tie: str | list[str] = "tie") -> DataFrame:
     """First ``length`` steps of traces with at least two points whose session is known."""
     points = ordered_points(moves, "session_id", "movement_index", tie, "x_coordinate", "y_coordinate")
     kept = points.filter((F.col("ordinal") <= length) & (F.col("n") >= 2))
     known = sessions.select("session_id", "label", "device_entropy", "channel_entropy")
-    p = F.col("prev1")
-    delta = F.coalesce((F.col("movement_index") - p["i"]).cast("double"), F.lit(0.0))
-    dist = F.coalesce(F.hypot(F.col("x_coordinate") - p["x"], F.col("y_coordinate") - p["y"]), F.lit(0.0))
+    delta = F.coalesce((F.col("movement_index") - F.col("i1")).cast("double"), F.lit(0.0))
+    dist = F.coalesce(F.hypot(F.col("x_coordinate") - F.col("x1"), F.col("y_coordinate") - F.col("y1")), F.lit(0.0))
     return kept.join(known, "session_id").select(
         "session_id",
         "label",
@@ -115,7 +114,7 @@ def keep_last_pad(df: DataFrame, length: int, width: int, column: str = "steps")
     return df.withColumn(column, F.concat(tail, F.array_repeat(zero, F.greatest(F.lit(length) - F.size(column), F.lit(0)))))
 
 
-def mouse_sequences(moves: DataFrame, sessions: DataFrame, length: int = SEQUENCE_LENGTH, tie: str = "tie") -> DataFrame:
+def mouse_sequences(moves: DataFrame, sessions: DataFrame, length: int = SEQUENCE_LENGTH, tie: str | list[str] = "tie") -> DataFrame:
     return zero_pad(gather_steps(mouse_steps(moves, sessions, length, tie)), length, len(MOUSE_FEATURES))
 
 

@@ -67,49 +67,69 @@ def time_gaps(
 
 
 def ordered_points(
-    df: DataFrame, key: str, index: str, tie: str, x: str, y: str, chunk_rows: int = 65536
+    df: DataFrame, key: str, index: str, tie: str | list[str], x: str, y: str, chunk_rows: int = 65536
 ) -> DataFrame:
     """Movement rows with the two previous points, ordinal, trace length and bounds.
 
-    The chunk is the index divided by ``chunk_rows``. Adds prev1/prev2 structs (i, x, y),
-    ordinal (from 1), n, x_min, x_max, y_min, y_max.
+    The chunk is the index divided by ``chunk_rows``. Adds i1, x1, y1 and x2, y2 (previous
+    and second previous point, NULL before the first), ordinal (from 1), n, x_min, x_max,
+    y_min, y_max. Everything stays in primitive columns, so windows and aggregates run in
+    generated code.
     """
-    point = F.struct(F.col(index).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    rows = df.withColumn("_chunk", F.floor(F.col(index) / chunk_rows)).withColumn("_p", point)
-    inner = W.partitionBy(key, "_chunk").orderBy(index, tie)
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    rows = df.withColumns(
+        {
+            "_chunk": F.floor(F.col(index) / chunk_rows),
+            "_x": F.col(x).cast("double"),
+            "_y": F.col(y).cast("double"),
+        }
+    )
+    inner = W.partitionBy(key, "_chunk").orderBy(index, *ties)
     local = rows.withColumns(
-        {"_l1": F.lag("_p", 1).over(inner), "_l2": F.lag("_p", 2).over(inner), "_rn": F.row_number().over(inner)}
+        {
+            "_rn": F.row_number().over(inner),
+            "_next": F.lead(F.lit(1)).over(inner),
+            "_li1": F.lag(index, 1).over(inner),
+            **{f"_l{c}{d}": F.lag(f"_{c}", d).over(inner) for c in "xy" for d in (1, 2)},
+        }
     )
+    last = lambda c: F.max(F.when(F.col("_next").isNull(), F.col(c)))
     chain = W.partitionBy(key).orderBy("_chunk")
     whole = W.partitionBy(key)
-    heads = (
-        local.groupBy(key, "_chunk")
-        .agg(
-            F.max(F.struct(index, tie, "_p", "_l1")).alias("_tail"),
-            F.count("*").alias("_n"),
-            *[f(F.col("_p")[c]).alias(f"_{c}_{name}") for c in "xy" for name, f in (("min", F.min), ("max", F.max))],
-        )
-        .select(
-            key,
-            "_chunk",
-            F.lag("_tail._p", 1).over(chain).alias("_h1"),
-            F.coalesce(F.lag("_tail._l1", 1).over(chain), F.lag("_tail._p", 2).over(chain)).alias("_h2"),
-            (F.sum("_n").over(chain.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(whole).alias("n"),
-            F.min("_x_min").over(whole).alias("x_min"),
-            F.max("_x_max").over(whole).alias("x_max"),
-            F.min("_y_min").over(whole).alias("y_min"),
-            F.max("_y_max").over(whole).alias("y_max"),
-        )
+    summary = local.groupBy(key, "_chunk").agg(
+        F.count("*").alias("_n"),
+        last(index).alias("_ti"),
+        *[last(f"_{c}").alias(f"_t{c}") for c in "xy"],
+        *[last(f"_l{c}1").alias(f"_u{c}") for c in "xy"],
+        *[f(f"_{c}").alias(f"_{name}{c}") for c in "xy" for name, f in (("lo", F.min), ("hi", F.max))],
+    )
+    heads = summary.select(
+        key,
+        "_chunk",
+        F.lag("_ti", 1).over(chain).alias("_hi1"),
+        *[F.lag(f"_t{c}", 1).over(chain).alias(f"_h{c}1") for c in "xy"],
+        # a one-row chunk has no second last row of its own: take the last of the chunk before
+        *[F.coalesce(F.lag(f"_u{c}", 1).over(chain), F.lag(f"_t{c}", 2).over(chain)).alias(f"_h{c}2") for c in "xy"],
+        (F.sum("_n").over(chain.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(whole).alias("n"),
+        *[f(f"_{name[:2]}{c}").over(whole).alias(f"{c}_{name[2:]}") for c in "xy" for name, f in (("lomin", F.min), ("himax", F.max))],
     )
     joined = local.join(heads, [key, "_chunk"])
-    return joined.withColumns(
-        {
-            "ordinal": F.col("_before") + F.col("_rn"),
-            "prev1": F.coalesce("_l1", "_h1"),
-            "prev2": F.coalesce("_l2", F.when(F.col("_l1").isNotNull(), F.col("_h1")).otherwise(F.col("_h2"))),
-        }
-    ).drop("_chunk", "_p", "_l1", "_l2", "_rn", "_h1", "_h2", "_before")
+    second = lambda c: F.coalesce(
+        f"_l{c}2", F.when(F.col("_rn") > 1, F.col(f"_h{c}1")).otherwise(F.col(f"_h{c}2"))
+    )
+    return joined.select(
+        *df.columns,
+        F.coalesce("_li1", "_hi1").alias("i1"),
+        *[F.coalesce(f"_l{c}1", f"_h{c}1").alias(f"{c}1") for c in "xy"],
+        *[second(c).alias(f"{c}2") for c in "xy"],
+        (F.col("_before") + F.col("_rn")).alias("ordinal"),
+        "n",
+        "x_min",
+        "x_max",
+        "y_min",
+        "y_max",
+    )
 
 
 def order_chunks(df: DataFrame, value: str, key: str | None = None, cells: int = 256, ties: int = 1024) -> DataFrame:

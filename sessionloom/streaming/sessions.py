@@ -79,7 +79,7 @@ INTERVAL_OUTPUT = (
     "session_start timestamp, session_end timestamp, click_count long, click_interval_mean double, "
     "click_interval_std double, click_interval_entropy double"
 )
-INTERVAL_STATE = "pending array<long>, start long, last long, n long, gaps array<long>, counts array<long>"
+INTERVAL_STATE = "folded long, pending array<long>, start long, last long, n long, gaps array<long>, counts array<long>"
 
 
 def interval_statistics(gaps: np.ndarray, counts: np.ndarray) -> tuple[float, float | None, float]:
@@ -105,13 +105,14 @@ def session_interval_features(clicks: DataFrame, keys: list[str], gap_us: int, d
     out_schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + INTERVAL_OUTPUT
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pending, start, last, n, gaps, counts = [], None, None, 0, [], []
+        folded, pending, start, last, n, gaps, counts = 0, [], None, None, 0, [], []
         if state.exists:
-            pending, start, last, n, gaps, counts = state.get
+            folded, pending, start, last, n, gaps, counts = state.get
         tally = dict(zip(gaps, counts))
         pending = list(pending)
         for pdf in batches:
-            pending.extend(pdf["us"].tolist())
+            # instants at or before the last fold are late: their place in the order is gone
+            pending.extend(t for t in pdf["us"].tolist() if t > folded)
         mark = state.getCurrentWatermarkMs() * 1000
         rows = []
 
@@ -135,7 +136,7 @@ def session_interval_features(clicks: DataFrame, keys: list[str], gap_us: int, d
             close()
             start, last, n, tally = None, None, 0, {}
         if pending or last is not None:
-            state.update((pending, start, last, n, list(tally), list(tally.values())))
+            state.update((max(folded, mark), pending, start, last, n, list(tally), list(tally.values())))
             due = pending[0] if pending else last + gap_us
             state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:

@@ -113,10 +113,11 @@ def test_largest_remainder_sums_and_stays_near(frame):
     assert (np.abs(got["share"] - exact) < 1).all()
 
 
-def test_id_ordinals(spark):
+@pytest.mark.parametrize("limit", [100, 10**6])
+def test_id_ordinals(spark, limit):
     ids = [f"k{i}" for i in range(3000)]
     df = spark.createDataFrame([(i,) for i in ids], "session_id string")
-    got = {r["session_id"]: r["_ordinal"] for r in motion.id_ordinals(df).collect()}
+    got = {r["session_id"]: r["_ordinal"] for r in motion.id_ordinals(df, limit=limit).collect()}
     assert got == {k: i for i, k in enumerate(sorted(ids))}
 
 

@@ -107,10 +107,10 @@ def test_ordered_points_do_not_depend_on_chunks(spark, chunk_rows):
     df = spark.createDataFrame(pdf).withColumn("tie", F.lit(0))
     got = ordered_points(df, "s", "i", "tie", "x", "y", chunk_rows).toPandas().sort_values(["s", "i"])
     want = pdf.sort_values(["s", "i"])
-    for k, name in ((1, "prev1"), (2, "prev2")):
-        shifted = want.groupby("s")["x"].shift(k)
-        values = [np.nan if p is None else p["x"] for p in got[name]]
-        np.testing.assert_allclose(values, shifted)
+    for k, names in ((1, ["x1", "y1"]), (2, ["x2", "y2"])):
+        for name in names:
+            np.testing.assert_allclose(got[name], want.groupby("s")[name[0]].shift(k))
+    np.testing.assert_allclose(got["i1"], want.groupby("s")["i"].shift(1))
     assert got["ordinal"].tolist() == (want.groupby("s").cumcount() + 1).tolist()
     assert got["n"].tolist() == want.groupby("s")["i"].transform("size").tolist()
     np.testing.assert_allclose(got["x_max"], want.groupby("s")["x"].transform("max"))

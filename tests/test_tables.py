@@ -139,6 +139,7 @@ def replay(spark, batches):
 BATCHES = [
     [(1, "2024-01-01 00:00:00", 0), (1, "2024-01-01 00:20:00", 1), (2, "2024-01-01 00:05:00", 0)],
     [(1, "2024-01-01 00:50:00", 0), (2, "2024-01-01 06:00:00", 0)],  # exactly 30 min after: same session
+    [(5, "2024-01-01 06:01:00", 0)],
     [(1, "2024-01-01 00:40:00", 0), (3, "2024-01-01 12:00:00", 0)],  # far behind the watermark: dropped
     [(4, "2024-01-02 12:00:00", 0)],
 ]
@@ -147,7 +148,7 @@ BATCHES = [
 def test_stream_sessions_drop_late_events(spark):
     out = streams.run_to_table(streams.session_windows(replay(spark, BATCHES), ["ip"], "30 minutes"), "t-sessions")
     rows = sorted((r["ip"], r["click_count"], str(r["session_start"])) for r in out.collect())
-    assert rows == [(1, 3, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:05:00"), (2, 1, "2024-01-01 06:00:00"), (3, 1, "2024-01-01 12:00:00")]
+    assert rows == [(1, 3, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:05:00"), (2, 1, "2024-01-01 06:00:00"), (3, 1, "2024-01-01 12:00:00"), (5, 1, "2024-01-01 06:01:00")]
 
 
 def test_stream_interval_statistics(spark):
@@ -163,7 +164,7 @@ def test_stream_interval_statistics(spark):
 
 def test_stream_dedup_within_watermark(spark):
     out = streams.run_to_table(streams.first_per_key_stream(replay(spark, BATCHES), ["ip"], "click_time", "30 days"), "t-dedup")
-    assert sorted(r["ip"] for r in out.collect()) == [1, 2, 3, 4]
+    assert sorted(r["ip"] for r in out.collect()) == [1, 2, 3, 4, 5]
 
 
 def test_python_workers_need_no_package_copy(tmp_path):
