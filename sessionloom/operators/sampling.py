@@ -17,8 +17,9 @@ from sessionloom.functions.score import bot_score
 from sessionloom.operators.motion import id_ordinals, largest_remainder
 from sessionloom.operators.profile import covariance_pairs
 from sessionloom.operators.ranks import decile_strata, frequency_strata
-from sessionloom.operators.structure import align_schema, cycle_rows, keep_unlisted
+from sessionloom.operators.structure import align_schema, cycle_rows, keep_listed, keep_unlisted
 from sessionloom.plans.cuts import flag_by_hash, quantiles, take_by_hash
+from sessionloom.session import materialise
 from sessionloom.schema import BOT_NOISE, HUMAN_NOISE, JITTER_COLUMNS
 
 
@@ -61,17 +62,21 @@ def stratified_sample(df: DataFrame, targets: dict[int, int], key: str = "sessio
     quota = marked.groupBy(*strata).agg(F.count("*").alias("_n")).join(F.broadcast(table), "label")
     quota = quota.withColumn("take", F.least(F.col("_n"), F.greatest(F.lit(1.0), share)).cast("long"))
     picked = {r["label"]: r["n"] for r in quota.groupBy("label").agg(F.sum("take").alias("n")).collect()}
-    flagged = flag_by_hash(marked, strata, quota, key, "stratum")
-    limits = lambda rows: spark.createDataFrame(rows, f"label {kind}, take long")
-    chosen = flagged.filter("taken").drop("taken")
-    if any(picked[k] > goal[k] for k in large):
-        chosen = take_by_hash(chosen, ["label"], limits([(k, min(goal[k], picked[k])) for k in large]), key, "trim")
+    marks = flag_by_hash(marked.select(key, *strata), strata, quota, key, "stratum").select(key, "label", "taken")
+    over = any(picked[k] > goal[k] for k in large)
     short = [(k, goal[k] - picked[k]) for k in large if picked[k] < goal[k]]
+    if over or short:
+        # the second hash order reads the marks again: keep the narrow (key, label, taken) rows
+        marks = materialise(marks, "strata")
+    limits = lambda rows: spark.createDataFrame(rows, f"label {kind}, take long")
+    ids = marks.filter("taken").drop("taken")
+    if over:
+        ids = take_by_hash(ids, ["label"], limits([(k, min(goal[k], picked[k])) for k in large]), key, "trim")
     if short:
-        rest = flagged.filter("not taken").drop("taken")
-        chosen = chosen.unionByName(take_by_hash(rest, ["label"], limits(short), key, "topup"))
+        rest = marks.filter("not taken").drop("taken")
+        ids = ids.unionByName(take_by_hash(rest, ["label"], limits(short), key, "topup"))
     small = df.filter(~F.col("label").isin(*large))
-    return chosen.select(*df.columns).unionByName(small)
+    return keep_listed(group, ids, key).unionByName(small)
 
 
 def downsample_majority(df: DataFrame, key: str = "session_id") -> DataFrame:
