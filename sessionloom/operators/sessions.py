@@ -26,7 +26,7 @@ def sessionize(
 
     Adds session_gap_sec (gap + 1 s at a key's first click), new_session, session_index,
     session_id and interval_us (0 at a session's first click). Rows without key or time
-    are dropped. Indexes are found on distinct instants and joined back, so a hot key is
+    are dropped. ``tie`` must tell clicks of one key and instant apart. Indexes are found on distinct instants and joined back, so a hot key is
     spread over its instants; see ``plans.chunks.time_gaps``.
     """
     limit_us = int(gap_minutes * 60_000_000)

@@ -26,7 +26,8 @@ def to_long(df: DataFrame, columns: list[str], by: str | None = None) -> DataFra
     """(g, v) rows: one per non-null value; g names the column, or ``group<TAB>column``."""
     group = [F.col(by).cast("string").alias("grp")] if by else [F.lit("").alias("grp")]
     cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = df.select(*group, F.inline(cells)).filter(F.col("v").isNotNull() & F.col("grp").isNotNull())
+    present = F.col("v").isNotNull() & ~F.isnan("v") & F.col("grp").isNotNull()
+    long = df.select(*group, F.inline(cells)).filter(present)
     return long.select(F.concat_ws("\t", "grp", "c").alias("g"), "v")
 
 
@@ -115,7 +116,9 @@ def _within(spark, long: DataFrame, ranges) -> DataFrame:
     table = spark.createDataFrame(
         [(i, g, low, high) for i, (g, low, high) in enumerate(ranges)], "id int, g string, low double, high double"
     )
-    side = F.when(F.col("v") <= F.col("low"), -1).when(F.col("v") < F.col("high"), 0)
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    # an unbounded end also takes the infinite values
+    side = F.when((v <= low) & (low > -math.inf), -1).when((v < high) | (high == math.inf), 0)
     return long.join(F.broadcast(table), "g").withColumn("side", side).filter("side is not null")
 
 
@@ -195,7 +198,7 @@ def rank_cuts(base: DataFrame, ranks: dict[str, list[int]] | None = None, rank_o
     shared by a third of the rows is cut as evenly as any other. NULL values are not ranked.
     All groups share the same few passes.
     """
-    base = base.filter("v is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    base = base.filter("v is not null and not isnan(v)").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _rank_cuts(base, ranks, rank_of)
     finally:

@@ -51,6 +51,14 @@ def test_quantiles_equal_linear_interpolation(frame):
     assert cuts.quantiles(df.withColumn("empty", F.lit(None).cast("double")), ["empty"], [0.5]) == {"empty": [None]}
 
 
+def test_quantiles_with_infinite_and_missing_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(inf,), (1.0,), (2.0,), (-inf,), (None,), (float("nan"),)], "x double")
+    found, sizes = cuts.order_statistics(cuts.to_long(df, ["x"]), rank_of=lambda n: range(n))
+    assert list(sizes.values()) == [4]
+    assert [found[(g, r)][0] for g in sizes for r in range(4)] == [-inf, 1.0, 2.0, inf]
+
+
 def hashed(ids):
     import hashlib
 
