@@ -142,7 +142,8 @@ def session_interval_features(clicks: DataFrame, keys: list[str], gap_us: int, d
         elif state.exists:
             state.remove()
         names = [*keys, "session_start", "session_end", "click_count", "click_interval_mean", "click_interval_std", "click_interval_entropy"]
-        yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     marked = clicks.withWatermark(time, delay).select(*keys, time, F.unix_micros(time).alias("us"))
     return marked.groupBy(*keys).applyInPandasWithState(step, out_schema, INTERVAL_STATE, "append", "EventTimeTimeout")
