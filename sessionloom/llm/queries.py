@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import mixing, sharding
+from sessionloom.llm import mixing, ngram_join, sharding
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op6_feistel_shards": sharding.op6_feistel_shards,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
