@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+#: For words without punctuation: everything in ASCII but letters and digits separates.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _VALUE = np.random.RandomState(20240229).randint(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -54,10 +56,10 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), starts
 
 
-def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in ``data`` and the start of each word; ``bounds`` (starts of rows) also separate words."""
     n = len(data)
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[bounds] = True
     first, last = inside.copy(), inside.copy()
@@ -70,7 +72,7 @@ def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mixed((total[end] - total[start]) * down[start]), start
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_hashes(column: pa.Array, blank: np.ndarray = _BLANK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of rows: first row, row after the last, the words' hashes, and how many words each row has."""
     data, starts = bytes_of(column)
     row, rows = 0, len(column)
@@ -78,7 +80,7 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         end = int(np.searchsorted(starts, starts[row] + SLICE, "right")) - 1
         if end > row:
             lo, hi = starts[row], starts[end]
-            h, at = _hashed(data[lo:hi], starts[row:end] - lo)
+            h, at = _hashed(data[lo:hi], starts[row:end] - lo, blank)
             # an empty row and its successor start at the same byte: the word belongs to the last row that starts there
             owner = np.searchsorted(starts[row : end + 1] - lo, at, "right") - 1
             yield row, end, h, np.bincount(owner, minlength=end - row)[: end - row]
@@ -87,10 +89,10 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
             lo, hi, parts = int(starts[row]), int(starts[row + 1]), []
             while lo < hi:
                 cut = min(hi, lo + SLICE)
-                while cut < hi and not _BLANK[data[cut]]:
-                    more = np.flatnonzero(_BLANK[data[cut : min(hi, cut + SLICE)]])
+                while cut < hi and not blank[data[cut]]:
+                    more = np.flatnonzero(blank[data[cut : min(hi, cut + SLICE)]])
                     cut = cut + int(more[0]) if len(more) else min(hi, cut + SLICE)
-                parts.append(_hashed(data[lo:cut], np.zeros(1, np.int64))[0])
+                parts.append(_hashed(data[lo:cut], np.zeros(1, np.int64), blank)[0])
                 lo = cut
             h = np.concatenate(parts)
             yield row, row + 1, h, np.array([len(h)])
