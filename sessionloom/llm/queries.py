@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import contamination, mixing, ngram_join, quality, sharding
+from sessionloom.llm import contamination, mixing, ngram_join, quality, sharding, vectors
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op4_factorisation_machine": quality.op4_factorisation_machine,
     "op6_feistel_shards": sharding.op6_feistel_shards,
+    "op8_stable_hashing": vectors.op8_stable_hashing,
     "op9_seeded_alignment": contamination.op9_seeded_alignment,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
