@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import contamination, mixing, ngram_join, quality, sharding, vectors
+from sessionloom.llm import contamination, html, mixing, ngram_join, quality, secrets, sharding, vectors
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op3_randomness_battery": secrets.op3_randomness_battery,
     "op4_factorisation_machine": quality.op4_factorisation_machine,
+    "op5_tag_path_ratios": html.op5_tag_path_ratios,
     "op6_feistel_shards": sharding.op6_feistel_shards,
     "op8_stable_hashing": vectors.op8_stable_hashing,
     "op9_seeded_alignment": contamination.op9_seeded_alignment,
