@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import contamination, html, mixing, ngram_join, quality, secrets, sharding, vectors
+from sessionloom.llm import contamination, html, mixing, ngram_join, pii, quality, secrets, sharding, vectors
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_candidate_boosting": pii.op2_candidate_boosting,
     "op3_randomness_battery": secrets.op3_randomness_battery,
     "op4_factorisation_machine": quality.op4_factorisation_machine,
     "op5_tag_path_ratios": html.op5_tag_path_ratios,
