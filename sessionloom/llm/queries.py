@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import contamination, html, mixing, ngram_join, pii, quality, secrets, sharding, vectors
+from sessionloom.llm import contamination, html, mixing, ngram_join, pii, quality, secrets, sharding, substrings, vectors
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_factorisation_machine": quality.op4_factorisation_machine,
     "op5_tag_path_ratios": html.op5_tag_path_ratios,
     "op6_feistel_shards": sharding.op6_feistel_shards,
+    "op7_cover_sample_suffixes": substrings.op7_cover_sample_suffixes,
     "op8_stable_hashing": vectors.op8_stable_hashing,
     "op9_seeded_alignment": contamination.op9_seeded_alignment,
     "op10_pareto_mix": mixing.op10_pareto_mix,
