@@ -232,14 +232,12 @@ def keep_one(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents of ``df`` that stay when each component keeps its row with the smallest doc_id (one row of equal
     ones); documents without words all stay. Columns are those of ``df``."""
     marks = near_duplicates(df, n, percent).where("component_mark IS NULL OR doc_id <=> component_id")
-    marks = materialise(marks.groupBy("doc_id", "mark", "component_mark").agg(F.count("*").alias("rows")), "join-kept")
-    first = marks.where("component_mark IS NOT NULL").groupBy("component_mark").agg(F.min(F.struct("doc_id", "mark")).alias("m")).select("m.doc_id", "m.mark", F.lit(True).alias("one"))
-    stay = materialise(first.unionByName(marks.where("component_mark IS NULL").select("doc_id", "mark", F.lit(False).alias("one"))).select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark"), "one"), "join-stay")
-    marked = with_columns(df, __mark=F.xxhash64("text"))
-    met = marked.join(stay, marked["doc_id"].eqNullSafe(stay["k_id"]) & (marked["__mark"] == stay["k_mark"]))
-    turn = F.row_number().over(Window.partitionBy("k_id", "k_mark").orderBy(F.lit(1)))
-    singles = met.where("one").withColumn("__turn", turn).where("__turn = 1").drop("__turn")
-    return singles.unionByName(met.where("NOT one")).select(*[F.col(f"`{c}`") for c in df.columns])
+    marks = materialise(marks.select(F.xxhash64("doc_id", "mark").alias("__key"), "doc_id", "mark", "component_mark").distinct(), "join-kept")
+    first = marks.where("component_mark IS NOT NULL").groupBy("component_mark").agg(F.min(F.struct("doc_id", "mark", "__key")).alias("m"))
+    stay = first.select("m.__key", F.lit(True).alias("__one")).unionByName(marks.where("component_mark IS NULL").select("__key", F.lit(False).alias("__one")))
+    met = with_columns(df, __key=F.xxhash64("doc_id", F.xxhash64("text"))).join(materialise(stay, "join-stay"), "__key")
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__one"))
+    return met.withColumn("__turn", turn).where("NOT __one OR __turn = 1").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
