@@ -86,8 +86,9 @@ def mix(
     steps = (
         classes.join(wanted, classes["__source"].eqNullSafe(wanted["source"]))
         .select("__source", "__class", "s", "rows", "words", "target", w.alias("w"))
-        .withColumn("c", (F.col("target") - float(most) * F.coalesce(F.sum("s").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                    / F.sum(F.col("w") * F.col("s")).over(per.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        .withColumn("ahead", F.coalesce(F.sum("s").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("left", F.sum(F.col("w") * F.col("s")).over(per.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        .withColumn("c", F.try_divide(F.col("target") - float(most) * F.col("ahead"), F.col("left")))
         .withColumn("c", F.first(F.when(F.col("c") * F.col("w") <= float(most), F.col("c")), True).over(
             per.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("e", F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.coalesce(F.col("c"), F.lit(float(most))) * F.col("w"))))
@@ -102,7 +103,7 @@ def mix(
         "mix-rates",
     )
     # rank = odds(u) / odds(p), squeezed into (0, 1) so that a cell is a range of ranks
-    odds = F.col("__u") / (1 - F.col("__u")) * (1 - F.col("p")) / F.col("p")
+    odds = F.try_divide(F.col("__u") / (1 - F.col("__u")) * (1 - F.col("p")), F.col("p"))
     open_ = (F.col("p") > 1e-12) & (F.col("__size") > 0)
     ordered = (
         measured.join(rates, measured["__source"].eqNullSafe(rates["r_source"]) & (measured["__class"] == rates["r_class"]))
