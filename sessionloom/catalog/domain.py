@@ -345,7 +345,7 @@ CLICK_STEPS = """cs0 AS (SELECT ev.session_id, label, interval_us / 1e6 AS f0, r
 cs AS (SELECT session_id, label, step::INT AS step, f0, least(step, 5)::DOUBLE AS f1, CASE WHEN n > 1 THEN (step - 1)::DOUBLE / (n - 1) ELSE 0 END AS f2,
   coalesce(stddev_samp(f0) OVER (PARTITION BY session_id ORDER BY step ROWS 4 PRECEDING), 0) AS f3, f4, f5 FROM cs0),
 cp AS (SELECT session_id, label, g.step::INT AS step, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1, coalesce(f2, 0) AS f2, coalesce(f3, 0) AS f3,
-  coalesce(f4, 0) AS f4, coalesce(f5, 0) AS f5 FROM (SELECT DISTINCT session_id, label FROM cs) k CROSS JOIN range(0, 8) g(step)
+  coalesce(f4, 0) AS f4, coalesce(f5, 0) AS f5 FROM (SELECT DISTINCT session_id, label FROM cs) k CROSS JOIN range(0, 50) g(step)
   LEFT JOIN (SELECT * EXCLUDE (label) REPLACE (step - 1 AS step) FROM cs) USING (session_id, step))"""
 
 
@@ -362,7 +362,7 @@ def _(spark, folder):
 
 @query("seq04_zero_padded", sess(f"SELECT session_id, label, 'click-mode' AS sequence_type, step, {Rs('f0 f1 f2 f3 f4 f5')} FROM cp", CLICK_STEPS))
 def _(spark, folder):
-    return rounded(sequences.explode_steps(click_seq(spark, folder, 8), 6))
+    return rounded(sequences.explode_steps(click_seq(spark, folder), 6))
 
 
 @query(
@@ -412,7 +412,7 @@ SCALED = ", ".join(
 
 @query("seq08_standardised", sess(f"SELECT session_id, label, 'click-mode' AS sequence_type, step, {SCALED} FROM cp", CLICK_STEPS))
 def _(spark, folder):
-    seq = click_seq(spark, folder, 8)
+    seq = click_seq(spark, folder)
     scaled = sequences.standardise_steps(seq, sequences.fit_step_scaler(seq, 6))
     return rounded(sequences.explode_steps(scaled, 6))
 
@@ -460,5 +460,5 @@ def _(spark, folder):
 WHERE r <= (SELECT min(c) FROM (SELECT count(*) AS c FROM sc GROUP BY label))"""),
 )
 def _(spark, folder):
-    seq = click_seq(spark, folder, 8)
+    seq = click_seq(spark, folder)
     return sequences.balance_sequences(seq).select("session_id", "label")

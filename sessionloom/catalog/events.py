@@ -176,25 +176,25 @@ def step_rows(spark, folder, length=10**9):
     return sequences.click_steps(ev, sized, length)
 
 
-@query("win04_rolling_count", STEPS + " SELECT session_id, step, count(*) OVER (PARTITION BY session_id ORDER BY step ROWS 4 PRECEDING) AS rolling_n FROM st WHERE step <= 50")
+@query("win04_rolling_count", STEPS + " SELECT session_id, step, count(*) OVER (PARTITION BY session_id ORDER BY step ROWS 4 PRECEDING) AS rolling_n FROM st")
 def _(spark, folder):
-    out = step_rows(spark, folder, 50)
+    out = step_rows(spark, folder)
     return out.select("session_id", F.col("step").cast("long").alias("step"), F.col("features")[1].cast("long").alias("rolling_n"))
 
 
 @query(
     "win05_rolling_std",
     STEPS + f""" SELECT session_id, step, {R('coalesce(stddev_samp(pause) OVER (PARTITION BY session_id ORDER BY step ROWS 4 PRECEDING), 0)')} AS rolling_std
-FROM st WHERE step <= 50""",
+FROM st""",
 )
 def _(spark, folder):
-    out = step_rows(spark, folder, 50)
+    out = step_rows(spark, folder)
     return rounded(out.select("session_id", F.col("step").cast("long").alias("step"), F.col("features")[3].alias("rolling_std")))
 
 
 @query(
     "win06_rolling_entropy",
-    STEPS + f""", r AS (SELECT session_id, step, pause, (unnest(list(pause) OVER (PARTITION BY session_id ORDER BY step ROWS 4 PRECEDING))) AS v FROM st WHERE step <= 50),
+    STEPS + f""", r AS (SELECT session_id, step, pause, (unnest(list(pause) OVER (PARTITION BY session_id ORDER BY step ROWS 4 PRECEDING))) AS v FROM st),
 b AS (SELECT session_id, step, v, min(v) OVER p AS lo, max(v) OVER p AS hi, least(6, greatest(2, count(*) OVER p)) AS k FROM r
   WINDOW p AS (PARTITION BY session_id, step)),
 c AS (SELECT session_id, step, CASE WHEN lo = hi THEN 0 ELSE least(floor((v - lo) / (hi - lo) * k), k - 1) END AS slot FROM b),
@@ -202,16 +202,16 @@ q AS (SELECT session_id, step, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION
 SELECT session_id, step, {R('-sum(p * log2(p + 1e-12))')} AS rolling_entropy FROM q GROUP BY session_id, step""",
 )
 def _(spark, folder):
-    rows = step_rows(spark, folder, 50).withColumn("pause", F.col("features")[0])
+    rows = step_rows(spark, folder).withColumn("pause", F.col("features")[0])
     w = W.partitionBy("session_id").orderBy("step").rowsBetween(-4, 0)
     out = rows.withColumn("last5", F.collect_list("pause").over(w))
     out = out.select("session_id", F.col("step").cast("long").alias("step"), sequences.rolling_entropy(F.col("last5")).alias("rolling_entropy"))
     return rounded(out)
 
 
-@query("win07_session_progress", STEPS + f" SELECT session_id, step, {R('CASE WHEN n = 1 THEN 0 ELSE (step - 1)::DOUBLE / (n - 1) END')} AS progress FROM st WHERE step <= 50")
+@query("win07_session_progress", STEPS + f" SELECT session_id, step, {R('CASE WHEN n = 1 THEN 0 ELSE (step - 1)::DOUBLE / (n - 1) END')} AS progress FROM st")
 def _(spark, folder):
-    out = step_rows(spark, folder, 50)
+    out = step_rows(spark, folder)
     return rounded(out.select("session_id", F.col("step").cast("long").alias("step"), F.col("features")[2].alias("progress")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.catalog.base import (
-    CLICKS, GAP_MINUTES, H, PROXY, R, Rs, S, SCORE, U, clicks, enriched, ev_sql, events, prof, profiled, query, rounded,
+    CLICKS, GAP_MINUTES, H, PROXY, R, Rs, S, SCORE, U, clicks, ev_sql, events, prof, profiled, query, rounded,
     sess, staged, stamp, temporal,
 )
 from sessionloom.catalog.domain import click_seq
@@ -130,7 +130,7 @@ TRAIN_FEATURES = [
 
 def split_sessions(spark, folder):
     def build(s, f):
-        df = enriched(s, f).select("session_id", "label", *TRAIN_FEATURES, "browser", "device_type")
+        df = profiled(s, f).select("session_id", "label", *TRAIN_FEATURES, "channel")
         return sampling.stratified_split(df)
 
     return staged(spark, folder, "split", build)
@@ -146,10 +146,10 @@ def fit_and_apply(spark, folder, classifier, weight=True):
 PREDICTION = ["session_id", "label", "prediction", "probability_array"]
 
 
-@query("mdl01_model_input")
+@query("mdl01_model_input", prof(f"SELECT label, {Rs(TRAIN_FEATURES)}, channel FROM sc"))
 def _(spark, folder):
-    kept, numeric, categorical = models.model_input(enriched(spark, folder))
-    return kept.select("label", *[c for c in numeric if c in TRAIN_FEATURES], *[c for c in categorical if c in ("browser", "device_type")])
+    kept, numeric, categorical = models.model_input(profiled(spark, folder).select("session_id", "label", *TRAIN_FEATURES, "channel"))
+    return rounded(kept.select("label", *numeric, *categorical))
 
 
 @query("mdl02_random_forest")
@@ -172,9 +172,9 @@ def _(spark, folder):
 
 @query("mdl04_sequence_classifier")
 def _(spark, folder):
-    seq = models.flatten_steps(click_seq(spark, folder, 8)).select("session_id", "label", "features")
+    seq = models.flatten_steps(click_seq(spark, folder)).select("session_id", "label", "features")
     marked = staged(spark, folder, "sequence_split", lambda s, f: sampling.stratified_split(seq))
-    model = models.sequence_classifier(48, hidden=(32, 16)).fit(marked.filter("not is_test"))
+    model = models.sequence_classifier(300).fit(marked.filter("not is_test"))
     out = models.with_probabilities(model.transform(marked.filter("is_test")))
     return out.select(*PREDICTION)
 
@@ -214,18 +214,15 @@ def _(spark, folder):
     return spark.read.schema("section string, item string, value string").json(path)
 
 
-@query("snk03_write_sequences", prof("SELECT session_id, label, 8 AS length, 6 AS features FROM sc"))
+@query("snk03_write_sequences", prof("SELECT session_id, label, 50 AS length, 6 AS features FROM sc"))
 def _(spark, folder):
     from sessionloom.operators.sequences import fit_step_scaler
 
     path = work_folder(spark, "sink-sequences")
-    seq = click_seq(spark, folder, 8)
+    seq = click_seq(spark, folder)
     writers.write_sequences(seq, fit_step_scaler(seq, 6), path)
-    back = spark.read.parquet(f"{path}/sequences").join(
-        spark.read.parquet(f"{path}/scaler").agg(F.count("*").cast("int").alias("features")).withColumn("k", F.lit("click-mode")),
-        F.col("sequence_type") == F.col("k"),
-    )
-    return back.select("session_id", "label", F.size("steps").alias("length"), "features")
+    width = spark.read.parquet(f"{path}/scaler").count()
+    return spark.read.parquet(f"{path}/sequences").select("session_id", "label", F.size("steps").alias("length"), F.lit(width).cast("int").alias("features"))
 
 
 @query("snk04_save_model")

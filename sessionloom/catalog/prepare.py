@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.catalog.base import (
-    CLICKS, H, N, R, Rs, U, clicks, enriched, prof, profiled, query, rounded, sess, staged,
+    CLICKS, H, N, R, Rs, U, clicks, prof, profiled, query, rounded, sess, staged,
 )
-from sessionloom.catalog.domain import THREE, share_sql
+from sessionloom.catalog.domain import share_sql
 from sessionloom.catalog.base import PROXY
 from sessionloom.operators import anomaly, clean, profile, sampling
 from sessionloom.plans.cuts import quantiles
@@ -75,7 +75,7 @@ def bin_sql(column: str) -> str:
     return f"CASE WHEN {q} <= 1 THEN 1 ELSE greatest(1, ceil(({order} - 1)::DOUBLE * {q} / (count(*) OVER () - 1)))::INT END"
 
 
-BALANCE = f"""bn AS (SELECT session_id, (label <> 0)::INT AS label, 'talkingdata' AS data_source, is_proxy, requests_per_minute, session_duration_sec, coordinate_entropy FROM en),
+BALANCE = f"""bn AS (SELECT session_id, (label <> 0)::INT AS label, 'talkingdata' AS data_source, (original_device = 0)::INT AS is_proxy, requests_per_minute, session_duration_sec, coordinate_entropy FROM sc),
 cl AS (SELECT label, count(*) AS c FROM bn GROUP BY label),
 big AS (SELECT * FROM bn WHERE label = (SELECT label FROM cl ORDER BY c DESC, label LIMIT 1)),
 bb AS (SELECT *, data_source || '|' || is_proxy || '|' || {bin_sql('requests_per_minute')} || '|' || {bin_sql('session_duration_sec')} || '|' || {bin_sql('coordinate_entropy')} AS stratum FROM big),
@@ -84,12 +84,13 @@ br AS (SELECT session_id, label, {hash_rank('balance', 'PARTITION BY stratum')}
 
 
 def binary_sessions(spark, folder):
-    return enriched(spark, folder).withColumns({"label": (F.col("label") != 0).cast("int"), "data_source": F.lit("talkingdata")})
+    flags = {"label": (F.col("label") != 0).cast("int"), "data_source": F.lit("talkingdata"), "is_proxy": (F.col("original_device") == 0).cast("int")}
+    return profiled(spark, folder).withColumns(flags)
 
 
 @query(
     "smp02_downsample_majority",
-    sess("SELECT session_id, label FROM br WHERE r <= share UNION ALL SELECT session_id, label FROM bn WHERE label = (SELECT label FROM cl ORDER BY c, label LIMIT 1)", PROXY, THREE, BALANCE),
+    prof("SELECT session_id, label FROM br WHERE r <= share UNION ALL SELECT session_id, label FROM bn WHERE label = (SELECT label FROM cl ORDER BY c, label LIMIT 1)", BALANCE),
 )
 def _(spark, folder):
     return sampling.downsample_majority(binary_sessions(spark, folder)).select("session_id", "label")
@@ -226,9 +227,10 @@ def _(spark, folder):
 
 @query("imp02_most_frequent", prof("SELECT session_id, coalesce(channel, (SELECT channel FROM ho WHERE channel IS NOT NULL GROUP BY channel ORDER BY count(*) DESC, channel LIMIT 1)) AS channel FROM ho", HOLED))
 def _(spark, folder):
-    from sessionloom.operators.models import most_frequent_fill
+    from sessionloom.operators.models import most_frequent
 
-    return most_frequent_fill(holed(spark, folder), ["channel"]).select("session_id", "channel")
+    df = holed(spark, folder)
+    return df.fillna(most_frequent(df, ["channel"])).select("session_id", "channel")
 
 
 @query("cln01_cap_extremes", prof(f"SELECT session_id, {R('least(requests_per_minute, 1000)')} AS requests_per_minute, {R('least(session_duration_sec, 10000)')} AS session_duration_sec FROM sc"))
@@ -298,7 +300,14 @@ def _(spark, folder):
     return out.select("session_id", F.col("channel").cast("long").alias("channel"))
 
 
-@query("cln07_one_hot")
+KNOWN = "known AS (SELECT channel, row_number() OVER (ORDER BY count(*) DESC, channel) - 1 AS slot FROM sc GROUP BY channel)"
+
+
+@query(
+    "cln07_one_hot",
+    prof("""SELECT session_id, slot, (SELECT count(*) FROM known) AS width, 1 AS ones FROM sc JOIN known USING (channel)
+UNION ALL SELECT 'unknown', -1, (SELECT count(*) FROM known), 0""", KNOWN),
+)
 def _(spark, folder):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
@@ -306,20 +315,29 @@ def _(spark, folder):
     from sessionloom.operators.models import encoder_stages
 
     df = profiled(spark, folder)
-    out = Pipeline(stages=encoder_stages([], ["channel"])).fit(df).transform(df)
-    return out.select("session_id", vector_to_array("features").alias("features"))
+    model = Pipeline(stages=encoder_stages(df, [], {"channel": "unknown"})).fit(df)
+    # a value that the fit has not seen gets no slot
+    strange = df.limit(1).withColumns({"session_id": F.lit("unknown"), "channel": F.lit("never seen")})
+    codes = model.transform(df.unionByName(strange)).withColumn("f", vector_to_array("features"))
+    return codes.select(
+        "session_id", (F.array_position("f", 1.0) - 1).alias("slot"), F.size("f").cast("long").alias("width"),
+        F.size(F.filter("f", lambda x: x == 1.0)).alias("ones"),
+    )
 
 
-@query("cln08_preprocessing_model")
+@query(
+    "cln08_preprocessing_model",
+    prof(f"SELECT session_id, {', '.join(robust_sql(c) for c in FEATURES[:5])}, slot FROM sc JOIN known USING (channel)", KNOWN),
+)
 def _(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     from sessionloom.operators.models import preprocessing_model
 
-    df = enriched(spark, folder).select("session_id", "label", *FEATURES, "browser", "device_type", "country")
-    doubles = df.withColumns({c: F.col(c).cast("double") for c in FEATURES})
-    out = preprocessing_model(df).transform(doubles)
-    return out.select("session_id", vector_to_array("features").alias("features"))
+    df = profiled(spark, folder).select("session_id", "label", *FEATURES[:5], "channel")
+    out = preprocessing_model(df).transform(df).withColumn("f", vector_to_array("features"))
+    hot = F.slice("f", 6, F.size("f") - 5)
+    return rounded(out.select("session_id", *[F.col("f")[i].alias(c) for i, c in enumerate(FEATURES[:5])], (F.array_position(hot, 1.0) - 1).alias("slot")), 4)
 
 
 # --- anomalies ---------------------------------------------------------------------------

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.catalog.base import (
-    CLICKS, H, PROXY, R, Rs, S, clicks, enriched, ev_sql, events, prof, profiled, query, rounded, sess, stamp,
+    CLICKS, H, PROXY, R, Rs, S, clicks, ev_sql, events, prof, profiled, query, rounded, sess, stamp,
 )
-from sessionloom.catalog.domain import THREE
 from sessionloom.catalog.events import BUSY, BUSY_FLAGS, FEATURES as EVENT_FEATURES, busy_clicks
 from sessionloom.catalog.prepare import CORR, FEATURES, IQR, corr_sql, iqr_sql
 from sessionloom.operators import profile, sampling, sessions
@@ -331,10 +330,10 @@ def _(spark, folder):
 
 @query(
     "viz04_top_categories_by_label",
-    sess("SELECT country, label, count(*) AS n FROM en WHERE country IN (SELECT country FROM en GROUP BY country ORDER BY count(*) DESC, country LIMIT 8) GROUP BY country, label", PROXY, THREE),
+    prof("SELECT channel, label, count(*) AS n FROM sc WHERE channel IN (SELECT channel FROM sc GROUP BY channel ORDER BY count(*) DESC, channel LIMIT 8) GROUP BY channel, label"),
 )
 def _(spark, folder):
-    return profile.top_categories_by_label(enriched(spark, folder), "country", 8)
+    return profile.top_categories_by_label(profiled(spark, folder), "channel", 8)
 
 
 @query("viz05_signed_correlations", prof(f"SELECT feature_a, feature_b, {R('r')} AS correlation FROM {corr_sql(FEATURES[:10])} ORDER BY round(abs(r), 9) DESC, feature_a, feature_b LIMIT 10"))

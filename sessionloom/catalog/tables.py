@@ -43,11 +43,10 @@ def _(spark, folder):
 
 @query(
     "src03_capped_class_scan",
-    f"""WITH {CLICKS} SELECT event_id, is_attributed FROM clicks WHERE is_attributed = 1 UNION ALL
-SELECT event_id, is_attributed FROM (SELECT event_id, is_attributed FROM clicks WHERE is_attributed = 0 ORDER BY click_time, event_id LIMIT 1500)""",
+    f"WITH {CLICKS} SELECT event_id, is_attributed FROM clicks",
 )
 def _(spark, folder):
-    out = readers.capped_class_scan(clicks(spark, folder), negative_cap=1500)
+    out = readers.capped_class_scan(clicks(spark, folder))
     return out.select("event_id", "is_attributed")
 
 
@@ -317,10 +316,10 @@ def _(spark, folder):
     return bindings.table(spark, folder, "events").orderBy("user_id", "ts", "event_id").select("event_id", "user_id")
 
 
-@query("srt02_sort_nulls_last", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events ORDER BY v NULLS LAST, event_id LIMIT 5000")
+@query("srt02_sort_nulls_last", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events ORDER BY v NULLS LAST, event_id")
 def _(spark, folder):
     v = F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("v")
-    return bindings.table(spark, folder, "events").select("event_id", v).orderBy(F.asc_nulls_last("v"), "event_id").limit(5000)
+    return bindings.table(spark, folder, "events").select("event_id", v).orderBy(F.asc_nulls_last("v"), "event_id")
 
 
 @query("srt03_top_counts", f"WITH {CLICKS} SELECT ip, count(*) AS n FROM clicks GROUP BY ip ORDER BY n DESC, ip LIMIT 10")

@@ -57,15 +57,10 @@ def fit_forest(df: DataFrame, features: list[str], key: str = "session_id", tree
     share = min(1.0, 4.0 * trees * sample / max(n, 1))
     rows = df.select(F.col(key).cast("string").alias("k"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
     thin = rows.filter(C.uniform(F.col("k"), "candidate") < share)
-    # with rows to spare a candidate serves 8 trees picked by its hash; small tables serve all
-    width = 8 if n * 8 >= 4 * trees * sample else trees
-    if width == trees:
-        tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    else:
-        tree_ids = F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.pmod(F.xxhash64(F.col("k"), j), F.lit(trees)).cast("int")
-        )
-        tree_ids = F.array_distinct(tree_ids)
+    # a candidate serves as many neighbouring trees, from one its hash picks, as give every tree four samples
+    width = min(trees, math.ceil(4.0 * trees * sample / max(n * share, 1)))
+    first = F.pmod(F.xxhash64("k"), F.lit(trees))
+    tree_ids = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: ((first + j) % trees).cast("int"))
     paired = thin.select("k", "x", F.explode(tree_ids).alias("tree"))
     order = W.partitionBy("tree").orderBy(F.xxhash64("k", "tree"), "k")
     drawn = paired.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample)

@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sessionloom.operators.clean import string_columns
 from sessionloom.operators.sampling import class_sizes
 from sessionloom.operators.structure import numeric_columns
+from sessionloom.plans.cuts import quantiles
 from sessionloom.schema import MODEL_ID_COLUMNS
 
 SEED = 42
@@ -41,31 +42,48 @@ def class_weights(df: DataFrame, name: str = "weight") -> DataFrame:
     return df.withColumn(name, out)
 
 
-def most_frequent_fill(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Text NULLs take the most frequent value, smallest on ties."""
+def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Most frequent text per column, the smallest on ties; 'unknown' where there is none."""
     fills = {}
     for c in columns:
         top = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).limit(1).collect()
         fills[c] = top[0][0] if top else "unknown"
-    return df.fillna(fills) if fills else df
+    return fills
 
 
-def encoder_stages(numeric: list[str], categorical: list[str], scale: bool = False) -> list:
-    """Median imputation, one-hot with unknown values ignored, one feature vector."""
-    stages: list = []
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fill_stage(df: DataFrame, numeric: list[str], texts: dict[str, str], scale: bool = False) -> SQLTransformer:
+    """Stage of a saved pipeline: exact medians for missing numbers, given texts for missing categories.
+
+    ``scale`` also subtracts the median and divides by the interquartile range, a range of zero by 1.
+    """
+    cuts = quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
+    parts = []
+    for c in numeric:
+        low, middle, high = (q if q is not None else 0.0 for q in cuts[c])
+        number = f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), CAST('{middle!r}' AS DOUBLE))"
+        if scale:
+            number = f"({number} - CAST('{middle!r}' AS DOUBLE)) / CAST('{(high - low) or 1.0!r}' AS DOUBLE)"
+        parts.append(f"{number} AS `{c}__filled`")
+    parts += [f"coalesce(CAST(`{c}` AS STRING), {_text(fill)}) AS `{c}__text`" for c, fill in texts.items()]
+    return SQLTransformer(statement=f"SELECT {', '.join(['*', *parts])} FROM __THIS__")
+
+
+def encoder_stages(df: DataFrame, numeric: list[str], texts: dict[str, str], scale: bool = False) -> list:
+    """Filling, one-hot codes of the known values (an unknown value has none), one feature vector."""
+    stages: list = [fill_stage(df, numeric, texts, scale)]
     inputs = []
     if numeric:
-        filled = [f"{c}__filled" for c in numeric]
-        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=filled))
-        stages.append(VectorAssembler(inputCols=filled, outputCol="numeric", handleInvalid="keep"))
-        if scale:
-            stages.append(RobustScaler(inputCol="numeric", outputCol="numeric_scaled", withCentering=True, withScaling=True))
-        inputs.append("numeric_scaled" if scale else "numeric")
-    if categorical:
-        index = [f"{c}__index" for c in categorical]
-        hot = [f"{c}__hot" for c in categorical]
-        stages.append(StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=index, outputCols=hot, handleInvalid="keep"))
+        stages.append(VectorAssembler(inputCols=[f"{c}__filled" for c in numeric], outputCol="numeric", handleInvalid="keep"))
+        inputs.append("numeric")
+    if texts:
+        index, hot = [f"{c}__index" for c in texts], [f"{c}__hot" for c in texts]
+        # the slot for unknown values is the last one, which the encoder drops
+        stages.append(StringIndexer(inputCols=[f"{c}__text" for c in texts], outputCols=index, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=index, outputCols=hot, handleInvalid="error", dropLast=True))
         inputs += hot
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     return stages
@@ -75,20 +93,17 @@ def preprocessing_model(df: DataFrame, scale: bool = True, exclude: tuple[str, .
     """Numeric: impute and robust-scale; categorical: 'unknown' and one-hot; the rest dropped."""
     kept, numeric, categorical = model_input(df)
     numeric = [c for c in numeric if c not in exclude]
-    filled = kept.fillna("unknown", subset=categorical) if categorical else kept
-    doubles = filled.withColumns({c: F.col(c).cast("double") for c in numeric})
-    return Pipeline(stages=encoder_stages(numeric, categorical, scale)).fit(doubles)
+    return Pipeline(stages=encoder_stages(kept, numeric, dict.fromkeys(categorical, "unknown"), scale)).fit(kept)
 
 
 def fit_classifier(train: DataFrame, classifier, weight: bool = True) -> PipelineModel:
-    """Encoders and classifier fitted on training rows only."""
+    """Encoders and classifier fitted on training rows only; the fills are part of the model."""
     kept, numeric, categorical = model_input(train)
-    kept = most_frequent_fill(kept, categorical)
-    kept = kept.withColumns({c: F.col(c).cast("double") for c in [*numeric, "label"]})
+    kept = kept.withColumn("label", F.col("label").cast("double"))
     if weight:
         kept = class_weights(kept)
         classifier = classifier.copy().setWeightCol("weight")
-    return Pipeline(stages=[*encoder_stages(numeric, categorical), classifier]).fit(kept)
+    return Pipeline(stages=[*encoder_stages(kept, numeric, most_frequent(kept, categorical)), classifier]).fit(kept)
 
 
 def apply_classifier(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import columns as C
 from sessionloom.operators.structure import align_schema
-from sessionloom.plans.chunks import ordered_points, ranked, running_total
+from sessionloom.plans.chunks import order_chunks, ordered_points, ranked, running_total
 from sessionloom.plans.cuts import at_or_before, rank_cuts
 from sessionloom.session import materialise
 
@@ -107,16 +107,24 @@ def segment_traces(moves: DataFrame, target: int, prefix: str, tie: str | list[s
     )
 
 
+def busy_order(sessions: DataFrame) -> DataFrame:
+    """(session_id, _busy): sessions of one (movements, requests) pair share the number of sessions ahead of them.
+
+    The two columns are sort keys of their own, largest first, NULL last; the running count is over distinct pairs.
+    """
+    keys = ["total_movements", "total_requests"]
+    pairs = sessions.groupBy(*keys).agg(F.count("*").alias("_n")).withColumns({"_all": F.lit(0), "_down": -F.col("total_movements").cast("double")})
+    upto = running_total(order_chunks(pairs, "_down"), ["_all"], [F.desc_nulls_last(c) for c in keys], {"_busy": "_n"})
+    table = upto.select(*[F.col(c).alias("p_" + c) for c in keys], "_busy")
+    same = sessions["total_movements"].eqNullSafe(table["p_total_movements"]) & sessions["total_requests"].eqNullSafe(table["p_total_requests"])
+    return sessions.join(table, same).select("session_id", "_busy")
+
+
 def rank_matched_ids(segments: DataFrame, sessions: DataFrame) -> DataFrame:
     """(segment id, session id): k-th longest segment takes the k-th busiest session's id, else NULL."""
     sizes = segments.groupBy("session_id").agg(F.count("*").alias("_n"))
     left = ranked(sizes, "_n", "session_id", descending=True).select(F.col("session_id").alias("segment_id"), "rank")
-    # requests only order sessions of equal movements: one number keeps both keys
-    busy = sessions.select(
-        F.col("session_id"),
-        (F.col("total_movements") * F.lit(float(2**26)) + F.least("total_requests", F.lit(2**26 - 1))).alias("_busy"),
-    )
-    right = ranked(busy, "_busy", "session_id", descending=True).select("session_id", "rank")
+    right = ranked(busy_order(sessions), "_busy", "session_id").select("session_id", "rank")
     return left.join(right, "rank", "left").select("segment_id", "session_id")
 
 
@@ -189,35 +197,12 @@ def sessions_from_traces(
     return align_schema(out) if align else out
 
 
-ORDINAL_LIMIT = 5_000_000
-
-
-def id_ordinals(df: DataFrame, key: str = "session_id", name: str = "_ordinal", limit: int = ORDINAL_LIMIT) -> DataFrame:
+def id_ordinals(df: DataFrame, key: str = "session_id", name: str = "_ordinal") -> DataFrame:
     """0-based position of every row in key order: cells in order first, then inside a cell.
 
-    Up to ``limit`` rows the cells come from sampled edges, without another pass over the
-    data. Beyond it the table is range-partitioned by key and written once, so that the
-    cell number is data and cannot change when a task runs again.
+    The table is range-partitioned by key and written once, so that the cell number is data and
+    cannot change when a task runs again.
     """
-    n = df.count()
-    if n > limit:
-        parts = max(64, n // 1_000_000)
-        ranged = df.repartitionByRange(int(parts), key).withColumn("_chunk", F.spark_partition_id())
-        base = materialise(ranged, "ordinals")
-    else:
-        edges = id_edges(df, key, n)
-        cell = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(key))) if edges else F.lit(0)
-        base = df.withColumn("_chunk", cell)
+    base = materialise(df.repartitionByRange(key).withColumn("_chunk", F.spark_partition_id()), "ordinals")
     out = running_total(base.withColumns({"_one": F.lit(1), "_all": F.lit(0)}), ["_all"], [key], {name: "_one"})
     return out.withColumn(name, F.col(name) - 1).drop("_one", "_all", f"{name}_total")
-
-
-def id_edges(df: DataFrame, key: str, n: int, cells: int = 64) -> list[str]:
-    """Cell edges from a hash sample of at most about ``cells * 16`` ids (bounded driver data)."""
-    if n <= cells:
-        return []
-    share = min(1.0, cells * 16 / n)
-    sample = df.select(F.col(key).cast("string").alias("k")).filter(C.uniform(F.col("k"), "edge") < share)
-    ids = sorted(r["k"] for r in sample.orderBy(C.uniform(F.col("k"), "edge")).limit(cells * 32).collect())
-    step = max(1, len(ids) // cells)
-    return ids[step::step]

@@ -12,11 +12,12 @@ __all__ = ["average_rank", "decile_strata", "frequency_strata", "ranked"]
 
 
 def average_rank(df: DataFrame, value: str, name: str, pct: bool = False) -> DataFrame:
-    """Rank with ties averaged (NULL for NULL).
+    """Rank with ties averaged (NULL for NULL and NaN).
 
     Ranks are found on distinct values with counts and joined back on the value.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
+    usable = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).isNotNull()
+    counts = df.filter(usable).groupBy(value).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
     totals = running_total(order_chunks(counts, value), ["_all"], [value], {"_upto": "_n"})
     rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0
     table = totals.select(value, (rank / F.col("_upto_total") if pct else rank).alias(name))

@@ -133,7 +133,7 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def replace_class(df: DataFrame, replacement: DataFrame, label: int) -> DataFrame:
     """Swap all rows of one class for another set; ids already present win in that order."""
-    rest = df.filter(F.col("label") != label)
+    rest = df.filter(~F.col("label").eqNullSafe(F.lit(label)))
     both = replacement.withColumn("_src", F.lit(0)).unionByName(rest.withColumn("_src", F.lit(1)), allowMissingColumns=True)
     return first_per_key(both, "session_id", ["_src"]).drop("_src")
 

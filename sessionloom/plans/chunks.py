@@ -14,6 +14,9 @@ from pyspark.sql import Window as W
 
 from sessionloom.functions.columns import stable_fraction
 
+#: Rows that one cell of an ordered computation holds on average.
+CELL_ROWS = 2_000_000
+
 
 def time_gaps(
     df: DataFrame, keys: list[str], time: str, tie: str, limit_us: int | None = None, chunk_seconds: int = 60
@@ -132,25 +135,31 @@ def ordered_points(
     )
 
 
-def order_chunks(df: DataFrame, value: str, key: str | None = None, cells: int = 256, ties: int = 1024) -> DataFrame:
+def order_chunks(df: DataFrame, value: str, key: str | None = None, cells: int | None = None, ties: int | None = None) -> DataFrame:
     """Add ``_chunk``, an order-preserving cell number of (value, hash(key)).
 
-    Cell edges come from one ``percentile_approx`` pass. A value frequent enough to be an
-    edge gets a cell of its own, cut further by the key hash, so that ties cannot pile up.
+    Cell edges come from one ``percentile_approx`` pass; their number follows the row count. A value frequent
+    enough to be an edge gets a cell of its own, cut further by the key hash, so that ties cannot pile up.
+    NULL and NaN share a cell after all others, cut by the key hash too.
     """
+    plain = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    if cells is None or ties is None:
+        rows = df.count()
+        cells, ties = cells or max(256, rows // CELL_ROWS), ties or max(1024, rows // CELL_ROWS)
     grid = [i / cells for i in range(1, cells)]
-    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), grid, cells * 50)).first()[0] or [0.0]
-    edges = sorted({float(e) for e in edges})
+    edges = df.agg(F.percentile_approx(F.when(F.abs(plain) < float("inf"), plain), grid, cells * 50)).first()[0] or [0.0]
+    edges = sorted({float(e) + 0.0 for e in edges})
     splits = [-float("inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_v", outputCol="_cell", handleInvalid="keep")
-    placed = cut.transform(df.withColumn("_v", F.col(value).cast("double")))
+    placed = cut.transform(df.withColumns({"_none": plain.isNull(), "_v": F.coalesce(plain, F.lit(0.0))}))
     floor_edge = F.element_at(F.array(*[F.lit(e) for e in [-float("inf"), *edges]]), (F.col("_cell") + 1).cast("int"))
-    on_edge = F.col("_v") == floor_edge
-    cell = (F.col("_cell") * 2 + F.when(on_edge, 0).otherwise(1)).cast("long")
+    on_edge = F.col("_none") | (F.col("_v") == floor_edge)
+    place = F.when(F.col("_none"), float(len(splits))).otherwise(F.col("_cell"))
+    cell = (place * 2 + F.when(on_edge, 0).otherwise(1)).cast("long")
     if key is None:
-        return placed.withColumn("_chunk", cell).drop("_v", "_cell")
+        return placed.withColumn("_chunk", cell).drop("_v", "_cell", "_none")
     sub = F.when(on_edge, F.floor(stable_fraction(F.col(key).cast("string")) * ties)).otherwise(0)
-    return placed.withColumn("_chunk", cell * ties + sub).drop("_v", "_cell")
+    return placed.withColumn("_chunk", cell * ties + sub).drop("_v", "_cell", "_none")
 
 
 def running_total(df: DataFrame, groups: list[str], order: list, weights: dict[str, str]) -> DataFrame:
@@ -175,8 +184,9 @@ def running_total(df: DataFrame, groups: list[str], order: list, weights: dict[s
 
 
 def ranked(df: DataFrame, value: str, key: str, descending: bool = False, name: str = "rank") -> DataFrame:
-    """1-based rank over (value, hash(key), key) for every row, balanced under ties."""
-    signed = -F.col(value).cast("double") if descending else F.col(value).cast("double")
+    """1-based rank over (value, hash(key), key) for every row, balanced under ties; NULL and NaN rank last."""
+    plain = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    signed = -plain if descending else plain
     base = df.withColumns({"_sv": signed, "_one": F.lit(1), "_hk": stable_fraction(F.col(key).cast("string")), "_all": F.lit(0)})
     chunked = order_chunks(base, "_sv", key)
     out = running_total(chunked, ["_all"], ["_sv", "_hk", key], {name: "_one"})

@@ -49,13 +49,31 @@ def order_statistics(
         finally:
             long.unpersist()
     spark = long.sparkSession
-    sizes = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    wanted = {g: sorted(set(ranks.get(g, []) if ranks is not None else rank_of(n))) for g, n in sizes.items()}
+    v = F.col("v")
+    counted = long.groupBy("g").agg(
+        F.count("*").alias("n"), F.count_if(v == -math.inf).alias("low"), F.count_if(v == math.inf).alias("high")
+    ).collect()
+    sizes = {r["g"]: r["n"] for r in counted}
+    asked = {g: sorted(set(ranks.get(g, []) if ranks is not None else rank_of(n))) for g, n in sizes.items()}
+    # infinite values are settled by their counts; what is narrowed below is finite, so every round shrinks its ranges
+    ends: dict[tuple[str, int], tuple[float, int, int]] = {}
+    wanted, below_all = {}, {}
+    for r in counted:
+        g, n, low, high = r["g"], r["n"], r["low"], r["high"]
+        for rank in asked[g]:
+            if rank < low:
+                ends[(g, rank)] = (-math.inf, 0, low)
+            elif rank >= n - high:
+                ends[(g, rank)] = (math.inf, n - high, high)
+        wanted[g] = [rank - low for rank in asked[g] if low <= rank < n - high]
+        below_all[g] = low
+    long = long.filter(F.abs(v) < math.inf)
     # open ranges: (group, low, high) -> ranks still sought inside it
     ranges: dict[tuple[str, float, float], list[int]] = {
         (g, -math.inf, math.inf): r for g, r in wanted.items() if r
     }
-    inside = {key: sizes[key[0]] for key in ranges}
+    finite = {r["g"]: r["n"] - r["low"] - r["high"] for r in counted}
+    inside = {key: finite[key[0]] for key in ranges}
     found: dict[tuple[str, int], tuple[float, int, int]] = {}
 
     while any(n > limit for n in inside.values()):
@@ -108,7 +126,8 @@ def order_statistics(
         hits = running.join(F.broadcast(sought), "id").filter("below <= rank and rank < below + n")
         for row in hits.select("id", "rank", "v", "below", "n").collect():
             found[(keys[row["id"]][0], row["rank"])] = (row["v"], row["below"], row["n"])
-    return found, sizes
+    shifted = {(g, r + below_all[g]): (value, below + below_all[g], n) for (g, r), (value, below, n) in found.items()}
+    return {**shifted, **ends}, sizes
 
 
 def _within(spark, long: DataFrame, ranges) -> DataFrame:
@@ -126,7 +145,7 @@ def _cell_counts(spark, long: DataFrame, cells) -> dict[str, list[tuple[str, flo
     """Row counts of the open cells and of their edge values, in value order per group."""
     edges: dict[str, list[float]] = defaultdict(set)
     for g, low, high in cells:
-        edges[g].update(e for e in (low, high) if not math.isinf(e))
+        edges[g].update(e for e in (low, high) if not math.isinf(e))  # the values themselves are finite
     table = spark.createDataFrame([(g, sorted(e)) for g, e in edges.items()], "g string, edges array<double>")
     # 2*i for the open cell below edge i, 2*i+1 for the edge itself
     lower = F.size(F.filter("edges", lambda e: e < F.col("v")))
@@ -230,17 +249,19 @@ def _rank_cuts(base: DataFrame, ranks, rank_of) -> dict[str, list[Cut | None]]:
     )
     hashed = base.join(F.broadcast(values), ["g", "v"]).select(F.col("tie").alias("g"), "k", stable_fraction(F.col("k")).alias("h"))
     cuts, _ = order_statistics(hashed.select("g", F.col("h").alias("v")), ranks=dict(inner), keep=False)
-    # rows sharing one 48-bit hash: order the handful by key
-    spots = sorted({(g, h) for (g, _), (h, _, _) in cuts.items()})
-    shared = defaultdict(list)
-    for row in hashed.join(F.broadcast(spark.createDataFrame(spots, "g string, h double")), ["g", "h"]).collect():
-        shared[(row["g"], row["h"])].append(row["k"])
+    # keys sharing one 48-bit hash are ordered by key; a repeated key counts its rows
+    spots = sorted({(g, h, within - below) for (g, within), (h, below, _) in cuts.items()})
+    sought = spark.createDataFrame(spots, "g string, h double, at long")
+    named = hashed.join(F.broadcast(sought.select("g", "h").distinct()), ["g", "h"]).groupBy("g", "h", "k").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("g", "h").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow))
+    hits = named.withColumn("upto", upto).join(F.broadcast(sought), ["g", "h"]).filter("upto - n <= at and at < upto")
+    shared = {(row["g"], row["h"], row["at"]): row["k"] for row in hits.select("g", "h", "at", "k").collect()}
     for g, rs in asked.items():
         for i, r in enumerate(rs):
             if (g, r) in place:
                 v, tie, within = place[(g, r)]
                 h, below, _ = cuts[(tie, within)]
-                out[g][i] = (v, h, sorted(shared[(tie, h)])[within - below])
+                out[g][i] = (v, h, shared[(tie, h, within - below)])
     return out
 
 
@@ -292,15 +313,16 @@ def _cut_sql(column: str, key: str, cut: Cut) -> str:
 
 
 def flag_by_hash(
-    df: DataFrame, strata: list[str], quota: DataFrame, key: str, salt: str, buckets: int = 16384,
+    df: DataFrame, strata: list[str], quota: DataFrame, key: str, salt: str, buckets: int | None = None,
     take: str = "take", name: str = "taken", keep_rest: bool = True,
 ) -> DataFrame:
     """Mark the ``take`` rows with the smallest keyed hash in every stratum.
 
     ``quota`` holds one row per stratum. A histogram of hash buckets tells which buckets
     are taken whole; only the one bucket per stratum that the quota cuts through is ranked,
-    so no stratum is ever sorted in one task.
+    so no stratum is ever sorted in one task. The number of buckets follows the row count.
     """
+    buckets = buckets or max(16384, df.count() // 50_000)
     keyed = df.withColumn("_h", stable_fraction(F.concat(F.col(key).cast("string"), F.lit("|" + salt))))
     keyed = keyed.withColumn("_b", F.floor(F.col("_h") * buckets).cast("int"))
     hist = keyed.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -32,16 +31,9 @@ def build_session(app: str = "sessionloom", master: str | None = None, **conf: s
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master without that setting gets a temporary folder of its own;
-    on a cluster a missing setting is an error, since a machine-local path would
-    be lost with its machine.
+    Without that setting the warehouse takes its place: tables of the session are shared there in any case.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="sessionloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/sessionloom/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -62,14 +62,16 @@ def normalise_clicks(df: DataFrame, calendar: bool = True) -> DataFrame:
 
 
 def capped_class_scan(
-    df: DataFrame, negative_cap: int = 120_000, order: tuple[str, ...] = ("click_time", "event_id")
+    df: DataFrame, negative_cap: int | None = None, order: tuple[str, ...] = ("click_time", "event_id")
 ) -> DataFrame:
-    """All positives plus the first ``negative_cap`` negatives in time order.
+    """All rows, or all positives plus the first ``negative_cap`` negatives in time order where a cap is asked for.
 
     The positive minimum of a chunked reader is only a stopping rule for reading in file
     order; a distributed scan reads every positive anyway. Both branches push their
     filter into the scan and the limit is a distributed top-n.
     """
+    if negative_cap is None:
+        return df
     flag = F.coalesce(F.col("is_attributed"), F.lit(0))
     positives = df.filter(flag == 1)
     negatives = df.filter(flag == 0).orderBy(*order).limit(negative_cap)

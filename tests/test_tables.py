@@ -182,3 +182,24 @@ print("rows", detect_anomalies(df, ["a", "b"], trees=5, sample=32).filter("anoma
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "rows 300" in done.stdout, done.stderr[-2000:]
+
+
+def test_replacing_a_class_keeps_rows_without_label(spark):
+    df = spark.createDataFrame([("a", 1), ("b", None), ("c", 2)], "session_id string, label int")
+    new = spark.createDataFrame([("d", 1)], "session_id string, label int")
+    assert sorted(r["session_id"] for r in structure.replace_class(df, new, 1).collect()) == ["b", "c", "d"]
+
+
+def test_preprocessing_fills_scales_and_ignores_unknown_values(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from sessionloom.operators.models import preprocessing_model
+
+    rows = [("a", 0, 5.0, 1.0, "x"), ("b", 1, 5.0, 3.0, "x"), ("c", 0, 5.0, None, "y"), ("d", 1, 6.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "session_id string, label int, flat double, wide double, kind string")
+    model = preprocessing_model(df)
+    fresh = spark.createDataFrame([("e", 0, 6.0, None, "z"), ("f", 0, None, 5.0, "y")], df.schema)
+    got = {r["session_id"]: r["f"] for r in model.transform(fresh).select("session_id", vector_to_array("features").alias("f")).collect()}
+    assert got["e"][0] == 4.0  # (6 - 5) / 0.25
+    assert got["e"][1] == 0.0 and got["e"][2:] == [0.0, 0.0, 0.0]
+    assert got["f"][0] == 0.0 and sum(got["f"][2:]) == 1.0
