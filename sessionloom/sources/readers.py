@@ -76,3 +76,8 @@ def capped_class_scan(
     positives = df.filter(flag == 1)
     negatives = df.filter(flag == 0).orderBy(*order).limit(negative_cap)
     return positives.unionByName(negatives)
+
+
+def read_csv_inferred(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV with a heading whose column types are read from the data (one more pass over the files)."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
