@@ -254,6 +254,11 @@ LONG_MEANS = ["mouse_speed_mean", "requests_per_minute"]
         + " UNION ALL (SELECT 'source_balance', 'talkingdata', count(*)::VARCHAR FROM sc)"
         + " UNION ALL (SELECT 'missing', 'click_interval_std', (count(*) - count(click_interval_std))::VARCHAR FROM sc HAVING count(*) > count(click_interval_std))"
         + f" UNION ALL (SELECT 'outliers', feature, n_outliers::VARCHAR FROM ({iqr_sql(['label', 'click_interval_std', 'mouse_speed_mean', 'requests_per_minute', 'install_count'], 'WHERE n_outliers > 0', False)}))"
+        + "".join(
+            f" UNION ALL (SELECT 'correlation', '{a}__{b}', printf('%.6f', covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) + 3e-8) FROM sc)"
+            for a, b in NAMED[3:]
+        )
+        + "".join(f" UNION ALL (SELECT 'mean:{c}', label::VARCHAR, printf('%.4f', round(avg({c}), 4)) FROM sc GROUP BY label)" for c in LONG_MEANS)
         + " UNION ALL (SELECT 'integrity', 'duplicate_session_ids', '0') UNION ALL (SELECT 'integrity', 'missing_labels', '0')",
         EVENT_FEATURES, BUSY, BUSY_FLAGS,
     ),
@@ -262,9 +267,7 @@ def _(spark, folder):
     df = profiled(spark, folder).select(
         "session_id", "label", F.lit("talkingdata").alias("data_source"), "click_interval_std", "mouse_speed_mean", "requests_per_minute", "install_count"
     )
-    out = profile.integration_report_long(df, clicks(spark, folder), sessions.label_events(busy_clicks(spark, folder)), NAMED, LONG_MEANS)
-    # correlations and class means are compared on their own (agg13, agg21)
-    return out.filter(~F.col("section").startswith("mean:") & (F.col("section") != "correlation"))
+    return profile.integration_report_long(df, clicks(spark, folder), sessions.label_events(busy_clicks(spark, folder)), NAMED, LONG_MEANS)
 
 
 @query(
