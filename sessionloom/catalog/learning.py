@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.catalog.base import (
-    CLICKS, GAP_MINUTES, H, PROXY, R, Rs, S, SCORE, U, clicks, ev_sql, events, prof, profiled, query, rounded,
+    CLICKS, GAP_MINUTES, H, ORACLES, PROXY, R, Rs, S, SCORE, U, clicks, ev_sql, events, prof, profiled, query, rounded,
     sess, staged, stamp, temporal,
 )
 from sessionloom.catalog.domain import click_seq
@@ -152,10 +152,40 @@ def _(spark, folder):
     return rounded(kept.select("label", *numeric, *categorical))
 
 
+def fitted(spark, folder, name, classifier):
+    """Test predictions of one fitted model, written once."""
+    return staged(spark, folder, name, lambda s, f: fit_and_apply(s, f, classifier)[1].select(*PREDICTION))
+
+
+def forest(spark, folder):
+    return fitted(spark, folder, "forest", models.random_forest(trees=40, depth=8))
+
+
+def boosted(spark, folder):
+    return fitted(spark, folder, "boosted", models.boosted_trees(rounds=10, depth=4))
+
+
+#: What must hold of any classifier's output: a row per test session, probabilities that sum to one, the largest wins.
+TESTED = f"SELECT count(*) AS n, count(*) AS sums_to_one, count(*) AS largest_wins FROM ({ORACLES['smp06_stratified_split']}) WHERE is_test"
+
+
+def invariants(out):
+    total = F.aggregate("probability_array", F.lit(0.0), lambda t, p: t + p)
+    return out.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.count_if(F.element_at("probability_array", F.col("prediction").cast("int") + 1) >= F.array_max("probability_array") - 1e-12).alias("largest_wins"),
+    )
+
+
 @query("mdl02_random_forest")
 def _(spark, folder):
-    _, out = fit_and_apply(spark, folder, models.random_forest(trees=40, depth=8))
-    return out.select(*PREDICTION)
+    return forest(spark, folder)
+
+
+@query("mdl02_forest_invariants", TESTED)
+def _(spark, folder):
+    return invariants(forest(spark, folder))
 
 
 @query("mdl06_feature_importance")
@@ -166,26 +196,41 @@ def _(spark, folder):
 
 @query("mdl03_boosted_trees")
 def _(spark, folder):
-    _, out = fit_and_apply(spark, folder, models.boosted_trees(rounds=10, depth=4))
-    return out.select(*PREDICTION)
+    return boosted(spark, folder)
+
+
+@query("mdl03_boosted_invariants", TESTED)
+def _(spark, folder):
+    return invariants(boosted(spark, folder))
+
+
+def sequence_predictions(spark, folder):
+    def build(s, f):
+        seq = models.flatten_steps(click_seq(s, f)).select("session_id", "label", "features")
+        marked = staged(s, f, "sequence_split", lambda *_: sampling.stratified_split(seq))
+        model = models.sequence_classifier(300).fit(marked.filter("not is_test"))
+        return models.with_probabilities(model.transform(marked.filter("is_test"))).select(*PREDICTION)
+
+    return staged(spark, folder, "sequence_predictions", build)
 
 
 @query("mdl04_sequence_classifier")
 def _(spark, folder):
-    seq = models.flatten_steps(click_seq(spark, folder)).select("session_id", "label", "features")
-    marked = staged(spark, folder, "sequence_split", lambda s, f: sampling.stratified_split(seq))
-    model = models.sequence_classifier(300).fit(marked.filter("not is_test"))
-    out = models.with_probabilities(model.transform(marked.filter("is_test")))
-    return out.select(*PREDICTION)
+    return sequence_predictions(spark, folder)
+
+
+@query("mdl04_sequence_invariants", TESTED)
+def _(spark, folder):
+    return invariants(sequence_predictions(spark, folder))
 
 
 @query("evl01_model_comparison")
 def _(spark, folder):
-    frames = {}
-    for name, classifier in (("RandomForest", models.random_forest(20, 6)), ("Boosted", models.boosted_trees(5, 3))):
-        _, out = fit_and_apply(spark, folder, classifier)
-        frames[name] = evaluation.classification_metrics(out)
-    return models.compare_models(frames)
+    outs = {"RandomForest": forest(spark, folder), "Boosted": boosted(spark, folder)}
+    vote = models.soft_vote(outs["RandomForest"], outs["Boosted"], "session_id")
+    outs["Ensemble"] = vote.join(outs["RandomForest"].select("session_id", "label"), "session_id")
+    outs["Sequence"] = sequence_predictions(spark, folder)
+    return models.compare_models({name: evaluation.classification_metrics(out) for name, out in outs.items()})
 
 
 # --- sinks: written, read back and compared ----------------------------------------------
@@ -225,14 +270,27 @@ def _(spark, folder):
     return spark.read.parquet(f"{path}/sequences").select("session_id", "label", F.size("steps").alias("length"), F.lit(width).cast("int").alias("features"))
 
 
-@query("snk04_save_model")
-def _(spark, folder):
+def reloaded(spark, folder):
+    """Test rows with the predictions of a forest before and after it was saved and loaded."""
     path = work_folder(spark, "sink-model")
     df = split_sessions(spark, folder)
+    # a category the fit has not seen and a missing one go through the saved fills
+    odd = F.when(F.crc32(F.col("session_id").cast("binary")) % 5 == 0, F.lit(None)).when(F.crc32(F.col("session_id").cast("binary")) % 5 == 1, "never seen")
+    test = df.filter("is_test").drop("is_test").withColumn("channel", F.when(F.crc32(F.col("session_id").cast("binary")) % 5 < 2, odd).otherwise(F.col("channel")))
     model = models.fit_classifier(df.filter("not is_test").drop("is_test"), models.random_forest(5, 4))
     writers.save_model(model, path)
-    out = models.apply_classifier(writers.load_model(path), df.filter("is_test").drop("is_test"))
-    return out.select(*PREDICTION)
+    before = models.apply_classifier(model, test).select("session_id", F.col("probability_array").alias("p"))
+    return models.apply_classifier(writers.load_model(path), test).select(*PREDICTION).join(before, "session_id")
+
+
+@query("snk04_save_model")
+def _(spark, folder):
+    return reloaded(spark, folder).select(*PREDICTION)
+
+
+@query("snk04_reload_equality", f"SELECT count(*) AS n, count(*) AS equal FROM ({ORACLES['smp06_stratified_split']}) WHERE is_test")
+def _(spark, folder):
+    return reloaded(spark, folder).agg(F.count("*").alias("n"), F.count_if(F.col("p") == F.col("probability_array")).alias("equal"))
 
 
 # --- streams -----------------------------------------------------------------------------

@@ -360,6 +360,14 @@ def _(spark, folder):
     return anomaly.anomaly_summary(scored(spark, folder))
 
 
+@query("ano01_share_of_anomalies", prof("SELECT count(*) AS n, true AS share_is_met, true AS rows_are_kept FROM sc"))
+def _(spark, folder):
+    """What must hold of any forest: every row has a score and 3 % of them, but for ties, lie above the cut."""
+    above = F.count_if(F.col("anomaly_score") > 0)
+    near = F.abs(above - 0.03 * F.count("*")) <= 0.01 * F.count("*") + 1
+    return scored(spark, folder).agg(F.count("*").alias("n"), near.alias("share_is_met"), (F.count("anomaly_score") == F.count_distinct("session_id")).alias("rows_are_kept"))
+
+
 @query(
     "ano02_threshold_count",
     prof(f"SELECT {R('q', 4)} AS threshold, count(*) FILTER (WHERE mouse_path_length >= q) AS outlier_count FROM sc, (SELECT quantile_cont(mouse_path_length, 0.97) AS q FROM sc) GROUP BY q"),
