@@ -147,7 +147,7 @@ def word_count(text: Column) -> Column:
 def op10_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with their source's target and the words the mix takes of each."""
     rows = documents(spark, folder).select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("mark")
     )
     return mix(rows, key=["doc_id", "mark"]).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import contamination, html, mixing, ngram_join, pii, quality, secrets, sharding, substrings, vectors
+from sessionloom.llm import contamination, html, mixing, ngram_join, oracles, pii, quality, secrets, sharding, substrings, vectors
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -16,4 +16,10 @@ QUERIES = {
     "op9_seeded_alignment": contamination.op9_seeded_alignment,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
-ORACLES: dict[str, str] = {}
+#: The others learn, align or hash in ways SQL has no words for; tests compare them with plain versions.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op7_cover_sample_suffixes": oracles.SUBSTRINGS,
+    "op8_stable_hashing": oracles.VECTORS,
+    "op10_pareto_mix": oracles.MIX,
+}
