@@ -25,7 +25,8 @@ ship_by_value(tokens.__name__)
 FIT_ROWS = 12_000
 BUCKETS = 1 << 14
 RANK = 8
-EPOCHS = 12
+#: Passes over the learning rows: ``EPOCHS``, or as many as make ``STEPS`` steps of 256 rows where the rows are few.
+EPOCHS, STEPS = 12, 300
 THRESHOLD = 0.7
 STATISTICS = (
     "log characters, log words, bytes per word, upper case, digits, symbols, exclamation marks, line ends, beyond ASCII, "
@@ -119,8 +120,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> Machin
     rates = {"words": 0.05, "word_factors": 0.02, "stats": 0.03, "stat_factors": 0.02}
     first = {k: np.zeros_like(getattr(m, k)) for k in names}
     second = {k: np.zeros_like(getattr(m, k)) for k in names}
-    step = 0
-    for _ in range(EPOCHS):
+    step, batches = 0, -(-len(rows) // 256)
+    for _ in range(max(EPOCHS, -(-STEPS // batches))):
         order = draw.permutation(len(rows))
         for begin in range(0, len(order), 256):
             part = order[begin : begin + 256]
@@ -131,7 +132,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> Machin
             owner = np.repeat(np.arange(len(part)), counts)
             ge = (g * each)[owner]
             push = {
-                "words": np.bincount(buckets, ge, BUCKETS),
+                "words": np.bincount(buckets, ge, BUCKETS) + 1e-5 * m.words,
                 "stats": x.T @ g + 1e-4 * m.stats,
                 "stat_factors": x.T @ (g[:, None] * total) - ((x * x).T @ g)[:, None] * m.stat_factors + 1e-4 * m.stat_factors,
             }
