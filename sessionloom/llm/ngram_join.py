@@ -5,6 +5,9 @@ n - ceil(t n) + 1 of them are joined: two sets with similarity t share one of th
 n-gram, one after another serves as the star that all others are compared with, so a group of near copies costs one pair
 per member and not one per pair of members: classes that are already connected need no comparison. What stays
 unconnected after ``STARS`` stars is joined pair by pair, so no link between different texts is lost.
+
+The suffix filter bounds a pair's Hamming distance from below: a set's parity sketch flips one of ``SKETCH`` bits for each n-gram, so two
+sketches differ in at most as many bits as the sets differ in n-grams. Only pairs within all bounds fetch their sets.
 """
 
 from __future__ import annotations
@@ -28,33 +31,37 @@ ship_by_value(tokens.__name__)
 COUNTERS, ROW = 1 << 20, 1 << 14
 #: Bits of the filter that tells which classes have a candidate.
 FILTER_BITS = 1 << 22
-STARS = 3
+STARS = 2
+#: An n-gram whose counter exceeds this and ``OFTEN`` times the mean may be hot: its rows are dealt into ``SALTS`` groups first.
+HOT, OFTEN, SALTS = 1000, 20, 1024
+SKETCH = 512
+_PARTS = [f"s{i}" for i in range(SKETCH // 64)]
 
-_SETS = "doc_id long, mark long, class long, n long, part int, counts binary"
+_SETS = f"doc_id long, mark long, class long, n long, {', '.join(f'{c} long' for c in _PARTS)}, part int, counts binary"
 
 
 def _sets(batches, n, counters):
-    """Rows (doc_id, mark, class, n) and, at a partition's end, its n-gram counts in compressed rows."""
+    """Rows (doc_id, mark, class, n, sketch) and, at a partition's end, its n-gram counts in compressed rows."""
     counts = np.zeros(counters, dtype=np.int64)
+    names = ["doc_id", "mark", "class", "n", *_PARTS, "part", "counts"]
     for batch in batches:
-        classes, sizes = [], []
-        for _, own in tokens.shingle_sets(batch.column("text"), n):
+        classes, sizes, flips = [], [], np.zeros((batch.num_rows, SKETCH), dtype=np.uint8)
+        for i, own in tokens.shingle_sets(batch.column("text"), n):
             classes.append(tokens.set_mark(own) if len(own) else None)
             sizes.append(len(own))
             np.add.at(counts, own & (counters - 1), 1)
+            flips[i] = np.bincount((own >> 40) & (SKETCH - 1), minlength=SKETCH) & 1
+        sketch = np.packbits(flips, axis=1).view(np.int64)
         none = pa.nulls(len(sizes))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("mark"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
-            ["doc_id", "mark", "class", "n", "part", "counts"],
-        )
+            [batch.column("doc_id"), batch.column("mark"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())]
+            + [pa.array(np.ascontiguousarray(c)) for c in sketch.T] + [none.cast(pa.int32()), none.cast(pa.binary())],
+            names,
+        )
     if counts.any():
-        parts = range(0, counters, ROW)
-        blobs = [zlib.compress(counts[i : i + ROW].tobytes(), 1) for i in parts]
+        blobs = [zlib.compress(counts[i : i + ROW].tobytes(), 1) for i in range(0, counters, ROW)]
         none = pa.nulls(len(blobs)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())],
-            ["doc_id", "mark", "class", "n", "part", "counts"],
-        )
+        yield pa.RecordBatch.from_arrays([none] * (len(names) - 2) + [pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names)
 
 
 def _summed(batches):
@@ -67,10 +74,11 @@ def _summed(batches):
 
 
 def _prefixes(batches, n, percent, shared):
-    """The rare-first prefix of every class once per partition: gram, class, size, position."""
+    """The rare-first prefix of every class once per partition: gram, class, size, position, salt of frequent grams (or -1)."""
     counts, seen = shared.value, set()
+    often = max(HOT, OFTEN * counts.sum() // len(counts))
     for batch in batches:
-        grams, classes, sizes, places = [], [], [], []
+        grams, classes, sizes, places, salts = [], [], [], [], []
         for _, own in tokens.shingle_sets(batch.column("text"), n):
             k = len(own)
             if not k or (mark := tokens.set_mark(own)) in seen:
@@ -82,52 +90,41 @@ def _prefixes(batches, n, percent, shared):
                 limit = np.partition(weight, length - 1)[length - 1]
                 pool = weight <= limit
                 own, weight = own[pool], weight[pool]
-            own = own[np.lexsort((own, weight))[:length]]
+            order = np.lexsort((own, weight))[:length]
+            own, weight = own[order], weight[order]
+            salts.append(np.where(weight > often, mark & (SALTS - 1), -1).astype(np.int32))
             grams.append(own)
             classes.append(np.full(len(own), mark, dtype=np.int64))
             sizes.append(np.full(len(own), k, dtype=np.int32))
             places.append(np.arange(len(own), dtype=np.int32))
         if grams:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (grams, classes, sizes, places)], ["gram", "class", "n", "place"]
+                [pa.array(np.concatenate(x)) for x in (grams, classes, sizes, places, salts)], ["gram", "class", "n", "place", "salt"]
             )
 
 
 def _wanted_sets(batches, n, shared):
-    """Sets of the classes that pass the filter, once per partition."""
-    bits, seen = shared.value, set()
+    """Sets of the rows that the filter names."""
+    bits = np.frombuffer(shared.value, np.uint8)
     for batch in batches:
-        marks, blobs = [], []
-        for _, own in tokens.shingle_sets(batch.column("text"), n):
-            if not len(own):
-                continue
-            mark = tokens.set_mark(own)
-            bit = mark & (FILTER_BITS - 1)
-            if mark in seen or not bits[bit >> 3] >> (bit & 7) & 1:
-                continue
-            seen.add(mark)
-            marks.append(mark)
-            blobs.append(own.tobytes())
-        if marks:
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(blobs, pa.binary())], ["class", "grams"])
+        bit = np.asarray(batch.column("key")) & (FILTER_BITS - 1)
+        batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+        sets = [own for _, own in tokens.shingle_sets(batch.column("text"), n) if len(own)]
+        if sets:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([tokens.set_mark(own) for own in sets], pa.int64()), pa.array([own.tobytes() for own in sets], pa.binary())], ["class", "grams"]
+            )
 
 
 def _verified(batches, percent):
-    """Pairs whose sets are similar enough; a histogram of the leading bits bounds the overlap first (suffix filter)."""
+    """Pairs whose sets are similar enough."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
             x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            total = len(x) + len(y)
-            need = -(-percent * total // (100 + percent))
-            cuts = np.arange(-7, 8, dtype=np.int64) << 60
-            far = np.abs(np.diff(np.searchsorted(x, cuts), prepend=0, append=len(x)) - np.diff(np.searchsorted(y, cuts), prepend=0, append=len(y))).sum()
-            if total - far < 2 * need:
-                keep.append(False)
-                continue
             at = np.searchsorted(y, x)
             both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(100 * both >= percent * (total - both))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -146,63 +143,92 @@ def join_classes(df: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
     spark = df.sparkSession
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     both = materialise(texts.mapInArrow(lambda b: _sets(b, n, COUNTERS), _SETS), "join-sets")
-    rows = both.where("part IS NULL").select("doc_id", "mark", "class", "n")
+    rows = both.where("part IS NULL").select("doc_id", "mark", "class", "n", *_PARTS)
     summed = both.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(_summed, "part int, counts binary")
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for part, blob in summed.collect():  # COUNTERS numbers, whatever the corpus
         counts[part * ROW : (part + 1) * ROW] = np.frombuffer(blob, np.int64)
     shared = spark.sparkContext.broadcast(counts)
-    only_text = texts.select("text")
-    prefixes = only_text.mapInArrow(lambda b: _prefixes(b, n, percent, shared), "gram long, class long, n int, place int")
-    near = Window.partitionBy("gram")
-    postings = materialise(
+    prefixes = texts.select("text").mapInArrow(lambda b: _prefixes(b, n, percent, shared), "gram long, class long, n int, place int, salt int")
+    # of near copies, the one with the fewest n-grams of its own before the common one lies in their middle: it is the first star
+    near, member = Window.partitionBy("gram", "salt"), F.struct("place", "class", "n")
+    dealt = materialise(
         prefixes.withColumn("before", F.lag("class").over(near.orderBy("class")))
-        .withColumn("low", F.min("class").over(near))
-        .withColumn("high", F.max("class").over(near))
-        .where("low < high AND (before IS NULL OR before <> class)")
-        .select("gram", "class", "n", "place"),
+        .withColumns({"low": F.min("class").over(near), "high": F.max("class").over(near), "size": F.count("*").over(near), "star": F.min(member).over(near)})
+        .where("(salt >= 0 OR low < high) AND (before IS NULL OR before <> class)")
+        .select("gram", "class", "n", "place", "salt", "size", "low", "high", "star"),
         "join-postings",
     )
-    bits = spark.sparkContext.broadcast(_bits(postings, "class"))
-    sets = materialise(
-        only_text.mapInArrow(lambda b: _wanted_sets(b, n, bits), "class long, grams binary").dropDuplicates(["class"]), "join-grams"
-    )
+    postings = dealt.where("salt < 0").select("gram", "class", "n", "place", "size", "star")
+    salted = dealt.where("salt >= 0")
+    if salted.limit(1).count():
+        whole = salted.groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("size"), F.min("star").alias("star"))
+        whole = materialise(whole.where("low < high").select("gram", "size", "star"), "join-hot")
+        postings = postings.unionByName(salted.select("gram", "class", "n", "place").join(whole, "gram"))
+    # one row speaks for a class: its key finds the text, its sketch stands for the set
+    speaker = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "mark", *_PARTS)).alias("m"))
+    speaker = materialise(speaker.select("class", F.xxhash64("m.doc_id", "m.mark").alias("key"), *[F.col("m." + c).alias(c) for c in _PARTS]), "join-speakers")
+    keyed = texts.select("text", F.xxhash64("doc_id", "mark").alias("key"))
+
+    def sketches(side: str) -> DataFrame:
+        return speaker.select(F.col("class").alias(side), *[F.col(c).alias(side + c) for c in _PARTS])
+
+    def bounded(an, bn):
+        """Hamming distance bound of two sketches against the most that the sizes allow."""
+        apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _PARTS[1:]), F.bit_count(F.col("a" + _PARTS[0]).bitwiseXOR(F.col("b" + _PARTS[0]))))
+        return apart * (100 + percent) <= (an + bn) * (100 - percent)
+
+    def fits(an, bn, ap, bp):
+        """Length and position bounds at a common n-gram: what may be common before it and after it."""
+        room = F.least(ap, bp) + F.least(an - ap, bn - bp)
+        return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & ((100 + percent) * room >= percent * (an + bn))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Pairs once each, bounded by length and position, then verified on the whole sets."""
-        few, many = F.least("an", "bn"), F.greatest("an", "bn")
-        room = F.least("ap", "bp") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
-        once = (
-            pairs.where((100 * few >= percent * many) & ((100 + percent) * room >= percent * (F.col("an") + F.col("bn"))))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
+        """Pairs (``a`` < ``b``, sizes) once each, bounded by their sketches, then verified on the whole sets."""
+        once = pairs.distinct().join(sketches("a"), "a").join(sketches("b"), "b").where(bounded(F.col("an"), F.col("bn"))).select("a", "b")
         once = materialise(once, "join-pairs")
+        ends = once.select(F.col("a").alias("class")).unionByName(once.select(F.col("b").alias("class"))).distinct()
+        bits = spark.sparkContext.broadcast(_bits(ends.join(speaker.select("class", "key"), "class"), "key"))
+        sets = materialise(keyed.mapInArrow(lambda b: _wanted_sets(b, n, bits), "class long, grams binary"), "join-grams")
         x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
         y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
         return materialise(once.join(x, "a").join(y, "b").mapInArrow(lambda b: _verified(b, percent), "a long, b long"), "join-links")
 
-    active, found = postings.withColumn("label", F.col("class")), None
+    def ordered(a, b, an, bn):
+        first = F.col(a) < F.col(b)
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(first, F.col(an)).otherwise(F.col(bn)).alias("an"), F.when(first, F.col(bn)).otherwise(F.col(an)).alias("bn")]
+
+    active, found = postings, None
     for turn in range(STARS + 1):
-        if turn < STARS:
-            member = F.struct("class", "n", "place", "label")
-            stars = active.groupBy("gram").agg(F.min(member).alias("s")).select("gram", *[F.col(f"s.{c}").alias("s_" + c) for c in ("class", "n", "place", "label")])
-            stars = materialise(stars, "join-stars")
-            pairs = active.join(stars, "gram").where("class <> s_class AND label <> s_label").select(
-                F.col("s_class").alias("a"), F.col("class").alias("b"), F.col("s_n").alias("an"), F.col("n").alias("bn"), F.col("s_place").alias("ap"), F.col("place").alias("bp"))
+        if turn == 0:
+            pairs = active.where("class <> star.class").where(fits(F.col("star.n"), F.col("n"), F.col("star.place"), F.col("place")))
+            pairs = pairs.select("class", "n", F.col("star.class").alias("s_class"), F.col("star.n").alias("s_n")).select(*ordered("class", "s_class", "n", "s_n"))
+        elif turn < STARS:
+            stars = active.groupBy("gram").agg(F.min(F.struct("place", "class", "n", "label")).alias("s"))
+            stars = materialise(stars.select("gram", *[F.col(f"s.{c}").alias("s_" + c) for c in ("class", "n", "place", "label")]), "join-stars")
+            met = active.join(stars, "gram").where(F.col("label") != F.col("s_label"))
+            pairs = met.where(fits(F.col("s_n"), F.col("n"), F.col("s_place"), F.col("place"))).select(*ordered("class", "s_class", "n", "s_n"))
         else:
-            l, r = (active.select("gram", F.col("class").alias(c), F.col("n").alias(c + "n"), F.col("place").alias(c + "p"), F.col("label").alias(c + "l")) for c in "ab")
-            pairs = l.join(r, "gram").where("a < b AND al <> bl")
+            sketched = materialise(active.join(speaker.drop("key"), "class"), "join-sketched")
+            names = {"class": "", "n": "n", "place": "p", "label": "l"} | {c: c for c in _PARTS}
+            left, right = (sketched.select("gram", *[F.col(c).alias(side + short) for c, short in names.items()]) for side in "ab")
+            sized = fits(F.col("an"), F.col("bn"), F.col("ap"), F.col("bp")) & bounded(F.col("an"), F.col("bn"))
+            pairs = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & sized).select("a", "b", "an", "bn")
         new = links(pairs)
         found = new if found is None else found.unionByName(new)
         if turn == STARS:
             break
         labels = components(found).select(F.col("node").alias("class"), F.col("label").alias("new"))
-        rest = active.join(stars.select("gram", F.col("s_class").alias("class")), ["gram", "class"], "left_anti")
-        rest = rest.join(labels, "class", "left").select("gram", "class", "n", "place", F.coalesce("new", "class").alias("label"))
-        mixed_ = materialise(rest, "join-rest")
-        open_ = mixed_.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("gram")
-        active = materialise(mixed_.join(open_, "gram"), "join-active")
+        # the star is settled in its gram; a gram with one class left is done
+        rest = active.where(F.col("size") > turn + 2)
+        if turn == 0:
+            rest = rest.where("class <> star.class")
+        else:
+            rest = rest.join(stars.select("gram", F.col("s_class").alias("class")), ["gram", "class"], "left_anti")
+        rest = rest.join(labels, "class", "left").select("gram", "class", "n", "place", "size", F.coalesce("new", "class").alias("label"))
+        rest = materialise(rest, "join-rest")
+        open_ = rest.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("gram")
+        active = materialise(rest.join(open_, "gram"), "join-active")
         if not active.limit(1).count():
             break
     return rows, found
