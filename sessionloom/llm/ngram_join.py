@@ -184,15 +184,18 @@ def join_classes(df: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
         return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & ((100 + percent) * room >= percent * (an + bn))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Pairs (``a`` < ``b``, sizes) once each, bounded by their sketches, then verified on the whole sets."""
-        once = pairs.distinct().join(sketches("a"), "a").join(sketches("b"), "b").where(bounded(F.col("an"), F.col("bn"))).select("a", "b")
+        """Pairs (``a`` < ``b``, sizes) once each, bounded by their sketches, then verified on the whole sets.
+
+        Merge joins throughout: pairs and sets both grow with the corpus, and so the plan is the same at every size.
+        """
+        once = pairs.distinct().join(sketches("a").hint("merge"), "a").join(sketches("b").hint("merge"), "b").where(bounded(F.col("an"), F.col("bn"))).select("a", "b")
         once = materialise(once, "join-pairs")
         ends = once.select(F.col("a").alias("class")).unionByName(once.select(F.col("b").alias("class"))).distinct()
         bits = spark.sparkContext.broadcast(_bits(ends.join(speaker.select("class", "key"), "class"), "key"))
         sets = materialise(keyed.mapInArrow(lambda b: _wanted_sets(b, n, bits), "class long, grams binary"), "join-grams")
         x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
         y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
-        return materialise(once.join(x, "a").join(y, "b").mapInArrow(lambda b: _verified(b, percent), "a long, b long"), "join-links")
+        return materialise(once.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(lambda b: _verified(b, percent), "a long, b long"), "join-links")
 
     def ordered(a, b, an, bn):
         first = F.col(a) < F.col(b)
