@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -33,19 +33,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
-    size = max(SLICE + 1, 1 << (n - 1).bit_length())
-    if size not in _TABLES:
-        inverse = pow(_BASE, -1, 1 << 64)
-        up, down = (np.full(size, b, dtype=np.uint64) for b in (_BASE, inverse))
-        up[0] = down[0] = 1
+    if not _TABLES or len(_TABLES[0]) < n:
+        size = max(SLICE + 64, 1 << (n - 1).bit_length())
         _TABLES.clear()
-        _TABLES[size] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return _TABLES[size]
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            table = np.full(size, base, dtype=np.uint64)
+            table[0] = 1
+            _TABLES.append(np.cumprod(table, dtype=np.uint64, out=table))
+    return _TABLES[0], _TABLES[1]
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
