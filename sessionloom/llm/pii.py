@@ -1,9 +1,10 @@
 """Personal data: candidate spans, boosted trees over format and context, calibrated thresholds.
 
 Fixed patterns with checks give the base spans. High-recall generators propose every chain that could be an address or a number,
-overlapping each other; gradient-boosted trees learn from the base spans what such data looks like, from the shape of a
-span, its checksum and the characters and words around it but not from the exact patterns, so they also accept spans that a pattern
-misses. Per kind, the threshold is the lowest score at which candidates outside the learning sample reach ``PRECISION``.
+overlapping each other; gradient-boosted trees learn from the base spans, in their own form and in others that the patterns miss, what
+such data looks like: from the shape of a span, its checksum and the characters and words around it but not from the exact patterns.
+Counter-examples are only candidates that pass no kind's check or that are named as codes; all others may be what the patterns missed
+and teach nothing. Per kind, the threshold is the highest score that ``RECALL`` of the base spans outside the learning sample reach.
 """
 
 from __future__ import annotations
@@ -33,9 +34,15 @@ GENERATORS = {0: [LIKE_ADDRESS], 1: [LIKE_DOTTED], 2: [LIKE_CODE], 3: [LIKE_NUMB
 #: Candidates the trees learn from at most (those with the smallest hash), and trees.
 FIT_SPANS = 20_000
 TREES, DEPTH = 10, 4
-#: Share of base spans that a kind's threshold must reach among candidates outside the learning sample, and its score's cells.
-PRECISION = 0.95
+#: Share of the base spans outside the learning sample, in all their forms, that a kind's threshold must let through, and its score's cells.
+RECALL = 0.95
 CELLS = 200
+#: Words that name a code, and numbers with separators that are dates, spans of years or decimals.
+CODE_BEFORE = r"(?i)(?<![a-z])(id|version|v|hash|commit|token|key|secret|isbn)[\s.:=\"']*$"
+DATED = (
+    r"^(?:(?:19|20)[0-9]{2}([-/.])[01]?[0-9]\1[0-3]?[0-9](?![0-9])|[0-3]?[0-9]([-/.])[0-3]?[0-9]\2(?:19|20)[0-9]{2}(?![0-9])"
+    r"|(?:19|20)[0-9]{2}\x20?[-/]\x20?(?:19|20)[0-9]{2}$|(?![0-9]{3}\.[0-9]{4}$)[0-9]+\.[0-9]+$)"
+)
 
 _CANDIDATE = "array<struct<kind:int,start:int,end:int,value:string,before:string,after:string>>"
 
@@ -86,45 +93,83 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "letters": F.regexp_count(value, F.lit("[A-Za-z]")),
         "upper": F.regexp_count(value, F.lit("[A-Z]")),
         "at_sign": F.regexp_count(value, F.lit("@|＠|at")),
-        "ends_in_word": value.rlike(r"\.[A-Za-z]{2,}$").cast("int"),
+        "ends_in_word": value.rlike(r"\.[A-Za-z]{2,}[.-]*$").cast("int"),
         "after_blank": F.coalesce(before.rlike(r"(^|\s)$").cast("int"), F.lit(1)),
         "before_blank": F.coalesce(after.rlike(r"^(\s|$)").cast("int"), F.lit(1)),
         "quoted": F.coalesce(last.isin('"', "'", "=", "#", "/"), F.lit(False)).cast("int"),
         "named": before.rlike(r"(?i)(tel|phone|fax|call|mail|contact|card|visa|iban|ip|host|addr)\w*[\s.:=]*$").cast("int"),
-        "in_code": before.rlike(r"(?i)(id|version|v|hash|commit|token|key|secret|isbn)[\s.:=\"']*$").cast("int"),
+        "in_code": before.rlike(CODE_BEFORE).cast("int"),
         "checksum": F.when(digits.between(13, 19), luhn(digits_of(value))).otherwise(False).cast("int"),
         "highest_part": F.array_max(F.transform(F.split(value, "[^0-9]+"), lambda g: F.when(F.char_length(g) <= 5, g.try_cast("int")).otherwise(99999))),
         "after_digit": before.rlike(r"[0-9][^\s]?$").cast("int"),
     }
 
 
+def possible(value: Column) -> list[Column]:
+    """Whether a candidate passes the checks of each kind, whatever pattern it has."""
+    digits = F.char_length(digits_of(value))
+    plain = ~value.rlike(r"[^0-9\x20()./+-]")
+    parts = F.split(value, "[.,:]")
+    four = (F.size(parts) == 4) & F.forall(parts, lambda p: (F.char_length(p) <= 5) & (p.try_cast("int") <= 255)) & value.contains(".")
+    telephone = plain & digits.between(7, 15) & ~value.rlike(DATED) & ~value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    return [
+        value.rlike(r"(@|\(at\)|\[at\]|＠).*\.[A-Za-z]{2,}[.-]*$"),
+        F.coalesce(four, F.lit(False)),
+        plain & F.when(digits.between(13, 19), luhn(digits_of(value))).otherwise(False),
+        telephone,
+    ]
+
+
+def forms(kind: Column, value: Column) -> Column:
+    """A base span as it is and in forms that the patterns miss: other signs for @, other separators, no plus or no country before a number."""
+    spelt = [F.replace(value, F.lit("@"), F.lit(a)) for a in (" (at) ", "[at]", "＠", " @ ")]
+    four = F.regexp_replace(digits_of(value), "([0-9]{4})(?=[0-9])", "$1 ")
+    grouped = [F.replace(four, F.lit(" "), F.lit(g)) for g in ("", ".", " - ", "/")]
+    country = r"^\+[0-9]{1,3}(?=[\x20.(-])[\x20.-]*"
+    national = [F.regexp_replace(value, r"^\+", ""), F.regexp_replace(value, country, ""), F.regexp_replace(value, country + "(?=[1-9])", "0")]
+    split = [F.regexp_replace(F.regexp_replace(n, r"^\(", ""), r"[\x20().-]+", g) for n in national for g in ("-", ".", " ")]
+    every = F.when(kind == 0, F.array(value, *spelt)).when(kind == 2, F.array(value, *grouped)).when(kind == 3, F.array(value, *national, *split)).otherwise(F.array(value))
+    return F.array_distinct(F.filter(every, lambda v: (kind != 3) | F.char_length(digits_of(v)).between(7, 15)))
+
+
 def _scored(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Scores of all candidate rows (``kind``, ``value``, ``before``, ``after``, ``positive``), and thresholds by kind.
+    """Scores of the rows (``kind``, ``value``, ``before``, ``after``) that are ``open``, and thresholds by kind.
 
-    None where there is nothing to tell apart: without positive or without negative candidates.
+    Rows have a ``label``: 1 for base spans, 0 for counter-examples, null for all others. None without base spans; without
+    counter-examples nothing speaks against any row, and all score alike.
     """
-    named = features(F.col("value"), F.col("before"), F.col("after"))
-    rows = rows.select("*", *[c.cast("double").alias("f_" + n) for n, c in named.items()])
-    ready = VectorAssembler(inputCols=["f_" + n for n in named], outputCol="features", handleInvalid="keep").transform(rows)
+    named = {n: c.cast("double") for n, c in features(F.col("value"), F.col("before"), F.col("after")).items()}
+    vector = VectorAssembler(inputCols=["f_" + n for n in named], outputCol="features", handleInvalid="keep")
     draw = F.xxhash64("value", "before", "after")
-    learn = materialise(ready.withColumn("draw", draw).where("pmod(draw, 4) <> 0").orderBy("draw", "value").limit(FIT_SPANS).select(
-        *["f_" + n for n in named], F.col("positive").cast("double").alias("label")), "pii-learn")
+    labelled = rows.where("label IS NOT NULL").select("kind", "value", "before", "after", "label", draw.alias("draw"))
+    learn = labelled.where("pmod(draw, 4) <> 0").orderBy("draw", "value", "kind").limit(FIT_SPANS)
+    # each base span as it is and in two of its other forms
+    own = F.filter(forms(F.col("kind"), F.col("value")), lambda v: v != F.col("value"))
+    turn = F.pmod(F.shiftright("draw", 2), F.greatest(F.size("own"), F.lit(1)).cast("long")).cast("int")
+    turned = F.concat(F.slice("own", turn + 1, F.size("own")), F.slice("own", F.lit(1), turn))
+    shown = F.when(F.col("label") == 1, F.concat(F.array("value"), F.slice(turned, 1, 2))).otherwise(F.array("value"))
+    learn = learn.withColumn("own", own).select("before", "after", "label", F.explode(shown).alias("value"))
+    learn = materialise(learn.select(*[c.alias("f_" + n) for n, c in named.items()], F.col("label").cast("double").alias("label")), "pii-learn")
     seen = {r[0] for r in learn.select("label").distinct().collect()}
-    if len(seen) < 2:
+    if 1.0 not in seen and labelled.where("label = 1").isEmpty():
         return None
-    learn = VectorAssembler(inputCols=["f_" + n for n in named], outputCol="features", handleInvalid="keep").transform(learn)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=32).fit(learn)
-    scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1]).select("kind", "value", "before", "after", "positive", "score")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=32).fit(vector.transform(learn)) if len(seen) == 2 else None
+
+    def score(df: DataFrame) -> DataFrame:
+        if model is None:
+            return df.withColumn("score", F.lit(1.0))
+        ready = vector.transform(df.select("*", *[c.alias("f_" + n) for n, c in named.items()]))
+        return model.transform(ready).withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score")
+
     cell = F.least(F.floor(F.col("score") * CELLS), F.lit(CELLS - 1))
-    counts = (
-        scored.where(F.pmod(draw, F.lit(4)) == 0)
-        .groupBy("kind", cell.alias("cell"))
-        .agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("long")).alias("good"))
-    )
-    down = Window.partitionBy("kind").orderBy(F.desc("cell"))  # at most CELLS rows of a kind
-    upto = counts.withColumn("n", F.sum("n").over(down)).withColumn("good", F.sum("good").over(down))
-    cuts = upto.where(F.col("good") >= PRECISION * F.col("n")).groupBy(F.col("kind").alias("cut_kind")).agg((F.min("cell") / CELLS).alias("cut"))
-    return scored, cuts
+    base = labelled.where("label = 1").select("kind", "before", "after", "draw", F.explode(forms(F.col("kind"), F.col("value"))).alias("value"))
+    counts = score(base).groupBy("kind", cell.alias("cell")).agg(F.count_if(F.pmod("draw", F.lit(4)) == 0).alias("held"), F.count("*").alias("n"))
+    whole, down = Window.partitionBy("kind"), Window.partitionBy("kind").orderBy(F.desc("cell"))  # at most CELLS rows of a kind
+    # a kind without base spans outside the sample is judged by those in it
+    counts = counts.withColumn("n", F.when(F.sum("held").over(whole) > 0, F.col("held")).otherwise(F.col("n")))
+    upto = counts.withColumn("all", F.sum("n").over(whole)).withColumn("n", F.sum("n").over(down))
+    cuts = upto.where(F.col("n") >= RECALL * F.col("all")).groupBy(F.col("kind").alias("cut_kind")).agg((F.max("cell") / CELLS).alias("cut"))
+    return score(rows.where("open").select("kind", "value", "before", "after")), cuts
 
 
 def scan(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -132,7 +177,7 @@ def scan(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
     Spans are (kind, start, end, value), in code points, end exclusive; an added span overlaps no base span and no added span
     of a higher score. A null or empty text has none. Rows that agree in ``key`` and text are alike in their spans and all returned.
-    Without base spans, or without any other candidate, nothing can be learnt and nothing is added.
+    A kind without base spans has nothing to be learnt from and nothing is added to it.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     found = with_columns(df.select(*[F.col(f"`{k}`") for k in key], body.alias("__body")), __mark=F.xxhash64("__body"))
@@ -144,15 +189,20 @@ def scan(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     )
     # a candidate that overlaps a base span without being it tells nothing either way
     each = each.where("positive OR free")
+    checks = possible(F.col("value"))
+    fits = F.array(*checks)
+    code = F.coalesce(F.col("before").rlike(CODE_BEFORE), F.lit(False))
+    counter = code | ~F.exists(fits, lambda f: f)
+    each = each.withColumn("label", F.when(F.col("positive"), 1).when(counter, 0)).withColumn("open", ~F.col("positive") & ~code & fits[F.col("kind")])
     none = F.array().cast(SPAN)
     result = _scored(each)
     if result is None:
         return found.select(*[F.col(f"`{k}`") for k in key], "pii", none.alias("more_pii"))
     scored, cuts = result
     cuts = materialise(cuts, "pii-cuts")
-    accepted = scored.where("NOT positive").join(F.broadcast(cuts), (F.col("kind") == F.col("cut_kind")) & (F.col("score") >= F.col("cut")))
+    accepted = scored.join(F.broadcast(cuts), (F.col("kind") == F.col("cut_kind")) & (F.col("score") >= F.col("cut")))
     accepted = accepted.select("kind", "value", "before", "after", "score").distinct()
-    places = each.where("free AND NOT positive").join(accepted, ["kind", "value", "before", "after"])
+    places = each.where("open").join(accepted, ["kind", "value", "before", "after"])
     added = places.groupBy("__mark").agg(F.collect_set(F.struct("score", "start", "end", "kind", "value")).alias("more"))
     better = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & (F.struct(a["score"], a["start"], a["kind"]) < F.struct(b["score"], b["start"], b["kind"]))
     added = materialise(added.select("__mark", F.filter("more", lambda a: ~F.exists("more", lambda b: better(a, b))).alias("more")), "pii-added")
