@@ -239,6 +239,19 @@ def test_pages_give_their_article(spark):
     assert sorted(map(tuple, got)) == sorted([(1, want), (1, want), (2, ""), (3, ""), (4, "open end"), (5, "<"), (6, want)])
 
 
+def test_short_blocks_of_the_article_stay():
+    long = "<p>" + "Some longer sentence with words, commas and more. Another follows here, with detail. " * 4 + "</p>"
+    body = " ".join(long[3:-4].split())
+    inner = f"<h1>Title</h1><p class=lead>Short.</p><div class=entry>{long}{long}</div><section id=s3><h2>Note</h2><p>Two words.</p></section>"
+    want = "\n".join(["Title", "Short.", body, body, "Note", "Two words."])
+    for name in ("article", "main"):
+        assert html.main_text(f"<body><div class=nav>Home</div><{name}>{inner}<aside>{long}</aside></{name}><p>Outside.</p>{long}</body>") == want
+    # no stated content: sections of one kind are one path, and everything in the container of the strong ones stays
+    parts = f"<section id=s1>{long}</section><section id=s2><h2>B</h2><p>Two words.</p></section><section id=s3>{long}</section>"
+    page = f"<body><div id=top><p>Hi</p></div><h1>Title</h1><div class=post><p class=lead>Short.</p>{parts}</div><div><p>Bye</p></div><footer>{long}</footer></body>"
+    assert html.main_text(page) == "\n".join(["Title", "Short.", body, "B", "Two words.", body])
+
+
 def test_pages_of_the_given_table(spark):
     import html as entities
 
