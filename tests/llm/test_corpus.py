@@ -252,6 +252,12 @@ def test_short_blocks_of_the_article_stay():
     assert html.main_text(page) == "\n".join(["Title", "Short.", body, "B", "Two words.", body])
 
 
+def test_links_of_the_article_stay():
+    refs = "<p>Text of it.</p><h2>References</h2><ul><li><a href=x>A paper on things</a></li><li><a href=y>Another</a>.</li></ul>"
+    assert html.main_text(f"<body><article>{refs}</article></body>") == "Text of it.\nReferences\nA paper on things\nAnother."
+    assert html.main_text(f"<body>{refs}</body>") == "Text of it.\nReferences"  # elsewhere a block of links is a menu
+
+
 def test_pages_of_the_given_table(spark):
     import html as entities
 
