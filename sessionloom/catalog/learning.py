@@ -158,11 +158,11 @@ def fitted(spark, folder, name, classifier):
 
 
 def forest(spark, folder):
-    return fitted(spark, folder, "forest", models.random_forest(trees=40, depth=8))
+    return fitted(spark, folder, "forest", models.random_forest())
 
 
 def boosted(spark, folder):
-    return fitted(spark, folder, "boosted", models.boosted_trees(rounds=10, depth=4))
+    return fitted(spark, folder, "boosted", models.boosted_trees())
 
 
 #: What must hold of any classifier's output: a row per test session, probabilities that sum to one, the largest wins.
@@ -190,7 +190,7 @@ def _(spark, folder):
 
 @query("mdl06_feature_importance")
 def _(spark, folder):
-    model, out = fit_and_apply(spark, folder, models.random_forest(trees=40, depth=8))
+    model, out = fit_and_apply(spark, folder, models.random_forest())
     return models.feature_importance(model, out)
 
 
@@ -277,7 +277,7 @@ def reloaded(spark, folder):
     # a category the fit has not seen and a missing one go through the saved fills
     odd = F.when(F.crc32(F.col("session_id").cast("binary")) % 5 == 0, F.lit(None)).when(F.crc32(F.col("session_id").cast("binary")) % 5 == 1, "never seen")
     test = df.filter("is_test").drop("is_test").withColumn("channel", F.when(F.crc32(F.col("session_id").cast("binary")) % 5 < 2, odd).otherwise(F.col("channel")))
-    model = models.fit_classifier(df.filter("not is_test").drop("is_test"), models.random_forest(5, 4))
+    model = models.fit_classifier(df.filter("not is_test").drop("is_test"), models.random_forest())
     writers.save_model(model, path)
     before = models.apply_classifier(model, test).select("session_id", F.col("probability_array").alias("p"))
     return models.apply_classifier(writers.load_model(path), test).select(*PREDICTION).join(before, "session_id")
