@@ -2,13 +2,15 @@
 
 The test items are taken in blocks of bounded size; each block is sent to the tasks and all documents pass it whole, so no
 document's text is shuffled. A first pass counts in how many documents each n-gram of the items occurs; an item's seeds
-are its n-grams rare first, as many as it takes that a copy which keeps ``KEPT`` of them meets one.
+are its n-grams rare first, as many as it takes that a copy which keeps ``KEPT`` of them meets one. An item too short for an n-gram
+is found where all its words stand in a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,9 @@ THRESHOLD = 0.5
 #: Words of test items held by a task at a time; a larger benchmark takes more passes.
 BLOCK_WORDS = 500_000
 _FILTER = 1 << 20
+#: Characters that are words by themselves, and the bytes that their codes start with.
+IDEOGRAPH = r"([\p{Han}\p{Hiragana}\p{Katakana}])"
+_LEADS = np.isin(np.arange(256), [*range(0xE3, 0xEA), 0xEF, 0xF0])
 
 MATCH = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.LongType()),
@@ -50,8 +55,37 @@ def _align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
+def _folded(column: pa.Array) -> pa.Array:
+    """Texts in lower case, with blanks around every ideograph."""
+    try:
+        column = pc.utf8_lower(column)
+    except pa.ArrowInvalid:  # broken bytes
+        column = pa.array([None if b is None else b.decode("utf-8", "replace").lower() for b in column.cast(pa.binary()).to_pylist()], pa.string())
+    data, starts = tokens.bytes_of(column)
+    if _LEADS[data[starts[0] : starts[-1]]].any():
+        column = pc.replace_substring_regex(column, IDEOGRAPH, r" \1 ")
+    return column
+
+
+def _whole(words, block):
+    """Short test items whose words a document holds in a row."""
+    found = []
+    for n, (keys, owners) in block["short"].items():
+        runs = tokens.joined(words, n)
+        at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+        places = np.flatnonzero(keys[at] == runs)
+        for k, first, times in zip(*(x.tolist() for x in np.unique(at[places], return_index=True, return_counts=True))):
+            start = int(places[first])
+            found += [{"item_id": int(block["ids"][i]), "score": 1.0, "start_word": start, "end_word": start + n, "seeds": times} for i in owners[k]]
+    return found
+
+
 def _matches(words, grams, block):
     """Test items that a document's words hold a copy of."""
+    return _aligned(words, grams, block) + (_whole(words, block) if block["short"] else [])
+
+
+def _aligned(words, grams, block):
     keys, owners, offsets = block["seed"], block["seed_item"], block["seed_at"]
     near = np.flatnonzero(block["bits"][grams & np.uint64(_FILTER - 1)]) if len(grams) else []
     if not len(near):
@@ -82,7 +116,7 @@ def _matches(words, grams, block):
 
 def _per_row(column):
     """Words and n-grams of each row."""
-    for row, end, words, counts in tokens.word_hashes(column, tokens.PUNCTUATION):
+    for row, end, words, counts in tokens.word_hashes(_folded(column), tokens.PUNCTUATION):
         grams, at = tokens.joined(words, GRAM), 0
         for k in counts.tolist():
             yield words[at : at + k], grams[at : at + max(0, k - GRAM + 1)]
@@ -108,11 +142,11 @@ def _bits(keys: np.ndarray) -> np.ndarray:
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS):
-    """Test items with at least ``GRAM`` words in id order, as lists of (item_id, word hashes) of at most ``limit`` words."""
+    """Test items with words in id order, as lists of (item_id, word hashes) of at most ``limit`` words."""
     rows, size = [], 0
     for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        words = next(iter(tokens.word_hashes(pa.array([row[1]]), tokens.PUNCTUATION)))[2]
-        if len(words) < GRAM:
+        words = next(iter(tokens.word_hashes(_folded(pa.array([row[1]], pa.string())), tokens.PUNCTUATION)))[2]
+        if not len(words):
             continue
         if rows and size + len(words) > limit:
             yield rows
@@ -124,8 +158,13 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS):
 
 
 def prepared(docs: DataFrame, rows) -> dict:
-    """A block's seeds, chosen by how many documents hold each n-gram."""
+    """A block's seeds, chosen by how many documents hold each n-gram, and its items under ``GRAM`` words by their length."""
     grams = [tokens.joined(words, GRAM) for _, words in rows]
+    short: dict[int, dict] = {}
+    for i, (_, words) in enumerate(rows):
+        if len(words) < GRAM:
+            short.setdefault(len(words), {}).setdefault(tokens.joined(words, len(words))[0], []).append(i)
+    short = {n: (np.array(sorted(d), dtype=np.uint64), [d[k] for k in sorted(d)]) for n, d in short.items()}
     keys = np.unique(np.concatenate(grams))
     shared = docs.sparkSession.sparkContext.broadcast((keys, _bits(keys)))
     counts = np.zeros(len(keys), dtype=np.int64)
@@ -142,15 +181,15 @@ def prepared(docs: DataFrame, rows) -> dict:
         offsets.append(order)
     seeds, owners, offsets = (np.concatenate(x) for x in (seeds, owners, offsets))
     order = np.argsort(seeds, kind="stable")
-    return {"seed": seeds[order], "seed_item": owners[order], "seed_at": offsets[order], "bits": _bits(seeds), "items": [w for _, w in rows], "ids": [i for i, _ in rows]}
+    return {"seed": seeds[order], "seed_item": owners[order], "seed_at": offsets[order], "bits": _bits(seeds), "items": [w for _, w in rows], "ids": [i for i, _ in rows], "short": short}
 
 
 def find_copies(df: DataFrame, benchmark: DataFrame, column: str = "matches", limit: int = BLOCK_WORDS) -> DataFrame:
     """``df`` with an array of matches (item_id, score, start_word, end_word, seeds), empty for clean documents.
 
-    Words are lower-cased runs of letters, digits and characters beyond ASCII. The score is the best local alignment's
-    as a share of the item's words. Items with a null id or text, or under ``GRAM`` words, match nothing; a repeated item
-    matches once for each of its rows. A null or empty text has no match; repeated documents are matched each. A column
+    Words are lower-cased runs of letters, digits and characters beyond ASCII; an ideograph or kana is a word. The score is the best
+    local alignment's as a share of the item's words. An item under ``GRAM`` words matches where all of them stand in a row (seeds: how
+    often). Items with a null id or text, or without words, match nothing; a repeated item matches once for each of its rows. A null or empty text has no match; repeated documents are matched each. A column
     named as the new one is replaced. Empty tables are fine on either side.
     """
     plain = [c for c in df.columns if c.lower() != column.lower()]

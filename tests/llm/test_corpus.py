@@ -381,6 +381,25 @@ def test_copies_of_test_items(spark):
     assert contamination.clean(table.limit(0), bench).count() == 0
 
 
+def test_copies_of_short_ideographic_and_accented_items(spark):
+    spanish = "ÁRBOL ESTÁ AÚN CANCIÓN NIÑO MÁS ALLÁ RÁPIDO ÓRGANO ÚLTIMO"
+    chinese = "今天天气很好我们一起去公园散步然后回家吃饭"
+    items = [(1, spanish.lower()), (2, chinese), (3, "Olvido Raro"), (4, "solo"), (5, "ひみつの鍵"), (6, "Été là-bas"), (4, "solo"), (7, "!?")]
+    docs = [
+        (1, f"texto {spanish} fin"), (2, f"他说：{chinese}。再见"), (3, "un olvido, raro; olvido raro"), (4, "olvido muy raro"), (5, "SOLO"), (6, "soloist"),
+        (7, "これはひみつの鍵です"), (8, "un ÉTÉ LÀ BAS"), (9, ""), (10, None), (11, "今天很好"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for limit in (contamination.BLOCK_WORDS, 5):
+        rows = contamination.find_copies(table, bench, limit=limit).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*").collect()
+        assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 1), (2, 2), (3, 3), (5, 4), (5, 4), (7, 5), (8, 6)]
+    three = next(r for r in rows if r.doc_id == 3)
+    assert (three.score, three.start_word, three.end_word, three.seeds) == (1.0, 1, 3, 2)
+    broken = table.limit(1).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.unhex(F.lit("FF20")), F.encode(F.lit("Olvido RARO"), "UTF-8")).cast("string").alias("text"))
+    assert contamination.clean(broken, bench).count() == 0
+
+
 def test_alignment_is_smith_waterman():
     draw = np.random.RandomState(9)
     for _ in range(30):
