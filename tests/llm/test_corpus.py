@@ -193,6 +193,19 @@ def test_secrets_match_plain_patterns_and_tests(spark):
     assert len([i for i in hit if i < 100]) >= 95 and not [i for i in hit if i >= 100]
 
 
+def test_short_random_keys_are_tested(spark):
+    draw = random.Random(13)
+    keys = []
+    while len(keys) < 100:
+        key = base64.b64encode(draw.randbytes(18)).decode()[: 16 + len(keys) % 8]
+        if re.search("[A-Za-z]", key) and re.search("[0-9]", key):
+            keys.append(key)
+    plains = ["onlyLettersInThis", "1234567890123456", "aaaaaaaaaaaaaaa1", "a1" * 9, "word-word-word"]
+    table = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(keys + plains)], "doc_id long, text string")
+    hit = {r.doc_id: r.random_tokens[0].value for r in secrets.scan(table).where(F.size("random_tokens") > 0).collect()}
+    assert sum(hit.get(i) == k for i, k in enumerate(keys)) >= 95 and not [i for i in hit if i >= 100]
+
+
 def test_quality_scores_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
