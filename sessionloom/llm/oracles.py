@@ -61,3 +61,22 @@ j AS (SELECT z.doc_id, z.mark, z.size, z.source, c5.words, c5.target, c5.sure, c
 y AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, mark ROWS UNBOUNDED PRECEDING) AS upto FROM j WHERE odds IS NOT NULL)
 SELECT doc_id, size, words AS source_size, target, (size * (sure + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM y
 UNION ALL SELECT doc_id, size, words, target, (size * sure)::BIGINT FROM j WHERE odds IS NULL"""
+
+
+def _grams(m: int) -> str:
+    return f"SELECT lang, {m} AS m, array_to_string(w[i:i + {m - 1}], ' ') AS g FROM (SELECT lang, w, unnest(range(1, len(w) - {m - 2})) AS i FROM pc)"
+
+
+PHRASES = f"""WITH pc0 AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+pc AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pc0),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pc GROUP BY lang),
+c AS (SELECT lang, m, g, count(*)::HUGEINT AS f FROM ({' UNION ALL '.join(_grams(m) for m in range(1, 6))}) GROUP BY lang, m, g HAVING count(*) >= 100),
+o AS (SELECT DISTINCT lang, f, unnest([array_to_string(string_split(g, ' ')[1:m - 1], ' '), array_to_string(string_split(g, ' ')[2:], ' ')]) AS g FROM c WHERE m > 2),
+s AS (SELECT c.* FROM c ANTI JOIN o ON c.lang = o.lang AND c.g = o.g AND o.f >= c.f WHERE m > 1),
+k AS (SELECT lang, m, g, f, k, array_to_string(string_split(g, ' ')[1:k], ' ') AS h, array_to_string(string_split(g, ' ')[k + 1:], ' ') AS e
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM s)),
+z AS (SELECT k.lang, k.g, k.f, k.k, l.f AS l, r.f AS r, t.n, (1000 * k.f * t.n) // (l.f * r.f) AS score FROM k JOIN c l ON l.lang = k.lang AND l.g = h
+  JOIN c r ON r.lang = k.lang AND r.g = e JOIN t ON t.lang = k.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS pick FROM z),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, encode(g)) AS rank FROM b WHERE pick = 1)
+SELECT lang, rank::BIGINT AS rank, g AS phrase, f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM y WHERE rank <= 2000"""
