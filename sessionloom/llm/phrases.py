@@ -1,8 +1,8 @@
 """Phrase collocations by best-first growth of prefixes, one frontier per language.
 
 The count of a prefix bounds every phrase that grows from it: cut after its first word w, a phrase with a occurrences scores at most
-1000 * a * n / (f(w) * a) = 1000 * n / f(w), so rare first words can score highest and are grown first. A round grows the first
-words of the next frequency class (``STEP`` times the last limit): pairs, then windows of up to five words
+1000 * a * n / (f(w) * a) = 1000 * n / f(w), so rare first words can score highest and are grown first. A round grows the rarest first
+words still to grow (``SHARE`` of their occurrences): pairs, then windows of up to five words
 behind frequent pairs, then exact counts of all their prefixes. A language is settled when its 2000th surviving score is above the bound of
 every word not yet grown (strictly, so ties are inside), or when nothing is left to grow.
 
@@ -21,12 +21,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import documents
-from sessionloom.llm.tokens import bytes_of, mixed
+from sessionloom.llm.tokens import _VALUE, bytes_of, mixed, powers
 from sessionloom.session import materialise, ship_by_value
 
 ship_by_value(__name__)
@@ -34,8 +33,8 @@ ship_by_value(__name__)
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-#: Ratio of the frequency limits of two rounds.
-STEP = 64
+#: A round grows the rarest words that hold this share of the occurrences still to grow.
+SHARE = 0.5
 #: Largest bit filter: 2**27 bits.
 MOST_BITS = 27
 #: Bytes of text that are counted together.
@@ -82,12 +81,20 @@ class Slice:
         return hashed(self.text, self.names.take(pa.array(self.lang)))
 
 
+def _numbers(texts: pa.Array) -> np.ndarray:
+    """A 64-bit number per text."""
+    data, starts = bytes_of(texts)
+    lo, hi = int(starts[0]), int(starts[-1])
+    up, down = powers(hi - lo + 1)
+    total = np.zeros(hi - lo + 1, dtype=np.uint64)
+    np.cumsum(_VALUE[data[lo:hi]] * up[: hi - lo], out=total[1:])
+    at = starts - lo
+    return mixed((total[at[1:]] - total[at[:-1]]) * down[at[:-1]])
+
+
 def hashed(words: pa.Array, langs: pa.Array) -> np.ndarray:
-    """A 64-bit number per (language, word)."""
-    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
-    tongues = langs.dictionary_encode()
-    other = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in tongues.dictionary.to_pylist()), np.uint64, len(tongues.dictionary))
-    return mixed(own + mixed(other[tongues.indices.to_numpy(zero_copy_only=False)])) if len(words) else own
+    """A 64-bit number per (language, word), for filters only: a clash costs rows, never results."""
+    return mixed(_numbers(words) + mixed(_numbers(langs) + np.uint64(1)))
 
 
 def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -256,7 +263,16 @@ def _scored(docs: DataFrame, grams: DataFrame, known: DataFrame, frequent, total
     return materialise(best.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"), "phrase-scores")
 
 
-def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, step: int = STEP) -> DataFrame:
+def _frontier(words: DataFrame, state: DataFrame, share: float) -> DataFrame:
+    """The next frequency class [low, high) of each language in ``state`` (``all``: whatever is left)."""
+    left = words.join(state, "lang").where("f >= low").groupBy("lang", "n", "most", "low", "all", F.floor(F.log2("f")).alias("class")).agg(F.sum("f").alias("f"))
+    upto = F.sum("f").over(Window.partitionBy("lang").orderBy("class"))
+    cut = left.withColumns({"upto": upto, "whole": F.sum("f").over(Window.partitionBy("lang"))}).where(F.col("upto") >= share * F.col("whole"))
+    high = F.when(F.col("all"), F.col("most") + 1).otherwise(F.least(F.pow(F.lit(2.0), F.min("class") + 1).cast("long"), F.col("most") + 1))
+    return materialise(cut.groupBy("lang", "n", "most", "low", "all").agg(high.alias("high")), "phrase-state")
+
+
+def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, share: float = SHARE) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score`` of each language's best phrases (columns ``text`` and ``lang`` of ``df``).
 
     A null language is ``und``, a null or empty text has no words, repeated rows count repeatedly, other columns are ignored and an empty
@@ -270,16 +286,18 @@ def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, step: int =
     words = counts.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), "f")
     frequent = bit_filter(words, pair=False)
     most = words.groupBy("lang").agg(F.max("f").alias("most"))
-    state = materialise(totals.join(most, "lang").select("lang", "n", "most", F.lit(0).cast("long").alias("low"), F.lit(least * step).cast("long").alias("high")), "phrase-state")
+    start = totals.join(most, "lang").select("lang", "n", "most", F.lit(0).cast("long").alias("low"), F.lit(False).alias("all"))
+    state = _frontier(words, start, share)
     grams: list[DataFrame] = []
     scores: list[DataFrame] = []
     while state.limit(1).count():
         ready = materialise(words.join(state.select("lang", "low", "high"), "lang").where("f >= low AND f < high").select("lang", "phrase", "f"), "phrase-ready")
-        found = _counted(docs, ready, frequent, least)
+        live = docs.join(state.select("lang"), "lang", "left_semi")
+        found = _counted(live, ready, frequent, least)
         if found is not None:
             grams.append(found)
             known = reduce(DataFrame.unionByName, [words, *[g.select("lang", "phrase", "f") for g in grams]])
-            scores.append(_scored(docs, found, known, frequent, totals))
+            scores.append(_scored(live, found, known, frequent, totals))
         # settled: enough scores above the bound of all words still to grow, or no such word
         bound = state.select("lang", F.expr("(1000 * CAST(n AS DECIMAL(30, 0))) div CAST(high AS DECIMAL(20, 0))").alias("bound"))
         if scores:
@@ -289,9 +307,9 @@ def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, step: int =
         else:
             state = state.withColumns({"above": F.lit(0), "have": F.lit(0)})
         open_ = state.where((F.col("high") <= F.col("most")) & (F.coalesce("above", F.lit(0)) < top))
-        # with less than half of the wanted phrases found, the next round grows all that is left
-        further = F.when(2 * F.coalesce("have", F.lit(0)) < top, F.greatest(F.col("high") * step, F.col("most") + 1)).otherwise(F.col("high") * step)
-        state = materialise(open_.select("lang", "n", "most", F.col("high").alias("low"), further.cast("long").alias("high")), "phrase-state")
+        # while the wanted number is not even there, no bound can settle anything: all that is left is grown next
+        rest = open_.select("lang", "n", "most", F.col("high").alias("low"), (F.coalesce("have", F.lit(0)) < top).alias("all"))
+        state = _frontier(words, materialise(rest, "phrase-open"), share)
     frequent.unpersist()
     if not scores:
         return totals.where("false").selectExpr("lang", "1 AS rank", "lang AS phrase", "n AS a", "n AS l", "n AS r", "n", "n AS score")
