@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import contamination, html, mixing, ngram_join, oracles, phrases, pii, quality, secrets, sharding, substrings, vectors
+from sessionloom.llm import contamination, html, mixing, negatives, ngram_join, oracles, phrases, pii, quality, secrets, sharding, substrings, vectors
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_stable_hashing": vectors.op8_stable_hashing,
     "op9_seeded_alignment": contamination.op9_seeded_alignment,
     "op10_pareto_mix": mixing.op10_pareto_mix,
+    "op12_shared_list_negatives": negatives.op12_shared_list_negatives,
     "op13_best_first_phrases": phrases.op13_best_first_phrases,
 }
 #: The others learn, align or hash in ways SQL has no words for; tests compare them with plain versions.
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op7_cover_sample_suffixes": oracles.SUBSTRINGS,
     "op8_stable_hashing": oracles.VECTORS,
     "op10_pareto_mix": oracles.MIX,
+    "op12_shared_list_negatives": oracles.NEGATIVES,
     "op13_best_first_phrases": oracles.PHRASES,
 }
