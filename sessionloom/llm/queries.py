@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import contamination, html, mixing, negatives, ngram_join, oracles, phrases, pii, quality, secrets, sharding, substrings, vectors
+from sessionloom.llm import contamination, html, mixing, negatives, neighbours, ngram_join, oracles, phrases, pii, quality, secrets, sharding, substrings, vectors
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_stable_hashing": vectors.op8_stable_hashing,
     "op9_seeded_alignment": contamination.op9_seeded_alignment,
     "op10_pareto_mix": mixing.op10_pareto_mix,
+    "op11_pruned_graph_search": neighbours.op11_pruned_graph_search,
     "op12_shared_list_negatives": negatives.op12_shared_list_negatives,
     "op13_best_first_phrases": phrases.op13_best_first_phrases,
 }
