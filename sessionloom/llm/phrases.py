@@ -6,9 +6,9 @@ words still to grow (``SHARE`` of their occurrences): pairs, then windows of up
 behind frequent pairs, then exact counts of all their prefixes. A language is settled when its 2000th surviving score is above the bound of
 every word not yet grown (strictly, so ties are inside), or when nothing is left to grow.
 
-Tasks find the words of whole texts with numpy and count within slices first; what is shuffled are distinct phrases with
-counts, as text, so counts are exact. Bit filters (16 bits an entry, 16 MiB at most) only spare rows; whatever they
-let through by mistake is dropped by a join.
+Tasks find the words of whole texts with numpy and count within slices first. Pairs are counted by a 64-bit number, which only selects
+where windows start and end; phrases and their counts are text and exact. Bit filters (16 bits an entry, 16 MiB at
+most) only spare rows: what numbers and filters let through by mistake is dropped by its count or by a join.
 """
 
 from __future__ import annotations
@@ -153,31 +153,35 @@ def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches, grown, frequent):
-    """Occurrences of pairs of a word to grow and a frequent word."""
+    """Numbers of the pairs of a word to grow and a frequent word, with their occurrences."""
     for s in slices(batches):
         h = s.hashes()
-        may, starts, n = marked(frequent.value, h), marked(grown.value, h), len(s.key)
+        may, starts = marked(frequent.value, h), marked(grown.value, h)
         at = np.flatnonzero(s.same[:-1] & starts[s.word[:-1]] & may[s.word[1:]])
-        code, pairs = pd.factorize(s.word[at].astype(np.int64) * n + s.word[at + 1])
-        a, b = pairs // n, pairs % n
-        yield _out(lang=s.langs(a), first=s.text.take(pa.array(a)), second=s.text.take(pa.array(b)), n=np.bincount(code, minlength=len(pairs)))
+        code, pairs = pd.factorize(paired(h[s.word[at]], h[s.word[at + 1]]))
+        yield _out(pair=pairs.astype(np.uint64).view(np.int64), n=np.bincount(code, minlength=len(pairs)))
 
 
-def _windows(batches, pairs, frequent):
-    """Two to five frequent words behind every marked pair, with the word before them (null at the start of a piece)."""
+def _windows(batches, starts, links, waiting, frequent):
+    """Two to five frequent words behind every marked pair, with the word before them.
+
+    A window ends, and the word before is left out (null), where the two words in a row are known to be rare: no frequent phrase
+    goes on there. Pairs that begin with a word still waiting to be grown are not known.
+    """
     for s in slices(batches):
-        h = s.hashes()
-        may, n = marked(frequent.value, h), len(s.word)
-        ok = may[s.word]
-        at = np.flatnonzero(s.same[:-1] & ok[:-1] & ok[1:])
-        at = at[marked(pairs.value, paired(h[s.word[at]], h[s.word[at + 1]]))]
+        h, n = s.hashes(), len(s.word)
+        ok = marked(frequent.value, h)[s.word]
+        pair = paired(h[s.word[:-1]], h[s.word[1:]])
+        both = s.same[:-1] & ok[:-1] & ok[1:]
+        linked = np.append(both & (marked(links.value, pair) | marked(waiting.value, h)[s.word[:-1]]), False)
+        at = np.flatnonzero(both & marked(starts.value, pair))
         if not len(at):
             continue
-        columns = [np.where((at > 0) & s.same[at - 1], s.word[at - 1], -1), s.word[at], s.word[at + 1]]
+        columns = [np.where((at > 0) & linked[at - 1], s.word[at - 1], -1), s.word[at], s.word[at + 1]]
         goes = np.ones(len(at), dtype=bool)
         for j in range(2, LONGEST):
             to = np.minimum(at + j, n - 1)
-            goes = goes & (at + j < n) & s.same[to - 1] & ok[to]
+            goes = goes & (at + j < n) & linked[to - 1]
             columns.append(np.where(goes, s.word[to], -1))
         names = [f"c{j}" for j in range(len(columns))]
         met = pa.table([pa.array(c) for c in columns], names).group_by(names).aggregate([([], "count_all")]).combine_chunks()
@@ -188,22 +192,29 @@ def _windows(batches, pairs, frequent):
         yield _out(lang=s.langs(ids[1]), prev=texts[0], phrase=phrase, size=length, n=np.asarray(met["count_all"].combine_chunks()))
 
 
-def _places(batches, bits):
-    """Filter positions (from 1, as bitmap functions count) of words or of the first two words of phrases."""
+WINDOW = "lang string, prev string, phrase string, size int, n long"
+
+
+def _numbered(batches, pair):
+    """Numbers of words, or of the first two words of phrases."""
     for batch in batches:
         cut = pc.split_pattern(batch.column("phrase"), " ")
         one = hashed(pc.list_element(cut, 0), batch.column("lang"))
-        if len(one) and batch.column("pair")[0].as_py():
+        if len(one) and pair:
             one = paired(one, hashed(pc.list_element(cut, 1), batch.column("lang")))
-        yield _out(place=(one >> np.uint64(64 - bits)).astype(np.int64) + 1)
+        yield _out(number=one.view(np.int64))
+
+
+def numbers_of(entries: DataFrame, pair: bool) -> DataFrame:
+    return entries.select("lang", "phrase").mapInArrow(lambda b: _numbered(b, pair), "number long")
 
 
-def bit_filter(entries: DataFrame, pair: bool):
-    """Broadcast bits of the rows of ``entries`` (``lang``, ``phrase``): 16 bits an entry, 4 KiB to 16 MiB."""
-    spark = entries.sparkSession
-    bits = min(MOST_BITS, max(15, math.ceil(math.log2(16 * max(1, entries.count())))))
-    places = entries.select("lang", "phrase", F.lit(pair).alias("pair")).mapInArrow(lambda b: _places(b, bits), "place long")
-    parts = places.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+def bit_filter(numbers: DataFrame):
+    """Broadcast bits of a column of numbers: 16 bits an entry, 4 KiB to 16 MiB."""
+    spark = numbers.sparkSession
+    bits = min(MOST_BITS, max(15, math.ceil(math.log2(16 * max(1, numbers.count())))))
+    place = F.shiftrightunsigned("number", 64 - bits) + 1
+    parts = numbers.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for part, held in parts.toLocalIterator():
         out[(part - 1) * 4096 : part * 4096] = np.frombuffer(held, np.uint8)
@@ -220,28 +231,39 @@ def _prefixes(windows: DataFrame) -> DataFrame:
     return each.select("lang", "prev", "n", "m", _head("phrase", "m").alias("phrase"))
 
 
-def _counted(docs: DataFrame, ready: DataFrame, frequent, least: int) -> DataFrame | None:
-    """All frequent phrases that start with a word of ``ready``: ``lang``, ``phrase``, ``m`` (words), ``f``, ``left`` (largest count with a word before it)."""
-    if not ready.limit(1).count():
-        return None
-    grown = bit_filter(ready, pair=False)
-    pairs = docs.mapInArrow(lambda b: _pairs(b, grown, frequent), "lang string, first string, second string, n long")
-    pairs = pairs.groupBy("lang", "first", "second").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    pairs = materialise(pairs.join(ready.select("lang", F.col("phrase").alias("first")), ["lang", "first"], "left_semi"), "phrase-pairs")
-    marks = bit_filter(pairs.select("lang", F.concat_ws(" ", "first", "second").alias("phrase")), pair=True)
-    windows = docs.mapInArrow(lambda b: _windows(b, marks, frequent), "lang string, prev string, phrase string, size int, n long")
-    by_prev = _prefixes(windows).groupBy("lang", "phrase", "m", "prev").agg(F.sum("n").alias("n"))
-    grams = by_prev.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("f"), F.max(F.when(F.col("prev").isNotNull(), F.col("n"))).alias("left"))
-    # a pair that the filter let through by mistake is rare itself or starts with a word of another class
-    first = ready.select("lang", F.col("phrase").alias("first"))
-    grams = grams.where(F.col("f") >= least).withColumn("first", _head("phrase", F.lit(1)))
-    found = materialise(grams.join(first, ["lang", "first"], "left_semi").drop("first"), "phrase-grams")
-    for used in (grown, marks):
-        used.unpersist()
-    return found
-
-
-def _scored(docs: DataFrame, grams: DataFrame, known: DataFrame, frequent, totals: DataFrame) -> DataFrame:
+class _Round:
+    """What the tasks of one round look up, and the numbers of all pairs found frequent so far."""
+
+    def __init__(self, docs: DataFrame, ready: DataFrame, waiting: DataFrame, pairs: list[DataFrame], frequent, least: int):
+        self.docs, self.ready, self.least, self.frequent = docs, ready, least, frequent
+        grown = bit_filter(numbers_of(ready, False))
+        self.waiting = bit_filter(numbers_of(waiting, False))
+        counts = docs.mapInArrow(lambda b: _pairs(b, grown, frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f"))
+        pairs.append(materialise(counts.where(F.col("f") >= least).select(F.col("pair").alias("number")), "phrase-pairs"))
+        self.starts, self.links = bit_filter(pairs[-1]), bit_filter(reduce(DataFrame.unionByName, pairs))
+        grown.unpersist()
+
+    def windows(self, starts) -> DataFrame:
+        links, waiting, frequent = self.links, self.waiting, self.frequent
+        return self.docs.mapInArrow(lambda b: _windows(b, starts, links, waiting, frequent), WINDOW)
+
+    def grams(self) -> DataFrame:
+        """All frequent phrases that start with a grown word: ``lang``, ``phrase``, ``m`` (words), ``f``, ``left`` (largest count with a word before it)."""
+        by_prev = _prefixes(self.windows(self.starts)).groupBy("lang", "phrase", "m", "prev").agg(F.sum("n").alias("n"))
+        grams = by_prev.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("f"), F.max(F.when(F.col("prev").isNotNull(), F.col("n"))).alias("left"))
+        # a pair that a filter let through by mistake is rare itself or starts with a word of another class
+        first = self.ready.select("lang", F.col("phrase").alias("first"))
+        grams = grams.where(F.col("f") >= self.least).withColumn("first", _head("phrase", F.lit(1)))
+        return materialise(grams.join(first, ["lang", "first"]).drop("first"), "phrase-grams")
+
+    def ends(self, wanted: DataFrame) -> DataFrame:
+        """Counts of the phrases ``wanted``, which start with words not grown yet."""
+        starts = bit_filter(numbers_of(wanted, True))
+        counts = _prefixes(self.windows(starts)).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        return materialise(counts.join(wanted, ["lang", "phrase"]), "phrase-end-counts")
+
+
+def _scored(turn: _Round, grams: DataFrame, known: DataFrame, totals: DataFrame) -> DataFrame:
     """Phrases of ``grams`` that no longer phrase takes the place of, with the lowest-scoring cut."""
     longer = grams.where("m > 2").select("lang", _head("phrase", F.col("m") - 1).alias("phrase"), "f")
     longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("right"))
@@ -253,11 +275,7 @@ def _scored(docs: DataFrame, grams: DataFrame, known: DataFrame, frequent, total
     ends = cuts.where("m - k > 1").select("lang", F.col("rest").alias("phrase")).distinct().join(known, ["lang", "phrase"], "left_anti")
     ends = materialise(ends, "phrase-ends")
     if ends.limit(1).count():
-        marks = bit_filter(ends, pair=True)
-        windows = docs.mapInArrow(lambda b: _windows(b, marks, frequent), "lang string, prev string, phrase string, size int, n long")
-        counts = _prefixes(windows).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).join(ends, ["lang", "phrase"], "left_semi")
-        known = known.unionByName(materialise(counts, "phrase-end-counts"))
-        marks.unpersist()
+        known = known.unionByName(turn.ends(ends))
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(totals, "lang")
     score = F.expr("(1000 * CAST(a AS DECIMAL(17, 0)) * CAST(n AS DECIMAL(17, 0))) div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))")
@@ -286,28 +304,25 @@ def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, share: float
     counts = materialise(counts.where((F.col("f") >= least) | F.col("word").isNull()), "phrase-words")
     totals = counts.where("word IS NULL").select("lang", F.col("f").alias("n"))
     words = counts.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), "f")
-    frequent = bit_filter(words, pair=False)
+    frequent = bit_filter(numbers_of(words, False))
     most = words.groupBy("lang").agg(F.max("f").alias("most"))
     start = totals.join(most, "lang").select("lang", "n", "most", F.lit(0).cast("long").alias("low"), F.lit(False).alias("all"))
     state = _frontier(words, start, share)
+    pairs: list[DataFrame] = []
     grams: list[DataFrame] = []
     scores: list[DataFrame] = []
     while state.limit(1).count():
         ready = materialise(words.join(state.select("lang", "low", "high"), "lang").where("f >= low AND f < high").select("lang", "phrase", "f"), "phrase-ready")
-        live = docs.join(state.select("lang"), "lang", "left_semi")
-        found = _counted(live, ready, frequent, least)
-        if found is not None:
-            grams.append(found)
-            known = reduce(DataFrame.unionByName, [words, *[g.select("lang", "phrase", "f") for g in grams]])
-            scores.append(_scored(live, found, known, frequent, totals))
+        waiting = words.join(state.select("lang", "high"), "lang").where("f >= high")
+        turn = _Round(docs.join(state.select("lang"), "lang", "left_semi"), ready, waiting, pairs, frequent, least)
+        grams.append(turn.grams())
+        known = reduce(DataFrame.unionByName, [words, *[g.select("lang", "phrase", "f") for g in grams]])
+        scores.append(_scored(turn, grams[-1], known, totals))
         # settled: enough scores above the bound of all words still to grow, or no such word
         bound = state.select("lang", F.expr("(1000 * CAST(n AS DECIMAL(30, 0))) div CAST(high AS DECIMAL(20, 0))").alias("bound"))
-        if scores:
-            held = reduce(DataFrame.unionByName, scores).select("lang", "score").join(bound, "lang")
-            held = held.groupBy("lang").agg(F.count_if(F.col("score") > F.col("bound")).alias("above"), F.count("*").alias("have"))
-            state = state.join(held, "lang", "left")
-        else:
-            state = state.withColumns({"above": F.lit(0), "have": F.lit(0)})
+        held = reduce(DataFrame.unionByName, scores).select("lang", "score").join(bound, "lang")
+        held = held.groupBy("lang").agg(F.count_if(F.col("score") > F.col("bound")).alias("above"), F.count("*").alias("have"))
+        state = state.join(held, "lang", "left")
         open_ = state.where((F.col("high") <= F.col("most")) & (F.coalesce("above", F.lit(0)) < top))
         # while the wanted number is not even there, no bound can settle anything: all that is left is grown next
         rest = open_.select("lang", "n", "most", F.col("high").alias("low"), (F.coalesce("have", F.lit(0)) < top).alias("all"))
