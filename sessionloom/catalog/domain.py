@@ -433,21 +433,23 @@ def legacy_steps(spark, folder):
     return sequences.zero_pad(sequences.gather_steps(rows), 10, 6)
 
 
-LEGACY_STEPS = """lk AS (SELECT session_id, (any_value(n) % 2)::INT AS label FROM mv GROUP BY 1),
-lp AS (SELECT lk.session_id, label, g.step, coalesce(x, 0) AS a0, coalesce(y, 0) AS a1, CASE WHEN x IS NULL THEN 0 ELSE coalesce(dist, 0) END AS a2,
-  CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END AS a3, coalesce(x % 2, 0) AS a4, coalesce(movement_index, 0)::DOUBLE AS a5
-  FROM lk CROSS JOIN range(0, 10) g(step) LEFT JOIN mv ON mv.session_id = lk.session_id AND mv.ordinal - 1 = g.step),
-ld AS (SELECT *, a5 - coalesce(lag(a5) OVER o, a5) AS f0, a2 AS f1, atan2(a1 - coalesce(lag(a1) OVER o, a1), a0 - coalesce(lag(a0) OVER o, a0)) AS f2,
-  a3 AS f3, a4 AS f4, list(a2) OVER (PARTITION BY session_id ORDER BY step ROWS 4 PRECEDING) AS win FROM lp WINDOW o AS (PARTITION BY session_id ORDER BY step)),
-le AS (SELECT session_id, step, unnest(win) AS v, list_min(win) AS lo, list_max(win) AS hi, least(6, greatest(2, len(win))) AS k FROM ld),
-lf AS (SELECT session_id, step, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY session_id, step) AS p FROM le
-  GROUP BY session_id, step, CASE WHEN lo = hi THEN 0 ELSE least(floor((v - lo) / (hi - lo) * k), k - 1) END),
-lh AS (SELECT session_id, step, -sum(p * log2(p + 1e-12)) AS f5 FROM lf GROUP BY 1, 2)"""
+LEGACY_STEPS = """lk AS (SELECT session_id, (any_value(n) % 2)::INT AS label, list(x ORDER BY ordinal) AS xs, list(y ORDER BY ordinal) AS ys,
+  list(coalesce(dist, 0) ORDER BY ordinal) AS ds, list(movement_index ORDER BY ordinal) AS ms, least(count(*), 10) AS len FROM mv WHERE ordinal <= 10 GROUP BY 1),
+lp AS (SELECT *, CASE WHEN step < len THEN xs[step + 1] ELSE 0 END AS x, CASE WHEN step < len THEN ys[step + 1] ELSE 0 END AS y,
+  CASE WHEN step < len THEN ms[step + 1] ELSE 0 END AS m, greatest(step - 1, 0) AS back FROM (SELECT *, unnest(range(0, 10)) AS step FROM lk)),
+lw AS (SELECT *, CASE WHEN back < len THEN xs[back + 1] ELSE 0 END AS px, CASE WHEN back < len THEN ys[back + 1] ELSE 0 END AS py,
+  CASE WHEN back < len THEN ms[back + 1] ELSE 0 END AS pm,
+  list_transform(range(greatest(step - 4, 0), step + 1), lambda i: CASE WHEN i < len THEN ds[i + 1] ELSE 0 END) AS win FROM lp),
+le AS (SELECT *, list_min(win) AS lo, list_max(win) AS hi, least(6, greatest(2, len(win))) AS k FROM lw),
+ls AS (SELECT *, list_transform(win, lambda v: CASE WHEN lo = hi THEN 0 ELSE least(floor((v - lo) / (hi - lo) * k), k - 1) END) AS slots FROM le),
+lf AS (SELECT session_id, label, step, (m - pm)::DOUBLE AS f0, win[len(win)] AS f1, atan2(y - py, x - px) AS f2, CASE WHEN step < len THEN 1.0 ELSE 0.0 END AS f3,
+  CASE WHEN step < len THEN x % 2 ELSE 0 END AS f4, -list_sum(list_transform(range(0, 6), lambda i: CASE WHEN len(list_filter(slots, lambda s: s = i)) = 0 THEN 0
+  ELSE len(list_filter(slots, lambda s: s = i)) / len(slots)::DOUBLE * log2(len(list_filter(slots, lambda s: s = i)) / len(slots)::DOUBLE + 1e-12) END)) AS f5 FROM ls)"""
 
 
 @query(
     "seq10_remapped_legacy_steps",
-    motion_sql(f"SELECT session_id, label, 'legacy' AS sequence_type, step::INT AS step, {Rs('f0 f1 f2 f3 f4 f5')} FROM ld JOIN lh USING (session_id, step)", LEGACY_STEPS),
+    motion_sql(f"SELECT session_id, label, 'legacy' AS sequence_type, step::INT AS step, {Rs('f0 f1 f2 f3 f4 f5')} FROM lf", LEGACY_STEPS),
 )
 def _(spark, folder):
     out = sequences.remap_legacy_steps(legacy_steps(spark, folder))

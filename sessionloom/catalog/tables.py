@@ -41,13 +41,22 @@ def _(spark, folder):
     return stamp(clicks(spark, folder).select(*readers.CLICK_COLUMNS), "click_time")
 
 
+#: Small enough to cut at every scale of the given tables.
+NEGATIVE_CAP, POSITIVE_MINIMUM, CHUNK_ROWS = 400, 150, 128
+
+
 @query(
     "src03_capped_class_scan",
-    f"WITH {CLICKS} SELECT event_id, is_attributed FROM clicks",
+    f"""WITH {CLICKS}, o AS (SELECT event_id, is_attributed, event_id - (SELECT min(event_id) FROM clicks) AS place FROM clicks),
+c AS (SELECT place // {CHUNK_ROWS} AS part, sum(is_attributed) AS p, sum(1 - is_attributed) AS n FROM o GROUP BY 1),
+u AS (SELECT part, sum(p) OVER w AS p, sum(n) OVER w AS n FROM c WINDOW w AS (ORDER BY part)),
+e AS (SELECT coalesce(min(part), (SELECT max(part) FROM c)) AS last FROM u WHERE p >= {POSITIVE_MINIMUM} AND n >= {NEGATIVE_CAP}),
+k AS (SELECT *, sum(1 - is_attributed) OVER (ORDER BY place) AS nth FROM o WHERE place // {CHUNK_ROWS} <= (SELECT last FROM e))
+SELECT event_id, is_attributed FROM k WHERE is_attributed = 1 OR nth <= {NEGATIVE_CAP}""",
 )
 def _(spark, folder):
-    out = readers.capped_class_scan(clicks(spark, folder))
-    return out.select("event_id", "is_attributed")
+    rows = readers.read_numbered(spark, f"{folder}/events.parquet").withColumn("is_attributed", (F.col("event_type") == "purchase").cast("int"))
+    return readers.capped_class_scan(rows, NEGATIVE_CAP, POSITIVE_MINIMUM, CHUNK_ROWS).select("event_id", "is_attributed")
 
 
 @query("src04_read_schema_on_read", "SELECT o_custkey AS session_id, count(*) AS total_requests, count(*) FILTER (WHERE o_orderstatus = 'F') AS successful_requests FROM orders GROUP BY 1")
@@ -58,9 +67,9 @@ def _(spark, folder):
     )
 
 
-@query("src05_read_head")
+@query("src05_read_head", f"WITH {CLICKS} SELECT event_id, ip, channel FROM clicks ORDER BY event_id LIMIT 5")
 def _(spark, folder):
-    return readers.read_head(clicks(spark, folder), 5).select("event_id", "ip", "channel")
+    return readers.read_head(clicks(spark, folder).select("event_id", "ip", "channel"), 5, ("event_id",))
 
 
 @query("src07_empty_on_missing", "SELECT event_id, user_id FROM events")

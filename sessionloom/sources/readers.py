@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -46,8 +46,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
         return spark.createDataFrame([], schema)
 
 
-def read_head(df: DataFrame, n: int = 5) -> DataFrame:
-    return df.limit(n)
+def read_head(df: DataFrame, n: int = 5, order: tuple[str, ...] = ()) -> DataFrame:
+    """The first n rows, in the given order if there is one."""
+    return (df.orderBy(*order) if order else df).limit(n)
 
 
 def normalise_clicks(df: DataFrame, calendar: bool = True) -> DataFrame:
@@ -61,21 +62,46 @@ def normalise_clicks(df: DataFrame, calendar: bool = True) -> DataFrame:
     return out.withColumns(calendar_parts(F.col("click_time"))) if calendar else out
 
 
+def read_numbered(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
+    """A file scan with each row's file (``file_path``) and place in it from 0 (``file_row``)."""
+    df = spark.read.format(fmt).load(path)
+    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("file_row"))
+
+
 def capped_class_scan(
-    df: DataFrame, negative_cap: int | None = None, order: tuple[str, ...] = ("click_time", "event_id")
+    df: DataFrame, negative_cap: int = 120_000, positive_minimum: int = 5_000, chunk_rows: int = 750_000, label: str = "is_attributed"
 ) -> DataFrame:
-    """All rows, or all positives plus the first ``negative_cap`` negatives in time order where a cap is asked for.
+    """What a reader in file order keeps: every positive, and the first ``negative_cap`` negatives, of the chunks it reads.
 
-    The positive minimum of a chunked reader is only a stopping rule for reading in file
-    order; a distributed scan reads every positive anyway. Both branches push their
-    filter into the scan and the limit is a distributed top-n.
+    A chunk is ``chunk_rows`` rows of a file (``read_numbered``), files follow each other by name. Reading stops behind the first
+    chunk at which both the cap and the positive minimum are met, so positives behind it are left out; if that never happens, all is read. A null
+    label is negative. Classes are counted per chunk in one narrow scan, the counts are added up in file order, and only the one chunk
+    that the cap cuts through is ranked. What stays is a filter by file, place and label: no row is shuffled.
     """
-    if negative_cap is None:
-        return df
-    flag = F.coalesce(F.col("is_attributed"), F.lit(0))
-    positives = df.filter(flag == 1)
-    negatives = df.filter(flag == 0).orderBy(*order).limit(negative_cap)
-    return positives.unionByName(negatives)
+    positive = F.coalesce(F.col(label).cast("int"), F.lit(0)) == 1
+    part = F.floor(F.col("file_row") / chunk_rows)
+    counts = df.groupBy("file_path", part.alias("part")).agg(F.count_if(positive).alias("positives"), F.count_if(~positive).alias("negatives"))
+    order = Window.orderBy("file_path", "part")
+    upto = counts.select("file_path", "part", F.sum("positives").over(order).alias("positives"), F.sum("negatives").over(order).alias("negatives"))
+    upto = upto.withColumn("before", F.coalesce(F.lag("negatives").over(order), F.lit(0)))
+    place = F.struct("file_path", "part")
+    last, cut = upto.agg(
+        F.min(F.when((F.col("positives") >= positive_minimum) & (F.col("negatives") >= negative_cap), place)),
+        F.min(F.when(F.col("negatives") >= negative_cap, F.struct("file_path", "part", (negative_cap - F.col("before")).alias("room")))),
+    ).first()
+    kept = df
+    if last:
+        file, at = F.col("file_path"), F.col("file_row")
+        kept = kept.where((file < last["file_path"]) | ((file == last["file_path"]) & (at < (last["part"] + 1) * chunk_rows)))
+    if cut:
+        edge = df.where((F.col("file_path") == cut["file_path"]) & (part == cut["part"]) & ~positive)
+        end = edge.select("file_row").orderBy("file_row").limit(int(cut["room"])).agg(F.max("file_row")).first()[0]
+        until = -1 if end is None else end
+        first = (F.col("file_path") < cut["file_path"]) | ((F.col("file_path") == cut["file_path"]) & (F.col("file_row") <= until))
+        # with no room in the chunk itself, the negatives before it are still in
+        before = (F.col("file_path") < cut["file_path"]) | ((F.col("file_path") == cut["file_path"]) & (F.col("file_row") < cut["part"] * chunk_rows))
+        kept = kept.where(positive | first | before)
+    return kept
 
 
 def read_csv_inferred(spark: SparkSession, path: str | list[str]) -> DataFrame:

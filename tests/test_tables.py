@@ -203,3 +203,34 @@ def test_preprocessing_fills_scales_and_ignores_unknown_values(spark):
     assert got["e"][0] == 4.0  # (6 - 5) / 0.25
     assert got["e"][1] == 0.0 and got["e"][2:] == [0.0, 0.0, 0.0]
     assert got["f"][0] == 0.0 and sum(got["f"][2:]) == 1.0
+
+
+def in_file_order(rows, cap, minimum, chunk):
+    """The chunk loop of a reader over (key, label) rows."""
+    positives, negatives = [], []
+    for at in range(0, len(rows), chunk):
+        part = rows[at : at + chunk]
+        positives += [k for k, label in part if label == 1]
+        negatives += [k for k, label in part if label != 1][: max(0, cap - len(negatives))]
+        if len(positives) >= minimum and len(negatives) >= cap:
+            break
+    return sorted(positives + negatives)
+
+
+@pytest.mark.parametrize("cap, minimum, chunk", [(40, 10, 16), (40, 60, 16), (0, 5, 16), (16, 1, 16), (10_000, 5, 16), (50, 10_000, 7), (64, 1, 1000), (15, 2, 15)])
+def test_capped_scan_reads_like_a_chunk_loop(spark, tmp_path, cap, minimum, chunk):
+    from sessionloom.sources import readers
+
+    rows = [(i, None if i % 17 == 3 else int(i % 5 == 0 and (i < 60 or i > 150))) for i in range(300)]
+    path = str(tmp_path / "clicks")
+    spark.createDataFrame(rows, "k int, is_attributed int").coalesce(1).write.parquet(path)
+    got = readers.capped_class_scan(readers.read_numbered(spark, path), cap, minimum, chunk)
+    assert sorted(r["k"] for r in got.collect()) == in_file_order(rows, cap, minimum, chunk)
+
+
+def test_capped_scan_of_nothing(spark, tmp_path):
+    from sessionloom.sources import readers
+
+    path = str(tmp_path / "none")
+    spark.createDataFrame([], "k int, is_attributed int").write.parquet(path)
+    assert readers.capped_class_scan(readers.read_numbered(spark, path), 5, 5, 5).count() == 0
