@@ -12,7 +12,8 @@ from sessionloom.catalog.base import (
 from sessionloom.catalog.domain import click_seq
 from sessionloom.catalog.prepare import FEATURES
 from sessionloom.catalog.tables import EVENT_SCHEMA
-from sessionloom.operators import evaluation, models, sampling
+from sessionloom.operators import boosting, evaluation, models, sampling
+from sessionloom.operators.sequences import standardise_steps
 from sessionloom.session import work_folder
 from sessionloom.sources import bindings, writers
 from sessionloom.streaming import sessions as streams
@@ -136,13 +137,6 @@ def split_sessions(spark, folder):
     return staged(spark, folder, "split", build)
 
 
-def fit_and_apply(spark, folder, classifier, weight=True):
-    df = split_sessions(spark, folder)
-    train, test = df.filter("not is_test").drop("is_test"), df.filter("is_test").drop("is_test")
-    model = models.fit_classifier(train, classifier, weight)
-    return model, models.apply_classifier(model, test)
-
-
 PREDICTION = ["session_id", "label", "prediction", "probability_array"]
 
 
@@ -152,17 +146,52 @@ def _(spark, folder):
     return rounded(kept.select("label", *numeric, *categorical))
 
 
-def fitted(spark, folder, name, classifier):
-    """Test predictions of one fitted model, written once."""
-    return staged(spark, folder, name, lambda s, f: fit_and_apply(s, f, classifier)[1].select(*PREDICTION))
+_MODELS: dict[tuple[str, str, str], object] = {}
+
+
+def fitted_once(spark, folder, name, build):
+    """A model of this application and folder, fitted once for all queries that need it."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _MODELS:
+        _MODELS[key] = build()
+    return _MODELS[key]
+
+
+def training_rows(spark, folder):
+    return split_sessions(spark, folder).filter("not is_test").drop("is_test")
+
+
+def test_rows(spark, folder):
+    return split_sessions(spark, folder).filter("is_test").drop("is_test")
+
+
+def forest_model(spark, folder):
+    """The forest in memory and the path it was saved to."""
+
+    def build():
+        model, path = models.fit_classifier(training_rows(spark, folder), models.random_forest()), work_folder(spark, "forest-model")
+        writers.save_model(model, path)
+        return model, path
+
+    return fitted_once(spark, folder, "forest", build)
 
 
 def forest(spark, folder):
-    return fitted(spark, folder, "forest", models.random_forest())
+    """Test predictions of the saved forest, written once."""
+    return staged(spark, folder, "forest", lambda s, f: models.apply_classifier(writers.load_model(forest_model(s, f)[1]), test_rows(s, f)).select(*PREDICTION))
+
+
+def boosted_model(spark, folder, settings=None):
+    settings = settings or boosting.level_wise()
+    return fitted_once(spark, folder, repr(settings), lambda: models.fit_boosted(training_rows(spark, folder), settings))
 
 
 def boosted(spark, folder):
-    return fitted(spark, folder, "boosted", models.boosted_trees())
+    return staged(spark, folder, "boosted", lambda s, f: boosted_model(s, f).apply(test_rows(s, f)).select(*PREDICTION))
+
+
+def leaf_wise(spark, folder):
+    return staged(spark, folder, "leaf_wise", lambda s, f: boosted_model(s, f, boosting.leaf_wise()).apply(test_rows(s, f)).select(*PREDICTION))
 
 
 #: What must hold of any classifier's output: a row per test session, probabilities that sum to one, the largest wins.
@@ -190,8 +219,13 @@ def _(spark, folder):
 
 @query("mdl06_feature_importance")
 def _(spark, folder):
-    model, out = fit_and_apply(spark, folder, models.random_forest())
-    return models.feature_importance(model, out)
+    model = forest_model(spark, folder)[0]
+    return models.feature_importance(model, model.transform(training_rows(spark, folder).withColumn("label", F.col("label").cast("double"))))
+
+
+@query("mdl06_boosted_importance")
+def _(spark, folder):
+    return models.boosted_importance(boosted_model(spark, folder), spark)
 
 
 @query("mdl03_boosted_trees")
@@ -204,12 +238,31 @@ def _(spark, folder):
     return invariants(boosted(spark, folder))
 
 
+@query("mdl03_leaf_wise_trees")
+def _(spark, folder):
+    return leaf_wise(spark, folder)
+
+
+@query("mdl03_leaf_wise_invariants", TESTED)
+def _(spark, folder):
+    return invariants(leaf_wise(spark, folder))
+
+
+@query("mdl03_jobs_equal_task", f"SELECT count(*) AS n, count(*) AS equal FROM ({ORACLES['smp06_stratified_split']}) WHERE is_test")
+def _(spark, folder):
+    """A few rounds grown by a job per level and inside one task give the same probabilities."""
+    few = boosting.level_wise(rounds=3, depth=4)
+    one, many = (models.fit_boosted(training_rows(spark, folder), few, task_rows=n).apply(test_rows(spark, folder)) for n in (1 << 40, 0))
+    both = one.select("session_id", F.col("probability_array").alias("p")).join(many, "session_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("p") == F.col("probability_array")).alias("equal"))
+
+
 def sequence_predictions(spark, folder):
     def build(s, f):
-        seq = models.flatten_steps(click_seq(s, f)).select("session_id", "label", "features")
+        seq = click_seq(s, f).select("session_id", "label", "steps")
         marked = staged(s, f, "sequence_split", lambda *_: sampling.stratified_split(seq))
-        model = models.sequence_classifier(300).fit(marked.filter("not is_test"))
-        return models.with_probabilities(model.transform(marked.filter("is_test"))).select(*PREDICTION)
+        model, scaler = models.fit_sequences(marked.filter("not is_test"), 6)
+        return model.transform(standardise_steps(marked.filter("is_test"), scaler)).select(*PREDICTION)
 
     return staged(spark, folder, "sequence_predictions", build)
 
@@ -226,10 +279,10 @@ def _(spark, folder):
 
 @query("evl01_model_comparison")
 def _(spark, folder):
-    outs = {"RandomForest": forest(spark, folder), "Boosted": boosted(spark, folder)}
-    vote = models.soft_vote(outs["RandomForest"], outs["Boosted"], "session_id")
-    outs["Ensemble"] = vote.join(outs["RandomForest"].select("session_id", "label"), "session_id")
+    outs = {"RandomForest": forest(spark, folder), "Boosted": boosted(spark, folder), "LeafWise": leaf_wise(spark, folder)}
     outs["Sequence"] = sequence_predictions(spark, folder)
+    vote = models.soft_vote(outs["Boosted"], outs["Sequence"], "session_id")
+    outs["Ensemble"] = vote.join(outs["Boosted"].select("session_id", "label"), "session_id")
     return models.compare_models({name: evaluation.classification_metrics(out) for name, out in outs.items()})
 
 
@@ -271,14 +324,11 @@ def _(spark, folder):
 
 
 def reloaded(spark, folder):
-    """Test rows with the predictions of a forest before and after it was saved and loaded."""
-    path = work_folder(spark, "sink-model")
-    df = split_sessions(spark, folder)
+    """Test rows with the predictions of the forest before and after it was saved and loaded."""
     # a category the fit has not seen and a missing one go through the saved fills
     odd = F.when(F.crc32(F.col("session_id").cast("binary")) % 5 == 0, F.lit(None)).when(F.crc32(F.col("session_id").cast("binary")) % 5 == 1, "never seen")
-    test = df.filter("is_test").drop("is_test").withColumn("channel", F.when(F.crc32(F.col("session_id").cast("binary")) % 5 < 2, odd).otherwise(F.col("channel")))
-    model = models.fit_classifier(df.filter("not is_test").drop("is_test"), models.random_forest())
-    writers.save_model(model, path)
+    test = test_rows(spark, folder).withColumn("channel", F.when(F.crc32(F.col("session_id").cast("binary")) % 5 < 2, odd).otherwise(F.col("channel")))
+    model, path = forest_model(spark, folder)
     before = models.apply_classifier(model, test).select("session_id", F.col("probability_array").alias("p"))
     return models.apply_classifier(writers.load_model(path), test).select(*PREDICTION).join(before, "session_id")
 

@@ -1,26 +1,25 @@
-"""Spark ML classifiers over the session table."""
+"""Classifiers over the session table and over sequences."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.operators import boosting, recurrent
 from sessionloom.operators.clean import string_columns
 from sessionloom.operators.sampling import class_sizes
+from sessionloom.operators.sequences import fit_step_scaler, standardise_steps
 from sessionloom.operators.structure import numeric_columns
 from sessionloom.plans.cuts import quantiles
 from sessionloom.schema import MODEL_ID_COLUMNS
+from sessionloom.session import materialise
 
 SEED = 42
 
@@ -113,34 +112,61 @@ def apply_classifier(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def random_forest(trees: int = 300, depth: int = 15) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=SEED)
+    """Spark's forest; its node statistics may take a gigabyte at once, so deep levels need fewer passes."""
+    return RandomForestClassifier(
+        labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10
+    )
 
 
-def boosted_trees(rounds: int = 100, depth: int = 6, rate: float = 0.05, subsample: float = 0.8) -> OneVsRest:
-    """One-vs-rest boosting for three classes."""
-    base = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=SEED)
-    return OneVsRest(classifier=base, labelCol="label", featuresCol="features", parallelism=3)
+@dataclass
+class EncodedModel:
+    """Encoders fitted on training rows and a model over the encoded features."""
 
+    encoders: PipelineModel
+    names: list[str]
+    trees: boosting.BoostedTrees
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        kinds = [c for c in numeric_columns(df) if c != "label"]
+        ready = df.withColumns({c: F.col(c).cast("double") for c in [*kinds, "label"]})
+        return self.trees.transform(_arrays(self.encoders.transform(ready)).select(*df.columns, "feature_array"))
+
+
+def _arrays(df: DataFrame) -> DataFrame:
+    return df.withColumn("feature_array", vector_to_array("features"))
+
+
+def fit_boosted(train: DataFrame, settings: boosting.Boosting, weight: bool = True, task_rows: int = boosting.TASK_ROWS) -> EncodedModel:
+    """Encoders and softmax boosting fitted on training rows only, classes weighted alike unless told otherwise."""
+    kept, numeric, categorical = model_input(train)
+    kept = class_weights(kept) if weight else kept.withColumn("weight", F.lit(1.0))
+    encoders = Pipeline(stages=encoder_stages(kept, numeric, most_frequent(kept, categorical))).fit(kept)
+    ready = encoders.transform(kept)
+    trees = boosting.fit(_arrays(ready).select("feature_array", "label", "weight"), settings, task_rows)
+    return EncodedModel(encoders, slot_names(ready), trees)
+
+
+def save_boosted(model: EncodedModel, spark, path: str) -> None:
+    model.encoders.write().overwrite().save(f"{path}/encoders")
+    boosting.save(model.trees, spark, f"{path}/model")
+    spark.createDataFrame(list(enumerate(model.names)), "slot int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
 
-def sequence_classifier(inputs: int, hidden: tuple[int, ...] = (64, 32), classes: int = 3, epochs: int = 20) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(
-        labelCol="label", featuresCol="features", layers=[inputs, *hidden, classes], maxIter=epochs, seed=SEED
-    )
 
+def load_boosted(spark, path: str) -> EncodedModel:
+    names = [r["name"] for r in spark.read.parquet(f"{path}/names").orderBy("slot").collect()]
+    return EncodedModel(PipelineModel.load(f"{path}/encoders"), names, boosting.load(spark, f"{path}/model"))
 
-def flatten_steps(df: DataFrame, column: str = "steps") -> DataFrame:
-    """Sequence arrays as one feature vector per session."""
-    return df.withColumn("features", array_to_vector(F.flatten(column))).withColumn("label", F.col("label").cast("double"))
+
+def fit_sequences(train: DataFrame, width: int, column: str = "steps", **settings) -> tuple[recurrent.RecurrentModel, DataFrame]:
+    """The recurrent classifier on standardised sequences of equal length with class weights, and the scaler of its training rows."""
+    scaler = materialise(fit_step_scaler(train, width, column), "step-scaler")
+    ready = standardise_steps(class_weights(train), scaler, column)
+    return recurrent.fit(ready.select(F.col(column).alias("steps"), "label", "weight"), **settings), scaler
 
 
 def with_probabilities(scored: DataFrame) -> DataFrame:
-    """``probability_array``: the model's probabilities, or normalised one-vs-rest margins."""
-    if "probability" in scored.columns:
-        return scored.withColumn("probability_array", vector_to_array("probability"))
-    margins = vector_to_array("rawPrediction")
-    odds = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn("probability_array", F.transform(odds, lambda p: p / total))
+    """``probability_array``: the model's probabilities as an array."""
+    return scored.withColumn("probability_array", vector_to_array("probability"))
 
 
 def soft_vote(first: DataFrame, second: DataFrame, key: str, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
@@ -156,13 +182,26 @@ def predicted_class(probabilities):
     return (F.array_position(probabilities, F.array_max(probabilities)) - 1).cast("int")
 
 
-def feature_importance(model: PipelineModel, transformed: DataFrame, k: int = 20) -> DataFrame:
-    """Top-k importances with vector slot names from the assembler metadata."""
+def slot_names(transformed: DataFrame) -> list[str]:
+    """Names of the feature vector's slots from the assembler's metadata."""
     attrs = transformed.schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for kind in attrs.values() for a in kind}
-    values = model.stages[-1].featureImportances.toArray()
-    rows = sorted(((names.get(i, str(i)), float(v)) for i, v in enumerate(values)), key=lambda r: (-r[1], r[0]))[:k]
-    return transformed.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return [names.get(i, str(i)) for i in range(max(names, default=-1) + 1)]
+
+
+def _top(spark, names: list[str], values, k: int) -> DataFrame:
+    rows = sorted(zip(names, map(float, values)), key=lambda r: (-r[1], r[0]))[:k]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+def feature_importance(model: PipelineModel, transformed: DataFrame, k: int = 20) -> DataFrame:
+    """Top-k importances of a forest with slot names."""
+    return _top(transformed.sparkSession, slot_names(transformed), model.stages[-1].featureImportances.toArray(), k)
+
+
+def boosted_importance(model: EncodedModel, spark, k: int = 20) -> DataFrame:
+    """Top-k shares of the gain of boosted trees with slot names."""
+    return _top(spark, model.names, model.trees.importance(), k)
 
 
 def best_model(metrics: DataFrame) -> DataFrame:
