@@ -286,15 +286,22 @@ def build_index(vectors: DataFrame, k: int = 20) -> tuple[DataFrame, float]:
     size = F.least(F.lit(MOST_NODES), F.ceil(SHARD * F.sqrt("n")))
     shard = F.pmod(F.col("mix"), F.ceil(F.col("n") / size)).cast("int")
     dealt = nodes.join(sizes.drop("norm"), "dim").select("dim", shard.alias("shard"), "vector", "ids", "mix")
+    dealt = dealt.repartition(spread_over(sizes.agg(F.sum(F.ceil(F.col("n") / size))).first()[0]), "dim", "shard")
     schema = "shard int, dim int, node int, vector binary, ids array<long>, edges array<int>, start boolean"
     return materialise(dealt.groupBy("dim", "shard").applyInArrow(lambda t: _indexed(t, largest), schema), "graph-index"), largest
 
 
+def spread_over(shards: int | None) -> int:
+    """Partitions for groups of shards: a shard is minutes of work on little data, so small partitions must not be put together."""
+    return 4 * int(shards or 1)
+
+
 def search(index: DataFrame, largest: float, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM) -> DataFrame:
     """``query``, ``rank``, ``vec_id``, ``score``: each query's best rows (``query``, ``vec_id``, ``vector``, ``dim`` of ``queries``)."""
     shards = index.select("dim", F.col("shard").alias("to")).distinct()
-    sent = queries.join(shards, "dim").select("query", "vec_id", "vector", F.col("dim").alias("dim"), F.col("to").alias("shard"))
-    found = sent.groupBy("dim", "shard").cogroup(index.groupBy("dim", "shard")).applyInArrow(
+    n = spread_over(shards.count())
+    sent = queries.join(shards, "dim").select("query", "vec_id", "vector", F.col("dim").alias("dim"), F.col("to").alias("shard")).repartition(n, "dim", "shard")
+    found = sent.groupBy("dim", "shard").cogroup(index.repartition(n, "dim", "shard").groupBy("dim", "shard")).applyInArrow(
         lambda a, b: _searched(a, b, largest, k, beam), "query long, vec_id long, score double"
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
