@@ -195,18 +195,42 @@ def _windows(batches, starts, links, waiting, frequent):
 WINDOW = "lang string, prev string, phrase string, size int, n long"
 
 
-def _numbered(batches, pair):
-    """Numbers of words, or of the first two words of phrases."""
+def _ends(batches, wanted, frequent):
+    """Occurrences of wanted phrases of two to four words."""
+    for s in slices(batches):
+        h, n = s.hashes(), len(s.word)
+        ok = marked(frequent.value, h)[s.word]
+        linked = np.append(s.same[:-1] & ok[:-1] & ok[1:], False)
+        at, number, size = np.flatnonzero(ok), h[s.word[ok]], 1
+        while size < LONGEST - 1:
+            goes = linked[at + size - 1]
+            at = at[goes]
+            number, size = paired(number[goes], h[s.word[at + size]]), size + 1
+            hit = at[marked(wanted.value, number)]
+            if len(hit):
+                names = [f"c{j}" for j in range(size)]
+                met = pa.table([pa.array(s.word[hit + j]) for j in range(size)], names).group_by(names).aggregate([([], "count_all")]).combine_chunks()
+                ids = [np.asarray(met[c].combine_chunks()) for c in names]
+                phrase = pc.binary_join_element_wise(*[s.text.take(pa.array(i)) for i in ids], pa.scalar(" ", pa.large_string()))
+                yield _out(lang=s.langs(ids[0]), phrase=phrase, n=np.asarray(met["count_all"].combine_chunks()))
+
+
+def _numbered(batches):
+    """Numbers of words and of phrases; a phrase's is its first pair's, carried on word by word."""
     for batch in batches:
         cut = pc.split_pattern(batch.column("phrase"), " ")
-        one = hashed(pc.list_element(cut, 0), batch.column("lang"))
-        if len(one) and pair:
-            one = paired(one, hashed(pc.list_element(cut, 1), batch.column("lang")))
-        yield _out(number=one.view(np.int64))
+        size = np.asarray(pc.list_value_length(cut))
+        each = hashed(cut.flatten(), batch.column("lang").take(pa.array(np.repeat(np.arange(len(size)), size))))
+        first = np.cumsum(size) - size
+        number = each[first]
+        for j in range(1, int(size.max(initial=1))):
+            more = size > j
+            number[more] = paired(number[more], each[first[more] + j])
+        yield _out(number=number.view(np.int64))
 
 
-def numbers_of(entries: DataFrame, pair: bool) -> DataFrame:
-    return entries.select("lang", "phrase").mapInArrow(lambda b: _numbered(b, pair), "number long")
+def numbers_of(entries: DataFrame) -> DataFrame:
+    return entries.select("lang", "phrase").mapInArrow(_numbered, "number long")
 
 
 def bit_filter(numbers: DataFrame):
@@ -236,20 +260,20 @@ class _Round:
 
     def __init__(self, docs: DataFrame, ready: DataFrame, waiting: DataFrame, pairs: list[DataFrame], frequent, least: int):
         self.docs, self.ready, self.least, self.frequent = docs, ready, least, frequent
-        grown = bit_filter(numbers_of(ready, False))
-        self.waiting = bit_filter(numbers_of(waiting, False))
+        grown = bit_filter(numbers_of(ready))
+        self.waiting = bit_filter(numbers_of(waiting))
         counts = docs.mapInArrow(lambda b: _pairs(b, grown, frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f"))
         pairs.append(materialise(counts.where(F.col("f") >= least).select(F.col("pair").alias("number")), "phrase-pairs"))
         self.starts, self.links = bit_filter(pairs[-1]), bit_filter(reduce(DataFrame.unionByName, pairs))
         grown.unpersist()
 
-    def windows(self, starts) -> DataFrame:
-        links, waiting, frequent = self.links, self.waiting, self.frequent
+    def windows(self) -> DataFrame:
+        starts, links, waiting, frequent = self.starts, self.links, self.waiting, self.frequent
         return self.docs.mapInArrow(lambda b: _windows(b, starts, links, waiting, frequent), WINDOW)
 
     def grams(self) -> DataFrame:
         """All frequent phrases that start with a grown word: ``lang``, ``phrase``, ``m`` (words), ``f``, ``left`` (largest count with a word before it)."""
-        by_prev = _prefixes(self.windows(self.starts)).groupBy("lang", "phrase", "m", "prev").agg(F.sum("n").alias("n"))
+        by_prev = _prefixes(self.windows()).groupBy("lang", "phrase", "m", "prev").agg(F.sum("n").alias("n"))
         grams = by_prev.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("f"), F.max(F.when(F.col("prev").isNotNull(), F.col("n"))).alias("left"))
         # a pair that a filter let through by mistake is rare itself or starts with a word of another class
         first = self.ready.select("lang", F.col("phrase").alias("first"))
@@ -258,8 +282,8 @@ class _Round:
 
     def ends(self, wanted: DataFrame) -> DataFrame:
         """Counts of the phrases ``wanted``, which start with words not grown yet."""
-        starts = bit_filter(numbers_of(wanted, True))
-        counts = _prefixes(self.windows(starts)).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        marks, frequent = bit_filter(numbers_of(wanted)), self.frequent
+        counts = self.docs.mapInArrow(lambda b: _ends(b, marks, frequent), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         return materialise(counts.join(wanted, ["lang", "phrase"]), "phrase-end-counts")
 
 
@@ -304,7 +328,7 @@ def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, share: float
     counts = materialise(counts.where((F.col("f") >= least) | F.col("word").isNull()), "phrase-words")
     totals = counts.where("word IS NULL").select("lang", F.col("f").alias("n"))
     words = counts.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), "f")
-    frequent = bit_filter(numbers_of(words, False))
+    frequent = bit_filter(numbers_of(words))
     most = words.groupBy("lang").agg(F.max("f").alias("most"))
     start = totals.join(most, "lang").select("lang", "n", "most", F.lit(0).cast("long").alias("low"), F.lit(False).alias("all"))
     state = _frontier(words, start, share)
