@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.catalog.base import (
-    CLICKS, GAP_MINUTES, H, ORACLES, PROXY, R, Rs, S, SCORE, U, clicks, ev_sql, events, prof, profiled, query, rounded,
+    CLICKS, GAP_MINUTES, H, ORACLES, PROXY, R, Rs, S, SCORE, U, clicks, ev_sql, events, hist_entropy_sql, prof, profiled, query, rounded,
     sess, staged, stamp, temporal,
 )
 from sessionloom.catalog.domain import click_seq
@@ -14,8 +14,10 @@ from sessionloom.catalog.prepare import FEATURES
 from sessionloom.catalog.tables import EVENT_SCHEMA
 from sessionloom.operators import boosting, evaluation, models, sampling
 from sessionloom.operators.sequences import standardise_steps
+from sessionloom.functions.columns import uniform
 from sessionloom.session import work_folder
 from sessionloom.sources import bindings, writers
+from sessionloom.streaming import late, scored
 from sessionloom.streaming import sessions as streams
 
 # --- evaluation on given predictions -----------------------------------------------------
@@ -32,8 +34,6 @@ pr AS (SELECT k, label, a AS p0, b AS p1, c AS p2, CASE WHEN a >= b AND a >= c T
 
 def predictions(spark, folder):
     """Orders with a class from their status and hash scores leaning to it."""
-    from sessionloom.functions.columns import uniform
-
     rows = bindings.table(spark, folder, "orders")
     label = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     scores = [F.round(uniform(F.col("o_orderkey"), f"p{i}") + F.when(F.col("label") == i, 0.4).otherwise(0.0), 3) for i in range(3)]
@@ -217,6 +217,25 @@ def _(spark, folder):
     return invariants(forest(spark, folder))
 
 
+def deep_forest(spark, folder):
+    """Test predictions of the forest without a depth limit, written once."""
+
+    def build(s, f):
+        return models.fit_forest(training_rows(s, f)).apply(test_rows(s, f)).select(*PREDICTION)
+
+    return staged(spark, folder, "deep_forest", build)
+
+
+@query("mdl02_unlimited_forest")
+def _(spark, folder):
+    return deep_forest(spark, folder)
+
+
+@query("mdl02_unlimited_invariants", TESTED)
+def _(spark, folder):
+    return invariants(deep_forest(spark, folder))
+
+
 @query("mdl06_feature_importance")
 def _(spark, folder):
     model = forest_model(spark, folder)[0]
@@ -406,6 +425,46 @@ def _(spark, folder):
     return rounded(done.select(*KEYS, "click_count", "click_interval_mean", "click_interval_std"))
 
 
+@query(
+    "str03_scored_sessions",
+    f"""{WATCH}, hs AS {hist_entropy_sql('interval_us', 10, 'ev')},
+s AS (SELECT cd.*, im AS click_interval_mean, isd AS click_interval_std, h AS click_interval_entropy, coalesce(isd, 0) AS request_interval_std, 0.0 AS device_entropy,
+  greatest((epoch_us(z) - epoch_us(a)) / 1e6, 1) AS session_duration_sec, click_count / (greatest((epoch_us(z) - epoch_us(a)) / 1e6, 1) / 60.0) AS requests_per_minute,
+  click_count / (greatest((epoch_us(z) - epoch_us(a)) / 1e6, 1) / 60.0) AS clicks_per_minute,
+  least(greatest(coalesce(isd, 0) / (greatest((epoch_us(z) - epoch_us(a)) / 1e6, 1) + 1e-6), 0), 1) AS session_idle_ratio FROM cd JOIN hs USING (session_id)),
+{PROXY}, {SCORE} SELECT ip, device, os, click_count, {Rs('click_interval_mean click_interval_std click_interval_entropy coordinate_entropy bot_likelihood_score')} FROM sc""",
+)
+def _(spark, folder):
+    out = scored.scored_sessions(click_stream(spark, folder), KEYS, GAP_MINUTES * 60_000_000)
+    done = streams.run_to_table(out, "scored-sessions")
+    return rounded(done.select(*KEYS, "click_count", "click_interval_mean", "click_interval_std", "click_interval_entropy", "coordinate_entropy", "bot_likelihood_score"))
+
+
+def disordered(spark, folder):
+    """The clicks as they arrive when a tenth of them is up to nine days late, a file for every three days of arrival."""
+    path = work_folder(spark, "disordered")
+    draw = uniform(F.col("event_id"), "late")
+    delay = F.when(draw < 0.1, draw * 7_776_000.0).otherwise(0.0)
+    arrival = F.floor((F.unix_micros("click_time") / 1e6 + delay) / 259_200.0)
+    rows = staged(spark, folder, "arrivals", lambda s, f: clicks(s, f).select("event_id", "click_time", arrival.alias("arrival")))
+    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    for turn in range(first, last + 1) if first is not None else ():
+        rows.where(F.col("arrival") == turn).drop("arrival").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("event_id long, click_time timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    "str06_late_rows",
+    f"""WITH {CLICKS}, a AS (SELECT event_id, epoch_us(click_time) AS us, {U('event_id::VARCHAR', 'late')} AS u FROM clicks),
+b AS (SELECT *, dense_rank() OVER (ORDER BY floor((us / 1e6 + CASE WHEN u < 0.1 THEN u * 7776000.0::DOUBLE ELSE 0 END) / 259200.0::DOUBLE)) - 1 AS batch FROM a),
+m AS (SELECT batch, max(us) AS top FROM b GROUP BY batch),
+w AS (SELECT batch, (max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) // 1000 - 600000) * 1000 AS mark FROM m)
+SELECT event_id, batch::INT AS batch, (mark - us)::BIGINT AS late_us FROM b JOIN w USING (batch) WHERE us <= mark""",
+)
+def _(spark, folder):
+    return late.split_late(disordered(spark, folder), "click_time", 600_000)[1].select("event_id", "batch", "late_us")
+
+
 @query(
     "str04_rate_windows",
     f"""WITH {CLICKS}, b AS (SELECT ip, date_trunc('hour', click_time) AS w, count(*) AS n FROM clicks GROUP BY 1, 2)

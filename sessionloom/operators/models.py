@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.operators import boosting, recurrent
+from sessionloom.operators import forest as deep
 from sessionloom.operators.clean import string_columns
 from sessionloom.operators.sampling import class_sizes
 from sessionloom.operators.sequences import fit_step_scaler, standardise_steps
@@ -146,6 +147,25 @@ def fit_boosted(train: DataFrame, settings: boosting.Boosting, weight: bool = Tr
     return EncodedModel(encoders, slot_names(ready), trees)
 
 
+@dataclass
+class EncodedForest:
+    encoders: PipelineModel
+    forest: deep.Forest
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        kinds = [c for c in numeric_columns(df) if c != "label"]
+        ready = df.withColumns({c: F.col(c).cast("double") for c in [*kinds, "label"]})
+        return self.forest.transform(_arrays(self.encoders.transform(ready)).select(*df.columns, "feature_array"))
+
+
+def fit_forest(train: DataFrame, trees: int = 300, weight: bool = True, task_rows: int = deep.TASK_ROWS) -> EncodedForest:
+    """Encoders and a forest without a depth limit fitted on training rows only."""
+    kept, numeric, categorical = model_input(train)
+    kept = class_weights(kept) if weight else kept.withColumn("weight", F.lit(1.0))
+    encoders = Pipeline(stages=encoder_stages(kept, numeric, most_frequent(kept, categorical))).fit(kept)
+    return EncodedForest(encoders, deep.fit(_arrays(encoders.transform(kept)).select("feature_array", "label", "weight"), trees, SEED, task_rows))
+
+
 def save_boosted(model: EncodedModel, spark, path: str) -> None:
     model.encoders.write().overwrite().save(f"{path}/encoders")
     boosting.save(model.trees, spark, f"{path}/model")

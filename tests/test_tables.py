@@ -234,3 +234,38 @@ def test_capped_scan_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], "k int, is_attributed int").write.parquet(path)
     assert readers.capped_class_scan(readers.read_numbered(spark, path), 5, 5, 5).count() == 0
+
+
+LATE_BATCHES = [
+    [(1, "2024-01-01 00:00:00", 0), (2, "2024-01-01 01:00:00", 0)],
+    [(3, "2024-01-01 02:00:00", 0), (4, "2024-01-01 00:10:00", 0)],
+    [(5, "2024-01-01 03:00:00", 0), (6, "2024-01-01 00:49:59", 0), (7, "2024-01-01 00:50:00", 0), (8, "2024-01-01 00:50:00.001", 0)],
+    [(9, "2024-01-01 00:00:01", 0), (10, "2024-01-01 04:00:00", 0)],
+    [(11, "2024-01-01 02:50:00", 0), (12, "2024-01-01 05:00:00", 0)],
+]
+
+
+def test_late_rows_are_those_the_engine_drops(spark):
+    from sessionloom.streaming import late
+
+    on_time, behind = late.split_late(replay(spark, LATE_BATCHES), "click_time", 600_000)
+    assert {r["ip"]: (r["batch"], r["late_us"]) for r in behind.collect()} == {6: (2, 1_000_000), 7: (2, 0), 9: (3, 6_599_000_000), 11: (4, 0)}
+    assert sorted(r["ip"] for r in on_time.collect()) == [1, 2, 3, 4, 5, 8, 10, 12]
+    target = work_folder(spark, "dropped")
+    stream = replay(spark, LATE_BATCHES).withWatermark("click_time", "10 minutes").dropDuplicates(["ip", "click_time"])
+    query = stream.writeStream.option("checkpointLocation", target + "-state").trigger(availableNow=True).format("parquet").start(target)
+    query.awaitTermination()
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    assert dropped == behind.count()
+
+
+def test_scored_sessions_on_map_state(spark):
+    from sessionloom.streaming import scored
+
+    out = streams.run_to_table(scored.scored_sessions(replay(spark, BATCHES), ["ip"], 30 * 60_000_000), "t-scored")
+    rows = {(r["ip"], r["click_count"], str(r["session_start"])): r for r in out.collect()}
+    assert set(rows) == {(1, 3, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:05:00"), (2, 1, "2024-01-01 06:00:00"), (3, 1, "2024-01-01 12:00:00"), (5, 1, "2024-01-01 06:01:00")}
+    pauses = np.array([0.0, 1200.0, 1800.0])
+    one = rows[(1, 3, "2024-01-01 00:00:00")]
+    assert one["click_interval_std"] == pytest.approx(pauses.std(ddof=1)) and one["click_interval_entropy"] == pytest.approx(np.log2(3), abs=1e-6)
+    assert one["bot_likelihood_score"] is not None
