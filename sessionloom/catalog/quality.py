@@ -9,7 +9,7 @@ from sessionloom.catalog.base import (
 )
 from sessionloom.catalog.events import BUSY, BUSY_FLAGS, FEATURES as EVENT_FEATURES, busy_clicks
 from sessionloom.catalog.prepare import CORR, FEATURES, IQR, corr_sql, iqr_sql
-from sessionloom.operators import profile, sampling, sessions
+from sessionloom.operators import density, profile, sampling, sessions
 from sessionloom.schema import LABEL_NAMES, MODEL_ID_COLUMNS
 
 FIVE = FEATURES[:5]
@@ -312,6 +312,40 @@ def _(spark, folder):
     return rounded(profile.histogram_density(profiled(spark, folder), "mouse_speed_mean", 30, "label"))
 
 
+@query(
+    "viz01_density_curve",
+    prof(f"""SELECT label, point::INT AS point, {R('start + point * step')} AS x, {R('sum(w * exp(-0.5 * ((point - i) * step / width) ** 2)) / (any_value(n) * width * sqrt(2 * pi()))')} AS density
+FROM ft CROSS JOIN range(0, 200) p(point) JOIN bn USING (label) GROUP BY label, point, start, step, width""",
+    """ft AS (SELECT label, n, width, low - 3 * width AS start, (high - low + 6 * width) / 199 AS step FROM (SELECT label, count(*) AS n, min(mouse_speed_mean) AS low,
+  max(mouse_speed_mean) AS high, stddev_samp(mouse_speed_mean) * pow(count(*), -0.2) AS width FROM sc GROUP BY label) WHERE width > 0)""",
+    """ps AS (SELECT label, (mouse_speed_mean - start) / step AS p FROM sc JOIN ft USING (label))""",
+    """bn AS (SELECT label, i, sum(w) AS w FROM (SELECT label, floor(p) AS i, 1 - (p - floor(p)) AS w FROM ps UNION ALL SELECT label, floor(p) + 1, p - floor(p) FROM ps) GROUP BY label, i)"""),
+)
+def _(spark, folder):
+    return rounded(density.density_curve(profiled(spark, folder), "mouse_speed_mean", "label"))
+
+
+@query(
+    "viz01_density_surface",
+    prof(f"""SELECT label, i::INT AS i, j::INT AS j, {R('sv + i * tv', 4)} AS x, {R('su + j * tu', 4)} AS y,
+  {R('sum(w * exp(-0.5 * (uu * ((i - bi) * tv) ** 2 - 2 * vu * (i - bi) * tv * (j - bj) * tu + vv * ((j - bj) * tu) ** 2) / det)) / (any_value(n) * 2 * pi() * sqrt(det))', 6)} AS density
+FROM ft CROSS JOIN range(0, 32) a(i) CROSS JOIN range(0, 32) b(j) JOIN bn USING (label) GROUP BY label, i, j, sv, tv, su, tu, det""",
+    """f0 AS (SELECT label, count(*) AS n, var_samp(mouse_speed_mean) * pow(count(*), -1.0::DOUBLE / 3) AS vv, var_samp(click_interval_entropy) * pow(count(*), -1.0::DOUBLE / 3) AS uu,
+  covar_samp(mouse_speed_mean, click_interval_entropy) * pow(count(*), -1.0::DOUBLE / 3) AS vu, min(mouse_speed_mean) AS lv, max(mouse_speed_mean) AS hv,
+  min(click_interval_entropy) AS lu, max(click_interval_entropy) AS hu FROM sc GROUP BY label)""",
+    """ft AS (SELECT *, vv * uu - vu * vu AS det, lv - 3 * sqrt(vv) AS sv, (hv - lv + 6 * sqrt(vv)) / 31 AS tv, lu - 3 * sqrt(uu) AS su, (hu - lu + 6 * sqrt(uu)) / 31 AS tu
+  FROM f0 WHERE vv * uu - vu * vu > 1e-12 * vv * uu)""",
+    """ps AS (SELECT label, (mouse_speed_mean - sv) / tv AS p, (click_interval_entropy - su) / tu AS q FROM sc JOIN ft USING (label))""",
+    """pf AS (SELECT label, floor(p) AS bi, floor(q) AS bj, p - floor(p) AS fp, q - floor(q) AS fq FROM ps)""",
+    """bn AS (SELECT label, bi, bj, sum(w) AS w FROM (SELECT label, bi, bj, (1 - fp) * (1 - fq) AS w FROM pf UNION ALL SELECT label, bi + 1, bj, fp * (1 - fq) FROM pf
+  UNION ALL SELECT label, bi, bj + 1, (1 - fp) * fq FROM pf UNION ALL SELECT label, bi + 1, bj + 1, fp * fq FROM pf) GROUP BY label, bi, bj)"""),
+)
+def _(spark, folder):
+    out = density.density_surface(profiled(spark, folder), "mouse_speed_mean", "click_interval_entropy", "label")
+    coarse = rounded(out.select("label", "i", "j", "x", "y"), 4)
+    return coarse.join(rounded(out.select("label", "i", "j", "density")), ["label", "i", "j"])
+
+
 @query(
     "viz02_box_stats",
     prof(f"""SELECT label, {Rs('q1 median q3', 4)}, {R('min(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1))', 4)} AS whisker_low, {R('max(x) FILTER (WHERE x <= q3 + 1.5 * (q3 - q1))', 4)} AS whisker_high
