@@ -121,12 +121,31 @@ def _(spark, folder):
     return out.select("session_id", "data_source", "click_count", "success_rate", "session_duration_sec", "bot_likelihood_score")
 
 
-@query("rnd03_correlated_normals")
+def cholesky_sql(columns: list[str]) -> list[str]:
+    """CTEs of the lower factor of the scaled covariance matrix, one row at a time (``l`` i j)."""
+    k = range(len(columns))
+    cells = [f"covar_samp({columns[i]}, {columns[j]}) * 0.015{' + 1e-6' if i == j else ''} AS a{i}{j}" for i in k for j in k if j <= i]
+    out = [f"k0 AS (SELECT {', '.join(cells)} FROM sc)"]
+    for j in k:
+        rest = lambda i: "".join(f" - l{i}{m} * l{j}{m}" for m in range(j))  # noqa: B023, E731
+        out.append(f"k{2 * j + 1} AS (SELECT *, sqrt(a{j}{j}{rest(j)}) AS l{j}{j} FROM k{2 * j})")
+        below = "".join(f", (a{i}{j}{rest(i)}) / l{j}{j} AS l{i}{j}" for i in k if i > j)
+        out.append(f"k{2 * j + 2} AS (SELECT *{below} FROM k{2 * j + 1})")
+    return out
+
+
+PROBE = [" + ".join(f"l{i}{j} * {N('session_id', f'probe{j}')}" for j in range(i + 1)) for i in range(4)]
+
+
+@query(
+    "rnd03_correlated_normals",
+    prof(f"SELECT session_id, {', '.join(f'{R(e, 4)} AS n{i}' for i, e in enumerate(PROBE))} FROM sc CROSS JOIN k8", *cholesky_sql(FEATURES[:4])),
+)
 def _(spark, folder):
     df = profiled(spark, folder)
     factor = sampling.jitter_factor(df, FEATURES[:4])
     draws, combos = sampling.correlated_normals(F.col("session_id"), factor, "probe")
-    return df.withColumns(draws).select("session_id", *[c.alias(f"n{i}") for i, c in enumerate(combos)])
+    return rounded(df.withColumns(draws).select("session_id", *[c.alias(f"n{i}") for i, c in enumerate(combos)]), 4)
 
 
 NOISY = [c for c in BOT_NOISE if c in FEATURES]

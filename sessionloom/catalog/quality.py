@@ -9,7 +9,7 @@ from sessionloom.catalog.base import (
 )
 from sessionloom.catalog.events import BUSY, BUSY_FLAGS, FEATURES as EVENT_FEATURES, busy_clicks
 from sessionloom.catalog.prepare import CORR, FEATURES, IQR, corr_sql, iqr_sql
-from sessionloom.operators import density, profile, sampling, sessions
+from sessionloom.operators import density, gram, profile, sampling, sessions
 from sessionloom.schema import LABEL_NAMES, MODEL_ID_COLUMNS
 
 FIVE = FEATURES[:5]
@@ -116,6 +116,21 @@ def _(spark, folder):
     return rounded(profile.correlation_pairs(profiled(spark, folder), FEATURES[:8] + ["install_count"]))
 
 
+WIDE = [c for c in FEATURES if c not in ("click_count", "direction_change_count")]
+
+
+@query(
+    "agg20_blocked_moments",
+    prof(" UNION ALL ".join(
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, regr_count({a}, {b})::BIGINT AS n, {R(f'covar_samp({a}, {b})', 3)} AS covariance, {R(f'corr({a}, {b})')} AS correlation FROM sc"
+        for i, a in enumerate(WIDE) for b in WIDE[i:]
+    )),
+)
+def _(spark, folder):
+    out = gram.pair_moments(profiled(spark, folder), WIDE)
+    return rounded(out.drop("covariance")).join(rounded(out.select("feature_a", "feature_b", "covariance"), 3), ["feature_a", "feature_b"])
+
+
 NAMED = [
     ("mouse_speed_mean", "mouse_path_length"), ("mouse_speed_std", "mouse_acceleration_std"), ("coordinate_entropy", "direction_change_count"),
     ("requests_per_minute", "label"), ("install_count", "label"),
