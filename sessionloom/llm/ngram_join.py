@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm import tokens
-from sessionloom.llm.common import documents, with_columns
+from sessionloom.llm.common import arrow_batches, documents, with_columns
 from sessionloom.llm.graph import components
 from sessionloom.session import materialise, ship_by_value
 
@@ -245,7 +245,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     takes part but is never the smallest; a component of only such rows has a null id. Repeated rows are rows of
     one class. ``component_mark`` tells components apart even where ids are null or repeated. An empty table gives no rows.
     """
-    rows, found = join_classes(df, n, percent)
+    with arrow_batches(df.sparkSession):
+        rows, found = join_classes(df, n, percent)
     labels = components(found).select(F.col("node").alias("class"), "label")
     classes = materialise(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first")), "join-classes")
     named = materialise(classes.join(labels, "class", "left").select("class", "first", F.coalesce("label", "class").alias("label")), "join-named")
