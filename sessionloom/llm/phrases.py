@@ -136,6 +136,31 @@ def _out(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in made], list(columns))
 
 
+#: Rows that a task gathers before it adds up equal ones.
+GATHERED = 1 << 18
+
+
+def _gathered(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with equal ones added up (``n``) across the slices of a task, as far as ``GATHERED`` rows go."""
+    held: list[pa.RecordBatch] = []
+    for batch in made:
+        held.append(batch)
+        if sum(map(len, held)) >= GATHERED:
+            held = _added(held)
+            if sum(map(len, held)) >= GATHERED // 2:
+                yield from held
+                held = []
+    yield from _added(held)
+
+
+def _added(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    if not batches:
+        return []
+    table = pa.Table.from_batches(batches)
+    names = table.column_names
+    return table.group_by(names[:-1]).aggregate([("n", "sum")]).rename_columns(names).combine_chunks().to_batches()
+
+
 def _words(batches):
     """Occurrences of every word, and of all words together (a null word)."""
     for s in slices(batches):
@@ -262,14 +287,14 @@ class _Round:
         self.docs, self.ready, self.least, self.frequent = docs, ready, least, frequent
         grown = bit_filter(numbers_of(ready))
         self.waiting = bit_filter(numbers_of(waiting))
-        counts = docs.mapInArrow(lambda b: _pairs(b, grown, frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f"))
+        counts = docs.mapInArrow(lambda b: _gathered(_pairs(b, grown, frequent)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f"))
         pairs.append(materialise(counts.where(F.col("f") >= least).select(F.col("pair").alias("number")), "phrase-pairs"))
         self.starts, self.links = bit_filter(pairs[-1]), bit_filter(reduce(DataFrame.unionByName, pairs))
         grown.unpersist()
 
     def windows(self) -> DataFrame:
         starts, links, waiting, frequent = self.starts, self.links, self.waiting, self.frequent
-        return self.docs.mapInArrow(lambda b: _windows(b, starts, links, waiting, frequent), WINDOW)
+        return self.docs.mapInArrow(lambda b: _gathered(_windows(b, starts, links, waiting, frequent)), WINDOW)
 
     def grams(self) -> DataFrame:
         """All frequent phrases that start with a grown word: ``lang``, ``phrase``, ``m`` (words), ``f``, ``left`` (largest count with a word before it)."""
@@ -283,7 +308,7 @@ class _Round:
     def ends(self, wanted: DataFrame) -> DataFrame:
         """Counts of the phrases ``wanted``, which start with words not grown yet."""
         marks, frequent = bit_filter(numbers_of(wanted)), self.frequent
-        counts = self.docs.mapInArrow(lambda b: _ends(b, marks, frequent), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        counts = self.docs.mapInArrow(lambda b: _gathered(_ends(b, marks, frequent)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         return materialise(counts.join(wanted, ["lang", "phrase"]), "phrase-end-counts")
 
 
@@ -324,7 +349,7 @@ def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, share: float
     none is lost to a tie except behind the last rank. Counts up to 10**17 are exact.
     """
     docs = df.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = docs.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    counts = docs.mapInArrow(lambda b: _gathered(_words(b)), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
     counts = materialise(counts.where((F.col("f") >= least) | F.col("word").isNull()), "phrase-words")
     totals = counts.where("word IS NULL").select("lang", F.col("f").alias("n"))
     words = counts.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), "f")
