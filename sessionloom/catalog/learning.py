@@ -17,7 +17,7 @@ from sessionloom.operators.sequences import standardise_steps
 from sessionloom.functions.columns import uniform
 from sessionloom.session import work_folder
 from sessionloom.sources import bindings, writers
-from sessionloom.streaming import late, scored
+from sessionloom.streaming import labels, late, scored
 from sessionloom.streaming import sessions as streams
 
 # --- evaluation on given predictions -----------------------------------------------------
@@ -415,6 +415,16 @@ def _(spark, folder):
     return rounded(out.drop("install_count", "session_start", "session_end"))
 
 
+@query(
+    "str02_labelled_sessions",
+    f"""{WATCH}, sr AS (SELECT *, click_count / (greatest((epoch_us(z) - epoch_us(a)) / 1e6, 1) / 60.0) AS rate FROM cd)
+SELECT ip, device, os, click_count, {R('rate')} AS requests_per_minute, (install_count = 0 AND rate >= (SELECT quantile_disc(rate, 0.99) FROM sr))::INT AS label FROM sr""",
+)
+def _(spark, folder):
+    out, _ = labels.label_closed_sessions(streams.session_window_features(click_stream(spark, folder), KEYS, GAP))
+    return rounded(out.select(*KEYS, "click_count", "requests_per_minute", "label"))
+
+
 @query(
     "str03_session_interval_features",
     f"""{WATCH} SELECT ip, device, os, click_count, {R('im')} AS click_interval_mean, {R('isd')} AS click_interval_std FROM cd""",

@@ -269,3 +269,26 @@ def test_scored_sessions_on_map_state(spark):
     one = rows[(1, 3, "2024-01-01 00:00:00")]
     assert one["click_interval_std"] == pytest.approx(pauses.std(ddof=1)) and one["click_interval_entropy"] == pytest.approx(np.log2(3), abs=1e-6)
     assert one["bot_likelihood_score"] is not None
+
+
+def test_thresholds_of_a_stream_stay_within_the_sketch_bound(spark):
+    """Three batches of sessions; after each, the threshold's rank among all sessions so far is near 0.9."""
+    from sessionloom.streaming import labels
+
+    draw, path, parts = np.random.RandomState(3), work_folder(spark, "rates"), []
+    for i in range(3):
+        rates = np.round(draw.lognormal(i, 1, 4000), 3)
+        parts.append(rates)
+        rows = [(int(k), float(v), int(k % 5 == 0)) for k, v in enumerate(rates)]
+        spark.createDataFrame(rows, "k int, requests_per_minute double, install_count int").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("k int, requests_per_minute double, install_count int").option("maxFilesPerTrigger", 1).parquet(path)
+    out, thresholds = labels.label_closed_sessions(stream, 0.9, size=400)
+    held = {r["batch"]: (r["threshold"], r["seen"]) for r in thresholds.collect()}
+    assert [held[b][1] for b in range(3)] == [4000, 8000, 12000]
+    for b in range(3):
+        so_far = np.concatenate(parts[: b + 1])
+        assert abs((so_far <= held[b][0]).mean() - 0.9) < 2.3 / 400**0.9 + 1e-3
+    for r in out.groupBy("batch").agg({"label": "sum", "k": "count"}).collect():
+        rates = parts[r["batch"]]
+        want = sum(1 for k, v in enumerate(rates) if v >= held[r["batch"]][0] and k % 5)
+        assert (r["sum(label)"], r["count(k)"]) == (want, 4000)
