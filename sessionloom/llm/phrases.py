@@ -4,7 +4,8 @@ The count of a prefix bounds every phrase that grows from it: cut after its firs
 1000 * a * n / (f(w) * a) = 1000 * n / f(w), so rare first words can score highest and are grown first. A round grows the rarest first
 words still to grow (``SHARE`` of their occurrences): pairs, then windows of up to five words
 behind frequent pairs, then exact counts of all their prefixes. A language is settled when its 2000th surviving score is above the bound of
-every word not yet grown (strictly, so ties are inside), or when nothing is left to grow.
+every word not yet grown (strictly, so ties are inside), or when nothing is left to grow. Until then, ends of phrases that start with a word not
+grown stand with the least and the most that they can count; those that still matter at the end are counted in one more pass.
 
 Tasks find the words of whole texts with numpy and count within slices first. Pairs are counted by a 64-bit number, which only selects
 where windows start and end; phrases and their counts are text and exact. Bit filters (16 bits an entry, 16 MiB at
@@ -305,31 +306,33 @@ class _Round:
         grams = grams.where(F.col("f") >= self.least).withColumn("first", _head("phrase", F.lit(1)))
         return materialise(grams.join(first, ["lang", "first"]).drop("first"), "phrase-grams")
 
-    def ends(self, wanted: DataFrame) -> DataFrame:
-        """Counts of the phrases ``wanted``, which start with words not grown yet."""
-        marks, frequent = bit_filter(numbers_of(wanted)), self.frequent
-        counts = self.docs.mapInArrow(lambda b: _gathered(_ends(b, marks, frequent)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        return materialise(counts.join(wanted, ["lang", "phrase"]), "phrase-end-counts")
 
-
-def _scored(turn: _Round, grams: DataFrame, known: DataFrame, totals: DataFrame) -> DataFrame:
-    """Phrases of ``grams`` that no longer phrase takes the place of, with the lowest-scoring cut."""
+def _cuts(grams: DataFrame) -> DataFrame:
+    """All cuts (``k``, ``head``, ``rest``) of the phrases of ``grams`` that no longer phrase takes the place of."""
     longer = grams.where("m > 2").select("lang", _head("phrase", F.col("m") - 1).alias("phrase"), "f")
     longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("right"))
     inside = F.greatest(F.coalesce("left", F.lit(0)), F.coalesce("right", F.lit(0))) >= F.col("f")
     alive = grams.join(longer, ["lang", "phrase"], "left").where((F.col("m") == LONGEST) | ~inside).select("lang", "phrase", "m", F.col("f").alias("a"))
     cuts = alive.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m") - 1))).withColumn("head", _head("phrase", "k"))
-    cuts = materialise(cuts.withColumn("rest", F.expr("substring(phrase, length(head) + 2)")), "phrase-cuts")
-    # ends of phrases may start with words that are not grown yet: they are counted by themselves
-    ends = cuts.where("m - k > 1").select("lang", F.col("rest").alias("phrase")).distinct().join(known, ["lang", "phrase"], "left_anti")
-    ends = materialise(ends, "phrase-ends")
-    if ends.limit(1).count():
-        known = known.unionByName(turn.ends(ends))
-    cuts = cuts.join(known.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
-    cuts = cuts.join(known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(totals, "lang")
-    score = F.expr("(1000 * CAST(a AS DECIMAL(17, 0)) * CAST(n AS DECIMAL(17, 0))) div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))")
-    best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    return materialise(best.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"), "phrase-scores")
+    return materialise(cuts.withColumn("rest", F.expr("substring(phrase, length(head) + 2)")), "phrase-cuts")
+
+
+def _score(r: str) -> Column:
+    return F.expr(f"(1000 * CAST(a AS DECIMAL(17, 0)) * CAST(n AS DECIMAL(17, 0))) div (CAST(l AS DECIMAL(18, 0)) * CAST({r} AS DECIMAL(18, 0)))")
+
+
+def _scored(cuts: DataFrame, known: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every cut with ``l``, ``r`` and the range [``low``, ``high``] of its score.
+
+    The rest of a phrase may start with a word that is not grown yet, and its count is then not known: it lies between the phrase's own
+    count and that of its first word.
+    """
+    out = cuts.join(known.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
+    out = out.join(known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"], "left")
+    first = words.select("lang", F.col("phrase").alias("next"), F.col("f").alias("most"))
+    out = out.withColumn("next", _head("rest", F.lit(1))).join(first, ["lang", "next"]).join(totals, "lang")
+    out = out.withColumns({"r_high": F.coalesce("r", "most"), "r_low": F.coalesce("r", "a")})
+    return materialise(out.select("lang", "phrase", "m", "a", "k", "rest", "l", "r", "n", _score("r_high").alias("low"), _score("r_low").alias("high")), "phrase-scores")
 
 
 def _frontier(words: DataFrame, state: DataFrame, share: float) -> DataFrame:
@@ -359,28 +362,43 @@ def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, share: float
     state = _frontier(words, start, share)
     pairs: list[DataFrame] = []
     grams: list[DataFrame] = []
-    scores: list[DataFrame] = []
+    cuts: list[DataFrame] = []
+    scored = None
     while state.limit(1).count():
         ready = materialise(words.join(state.select("lang", "low", "high"), "lang").where("f >= low AND f < high").select("lang", "phrase", "f"), "phrase-ready")
         waiting = words.join(state.select("lang", "high"), "lang").where("f >= high")
         turn = _Round(docs.join(state.select("lang"), "lang", "left_semi"), ready, waiting, pairs, frequent, least)
         grams.append(turn.grams())
+        cuts.append(_cuts(grams[-1]))
         known = reduce(DataFrame.unionByName, [words, *[g.select("lang", "phrase", "f") for g in grams]])
-        scores.append(_scored(turn, grams[-1], known, totals))
-        # settled: enough scores above the bound of all words still to grow, or no such word
+        scored = _scored(reduce(DataFrame.unionByName, cuts), known, words, totals)
+        # settled: enough phrases that score above the bound of all words still to grow, whatever is not known, or no such word
         bound = state.select("lang", F.expr("(1000 * CAST(n AS DECIMAL(30, 0))) div CAST(high AS DECIMAL(20, 0))").alias("bound"))
-        held = reduce(DataFrame.unionByName, scores).select("lang", "score").join(bound, "lang")
-        held = held.groupBy("lang").agg(F.count_if(F.col("score") > F.col("bound")).alias("above"), F.count("*").alias("have"))
-        state = state.join(held, "lang", "left")
-        open_ = state.where((F.col("high") <= F.col("most")) & (F.coalesce("above", F.lit(0)) < top))
+        held = scored.groupBy("lang", "phrase").agg(F.min("low").alias("low")).join(bound, "lang")
+        held = held.groupBy("lang").agg(F.count_if(F.col("low") > F.col("bound")).alias("above"), F.count("*").alias("have"))
+        open_ = state.join(held, "lang", "left").where((F.col("high") <= F.col("most")) & (F.coalesce("above", F.lit(0)) < top))
         # while the wanted number is not even there, no bound can settle anything: all that is left is grown next
         rest = open_.select("lang", "n", "most", F.col("high").alias("low"), (F.coalesce("have", F.lit(0)) < top).alias("all"))
         state = _frontier(words, materialise(rest, "phrase-open"), share)
-    frequent.unpersist()
-    if not scores:
+    if scored is None:
         return totals.where("false").selectExpr("lang", "1 AS rank", "lang AS phrase", "n AS a", "n AS l", "n AS r", "n", "n AS score")
+    # only what may reach the last rank needs exact counts of the ends not grown
+    ranges = scored.groupBy("lang", "phrase").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+    nth = ranges.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("low")))).where(F.col("place") == top)
+    hopeful = ranges.join(nth.select("lang", F.col("low").alias("least")), "lang", "left").where("least IS NULL OR high >= least")
+    best = materialise(scored.join(hopeful.select("lang", "phrase"), ["lang", "phrase"]), "phrase-hopeful")
+    ends = materialise(best.where("r IS NULL").select("lang", F.col("rest").alias("phrase")).distinct(), "phrase-ends")
+    if ends.limit(1).count():
+        marks = bit_filter(numbers_of(ends))
+        counts = docs.mapInArrow(lambda b: _gathered(_ends(b, marks, frequent)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("end"))
+        counts = materialise(counts.join(ends, ["lang", "phrase"]), "phrase-end-counts")
+        best = best.join(counts.withColumnRenamed("phrase", "rest"), ["lang", "rest"], "left").withColumn("r", F.coalesce("r", "end"))
+        marks.unpersist()
+    frequent.unpersist()
+    found = best.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(_score("r").alias("score"), "k", "l", "r")).alias("cut"))
+    found = materialise(found.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"), "phrase-found")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = reduce(DataFrame.unionByName, scores).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
