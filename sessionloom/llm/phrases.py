@@ -41,7 +41,7 @@ SHARE = 0.5
 #: Largest bit filter: 2**27 bits.
 MOST_BITS = 27
 #: Bytes of text that are counted together.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -138,7 +138,7 @@ def _out(**columns) -> pa.RecordBatch:
 
 
 #: Rows that a task gathers before it adds up equal ones.
-GATHERED = 1 << 18
+GATHERED = 1 << 17
 
 
 def _gathered(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
