@@ -316,7 +316,7 @@ def rollup(spark, folder):
 def _rollup(spark, folder):
     labelled = sessions.label_events(busy_clicks(spark, folder))
     ev = sessions.sessionize(labelled, gap_minutes=GAP_MINUTES)
-    return sessions.session_rollup_with_context(ev)
+    return sessions.session_rollup_with_context(ev, sessions.CLICK_KEYS)
 
 
 @query(

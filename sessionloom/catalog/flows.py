@@ -92,7 +92,7 @@ UNION ALL SELECT 'after', k.label, count(*), {R('avg(sc.bot_likelihood_score)',
 def _(spark, folder):
     """File -> typed clicks -> sessions -> features -> labels -> proxies -> score -> balance -> report."""
     ev = sessions.sessionize(clicks_from_file(spark, folder), gap_minutes=GAP_MINUTES)
-    table = enrich.with_score(enrich.behavioural_proxies(with_label(sessions.session_temporal_features(ev))))
+    table = enrich.with_score(enrich.behavioural_proxies(with_label(sessions.session_temporal_features(ev, keys=sessions.CLICK_KEYS))))
     flags = {"label": (F.col("label") != 0).cast("int"), "data_source": F.lit("talkingdata"), "is_proxy": (F.col("original_device") == 0).cast("int")}
     before = table.withColumns(flags)
     path = work_folder(spark, "flow-sessions")

@@ -134,3 +134,26 @@ def test_missing_values_score_nothing(spark):
     # absent columns count as 0 and earn their low-value points, missing values earn none
     clean = clean.withColumns({c: F.lit(9.0) for c in ("request_interval_std", "device_entropy", "click_interval_entropy", "movement_curvature")})
     assert clean.select(bot_score(clean)).first()[0] == 0.0
+
+
+def test_whole_keys_and_chunks_agree(spark):
+    """A key that is ordered whole and one that is cut into chunks get the same sessions, copies of instants and repeated ties too."""
+    draw = np.random.RandomState(5)
+    rows = [(i, int(draw.randint(3)), 3, 1, 13, 111, f"2017-11-07 {9 + m // 60:02d}:{m % 60:02d}:00", 0) for i, m in enumerate(draw.randint(0, 600, 400))]
+    df = normalise_clicks(spark.createDataFrame(rows + rows[:9], SCHEMA), calendar=False)
+    names = ["event_id", "session_id", "session_gap_sec", "new_session", "session_index", "interval_us"]
+    whole, chunks, mixed = (
+        sorted(map(tuple, sessions.sessionize(df, gap_minutes=4, hot_rows=n).select(*names).collect())) for n in (1 << 30, 0, 130)
+    )
+    assert whole == chunks == mixed
+
+
+def test_sessions_take_one_shuffle(spark):
+    """From clicks to session rows the events are dealt once, by key."""
+    rows = clicks(spark, [("2017-11-07 09:30:00", 1), ("2017-11-07 09:30:05", 0), ("2017-11-07 10:15:00", 0)])
+    out = sessions.session_temporal_features(sessions.sessionize(rows), keys=sessions.CLICK_KEYS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+    plain = sessions.session_temporal_features(sessions.sessionize(rows))
+    assert sorted(out.columns) == sorted(plain.columns)
+    assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
