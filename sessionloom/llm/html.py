@@ -4,13 +4,16 @@ A page becomes a sequence of text blocks, each with its root-to-leaf path of blo
 summed per path and divided by the path's nodes (text and punctuation tag-path ratios), the ratios are smoothed along the page
 and fused, and paths above a share of the page's best path are content. A block with a weak path of its own (a heading,
 a lead, a short section) is content inside the lowest element around all strong blocks. Roles that markup states outright (menu, form,
-advert, reader comments ...) count as a ratio of zero; where it states the main content, all blocks in it without such a role are content.
+advert, reader comments ...) count as a ratio of zero. Where strong blocks lie in stated main content, all blocks of the stated elements around
+them are content but those in such a role; a stated element without a strong block (a teaser) is judged like any other.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -56,19 +59,56 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،؛؟]")
 _SPACE = re.compile(r"\s+")
 
 
-def blocks_of(page: str) -> list[tuple[str, tuple, bool, bool, int, tuple]]:
-    """Text blocks in page order: text, path, in a stated side role, in stated main content, characters inside links, numbers of the path's elements."""
-    found, stack, held, linked, in_link, number = [], [], [], 0, False, 0
+@dataclass
+class Elements:
+    """Open and closed block elements in page order; element 0 stands around the whole page.
+
+    An element's path is its parent's path and its own name, class and role, as a number; nothing is copied per level, so nesting costs no more than length.
+    """
+
+    name: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    #: Highest number of the elements inside.
+    last: list[float] = field(default_factory=lambda: [float("inf")])
+    path: list[int] = field(default_factory=lambda: [0])
+    side: list[bool] = field(default_factory=lambda: [False])
+    #: The outermost element around it that is stated as main content, itself included; 0: none.
+    stated: list[int] = field(default_factory=lambda: [0])
+    inner: list[bool] = field(default_factory=lambda: [False])
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def open(self, parent: int, name: str, label: str, side: bool, main: bool) -> int:
+        new = len(self.name)
+        self.name.append(name)
+        self.parent.append(parent)
+        self.last.append(float("inf"))
+        self.path.append(self.paths.setdefault((self.path[parent], label), len(self.paths) + 1))
+        self.side.append(side or self.side[parent])
+        self.stated.append(self.stated[parent] or new * main)
+        self.inner.append(self.inner[parent] or name in ("article", "main"))
+        return new
+
+    def around(self, outer: int, element: int) -> bool:
+        """Whether ``element`` is ``outer`` or lies inside it."""
+        return outer <= element <= self.last[outer]
+
+
+def blocks_of(page: str) -> tuple[list[tuple[str, int, int]], Elements]:
+    """Text blocks in page order (text, innermost element, characters inside links), and the page's elements."""
+    found, elements, stack, counts, held, linked, in_link = [], Elements(), [0], Counter(), [], 0, False
 
     def flush():
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
         if text:
-            found.append((text, tuple(e[1] for e in stack), any(e[2] for e in stack), any(e[3] for e in stack), min(linked, len(text)), tuple(e[4] for e in stack)))
+            found.append((text, stack[-1], min(linked, len(text))))
         held.clear()
         linked = 0
 
     def close(upto: int):
+        for e in stack[upto:]:
+            elements.last[e] = len(elements.name) - 1
+            counts[elements.name[e]] -= 1
         del stack[upto:]
 
     at, size = 0, len(page)
@@ -100,45 +140,49 @@ def blocks_of(page: str) -> list[tuple[str, tuple, bool, bool, int, tuple]]:
         flush()
         in_link = False
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if counts[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if elements.name[stack[i]] == name))
             continue
-        if name in _CLOSES_P and any(e[0] == "p" for e in stack[-1:]):
+        if name in _CLOSES_P and elements.name[stack[-1]] == "p":
             close(len(stack) - 1)
-        if name in _SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _FENCE:
+        if any(counts[x] for x in _SIBLINGS.get(name, ())):
+            for i in range(len(stack) - 1, 0, -1):
+                if elements.name[stack[i]] in _FENCE:
                     break
-                if stack[i][0] in _SIBLINGS[name]:
+                if elements.name[stack[i]] in _SIBLINGS[name]:
                     close(i)
                     break
         if name in _VOID:
             continue
         named = [(m[0].lower(), next(filter(None, m[1:]), "")) for m in _NAMED.findall(rest)]
         labels, kinds = " ".join(v for _, v in named), " ".join(v for k, v in named if k != "id")  # an id names one element, not a path
-        inner = any(e[0] in ("article", "main") for e in stack)
+        inner = elements.inner[stack[-1]]
         side = name in _ASIDE or name == "head" or (name == "header" and not inner) or (bool(labels) and name not in ("html", "body", "article", "main") and bool(_ROLE.search(labels)))
         main = name in ("article", "main") or bool(rest and _MAIN_ROLE.search(rest))
-        stack.append((name, (f"{name}.{kinds}" if kinds else name) + "!" * side, side, main, number))
-        number += 1
+        stack.append(elements.open(stack[-1], name, (f"{name}.{kinds}" if kinds else name) + "!" * side, side, main))
+        counts[name] += 1
     flush()
-    return found
+    close(1)
+    return found, elements
 
 
 def main_text(page: str | None) -> str:
-    """The page's content blocks, joined by line feeds; empty without any."""
-    found = blocks_of(page or "")
+    """The page's content blocks, joined by line feeds; empty without any.
+
+    The ratios choose the strong blocks of every page. Strong blocks in stated main content make the stated elements around them the content;
+    without any, it is the lowest element around all strong blocks.
+    """
+    found, elements = blocks_of(page or "")
     if not found:
         return ""
-    if any(f[3] and not f[2] for f in found):  # content is stated: all of it counts, links too, and nothing outside
-        return "\n".join(f[0] for f in found if f[3] and not f[2])
-    usable = np.array([not f[2] and f[4] * 2 <= len(f[0]) for f in found])
-    paths: dict[tuple, int] = {}
-    index = np.array([paths.setdefault(f[1], len(paths)) for f in found])
-    own = np.array([0.0 if f[2] else len(f[0]) - f[4] for f in found])
-    marks = np.array([0.0 if f[2] else len(_PUNCTUATION.findall(f[0])) for f in found])
+    home_of = [f[1] for f in found]
+    side, stated = (np.array([kind[e] for e in home_of]) for kind in (elements.side, elements.stated))
+    main = (stated > 0) & ~side
+    size, links = np.array([len(f[0]) for f in found]), np.array([f[2] for f in found])
+    usable = main | (~side & (links * 2 <= size))  # stated content keeps its links
+    index = np.unique([elements.path[e] for e in home_of], return_inverse=True)[1]
+    own = np.where(side, 0.0, size - np.where(main, 0, links))
+    marks = np.array([0.0 if x else len(_PUNCTUATION.findall(f[0])) for f, x in zip(found, side)])
     nodes = np.bincount(index)
     ratio, dots = (np.bincount(index, x) / nodes for x in (own, marks))
 
@@ -149,18 +193,22 @@ def main_text(page: str | None) -> str:
     fused = np.sqrt(np.bincount(index, along) / nodes * ratio * (1 + dots))
     best = fused[index][usable].max(initial=0.0)
     strong = (fused >= THRESHOLD * best)[index] & usable
-    homes = [f[5][:-1] for f, x in zip(found, strong) if x]
+    if (strong & main).any():
+        keep = main & np.isin(stated, stated[strong & main])
+        return "\n".join(f[0] for f, k in zip(found, keep) if k)
+    homes = [elements.parent[e] for e, x in zip(home_of, strong) if x]
     # the lowest element around all strong blocks
-    low, high = min(homes, default=()), max(homes, default=())
-    home = low[: next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))]
+    home, high = min(homes, default=0), max(homes, default=0)
+    while not elements.around(home, high):
+        home = elements.parent[home]
     first = int(strong.argmax())
 
-    def inside(at: int, path: tuple, own: tuple) -> bool:
+    def inside(at: int, e: int) -> bool:
         """In that element, or a heading before its text that hangs on something around it."""
-        title = at < first and bool(path) and path[-1].split(".")[0] in _HEADINGS and home[: len(own) - 1] == own[:-1]
-        return own[: len(home)] == home or title
+        title = at < first and elements.name[e] in _HEADINGS and elements.around(elements.parent[e], home)
+        return title or elements.around(home, e)
 
-    keep = [u and (x or inside(i, f[1], f[5])) for i, (f, x, u) in enumerate(zip(found, strong, usable))]
+    keep = [u and (x or inside(i, e)) for i, (e, x, u) in enumerate(zip(home_of, strong, usable))]
     return "\n".join(f[0] for f, k in zip(found, keep) if k)
 
 

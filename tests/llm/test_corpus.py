@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -271,6 +272,19 @@ def test_links_of_the_article_stay():
     assert html.main_text(f"<body>{refs}</body>") == "Text of it.\nReferences"  # elsewhere a block of links is a menu
 
 
+def test_ratios_judge_stated_content():
+    """A stated teaser without a strong path does not hide the story; deep nesting costs no more than length."""
+    story = [f"Sentence {i} of the story, with words, commas and more. " * 8 for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    page = f"<body><article><p>Read this too.</p></article><div class=zeta><h1>Head</h1>{body}</div></body>"
+    assert html.main_text(page) == "\n".join(["Head", *map(str.strip, story)])
+    both = f"<body><article><p>Read this too.</p></article><div class=zeta><article class=story><h1>Head</h1>{body}<p class=end>Fin</p></article></div></body>"
+    assert html.main_text(both) == "\n".join(["Head", *map(str.strip, story), "Fin"])
+    started = time.process_time()
+    html.main_text("<div>x" * 20_000 + "</b></td>" * 20_000)
+    assert time.process_time() - started < 5
+
+
 def test_pages_of_the_given_table(spark):
     import html as entities
 
