@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,22 @@ def test_sessions_match_by_movements_then_requests(spark):
     segments = spark.createDataFrame([(f"s{i}",) for i in range(5) for _ in range(5 - i)], "session_id string")
     got = {r["segment_id"]: r["session_id"] for r in motion.rank_matched_ids(segments, sessions).collect()}
     assert got == {"s0": "d", "s1": "a", "s2": "b", "s3": "c", "s4": "e"}
+
+
+def test_cell_counts_of_many_edges(spark):
+    """Counts per open cell and edge against plain counting; the edges reach tasks as arrays, without a pass over them per row."""
+    draw = np.random.RandomState(3)
+    values = {g: np.concatenate([draw.randint(-40, 40, 500) / 4.0, [-0.0, 0.0]]) for g in ("a", "b\tx")}
+    long = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("other", 1.0)], "g string, v double")
+    edges = {"a": [-3.0, 0.0, 2.25], "b\tx": list(np.arange(-10, 10, 0.25))}
+    cells = [(g, lo, hi) for g, e in edges.items() for lo, hi in zip([-np.inf, *e], [*e, np.inf])]
+    got = cuts._cell_counts(spark, long, cells)
+    for g, e in edges.items():
+        want = []
+        for lo, hi in zip([-np.inf, *e], [*e, np.inf]):
+            want.append(("cell", lo, hi, int(((values[g] > lo) & (values[g] < hi)).sum())))
+            if hi < np.inf:
+                want.append(("point", hi, hi, int((values[g] == hi).sum())))
+        assert got[g] == want
+    batch = pa.RecordBatch.from_pydict({"g": ["a", "a", "other"], "v": [2.25, 9.0, 1.0]})
+    assert [r.to_pydict() for r in cuts._placed([batch], {"a": np.array([0.0, 2.25])})] == [{"g": ["a", "a"], "slot": [3, 4], "n": [1, 1]}]
