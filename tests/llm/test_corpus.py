@@ -272,6 +272,17 @@ def test_links_of_the_article_stay():
     assert html.main_text(f"<body>{refs}</body>") == "Text of it.\nReferences"  # elsewhere a block of links is a menu
 
 
+def test_suffix_ranks_on_demand():
+    """Only asked-for suffixes are ranked; equal strings have equal ranks, and a stretch of one suffix has that suffix's rank."""
+    text = bytes(random.Random(4).choices(b"abcd ", k=400))
+    data = np.frombuffer(text + text[100:300], np.uint8)
+    _, first, last, _, rank, n, rank_at = substrings.stretches(np.array([0, len(data)]), data)
+    assert n == len(data) - substrings.LENGTH + 1
+    assert (rank_at(np.arange(100, 251)) == rank_at(np.arange(400, 551))).all() and len(set(rank_at(np.arange(351)).tolist())) == 351
+    lone = first == last
+    assert (rank_at(first[lone]) == rank[lone]).all()
+
+
 def test_ratios_judge_stated_content():
     """A stated teaser without a strong path does not hide the story; deep nesting costs no more than length."""
     story = [f"Sentence {i} of the story, with words, commas and more. " * 8 for i in range(6)]
