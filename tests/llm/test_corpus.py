@@ -343,6 +343,21 @@ def plain_removal(docs):
     return sorted(out)
 
 
+def test_opened_suffixes_come_slice_by_slice():
+    import pyarrow as pa
+
+    class Full:
+        value = np.full(1 << 10, 255, dtype=np.uint8)
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(800)] + ["", None, "x" * 200]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc", "text"])
+    made = list(substrings._opened([batch], Full))
+    assert max(map(len, made)) <= substrings.PIECE < sum(map(len, made))
+    got = [row for b in made for row in zip(b.column("doc").to_pylist(), b.column("rank").to_pylist())]
+    assert len(got) == len(set(got)) == 800 * (3000 - substrings.LENGTH + 1) + 1
+
+
 def test_removed_substrings(spark, tmp_path):
     draw = random.Random(3)
     parts = ["ab", "a", "ha ha ", "xyz ", "é", "the quick brown fox jumps over it ", "0123456789" * 6, "!!"]
