@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm import tokens
-from sessionloom.llm.common import documents
+from sessionloom.llm.common import arrow_batches, documents
 from sessionloom.llm.tokens import _VALUE, bytes_of, mixed, powers
 from sessionloom.session import materialise, ship_by_value
 
@@ -41,7 +41,7 @@ SHARE = 0.5
 #: Largest bit filter: 2**27 bits.
 MOST_BITS = 27
 #: Bytes of text that are counted together.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -352,6 +352,11 @@ def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, share: float
     none is lost to a tie except behind the last rank. Counts up to 10**17 are exact.
     """
     docs = df.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    with arrow_batches(df.sparkSession):
+        return _collocations(docs, least, top, share)
+
+
+def _collocations(docs: DataFrame, least: int, top: int, share: float) -> DataFrame:
     counts = docs.mapInArrow(lambda b: _gathered(_words(b)), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
     counts = materialise(counts.where((F.col("f") >= least) | F.col("word").isNull()), "phrase-words")
     totals = counts.where("word IS NULL").select("lang", F.col("f").alias("n"))

@@ -235,6 +235,17 @@ def test_phrases_long_text(spark, monkeypatch):
     assert sorted(tuple(r) for r in phrases.collocations(df, 50, 100).collect()) == true_phrases(docs, 50, 100)
 
 
+def test_phrases_hold_little_text_at_once(spark, monkeypatch):
+    docs = [("en", f"alpha beta gamma{i % 7} " * 200) for i in range(2000)]
+    assert max(sum(len(s.text[int(w)].as_py()) + 1 for w in s.word) for s in phrases.slices(_batches(docs))) <= 1 << 20
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], phrases.materialise
+    before = spark.conf.get(name)
+    monkeypatch.setattr(phrases, "materialise", lambda *a: (seen.append(int(spark.conf.get(name))), write(*a))[1])
+    df = spark.createDataFrame([Row(lang=lang, text=t) for lang, t in docs[:20]])
+    assert phrases.collocations(df, 50, 100).count() > 0
+    assert set(seen) == {1000} and spark.conf.get(name) == before
+
+
 def _batches(docs):
     import pyarrow as pa
 
