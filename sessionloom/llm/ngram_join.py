@@ -7,7 +7,8 @@ per member and not one per pair of members: classes that are already connected n
 unconnected after ``STARS`` stars is joined pair by pair, so no link between different texts is lost.
 
 The suffix filter bounds a pair's Hamming distance from below: a set's parity sketch flips one of ``SKETCH`` bits for each n-gram, so two
-sketches differ in at most as many bits as the sets differ in n-grams. Only pairs within all bounds fetch their sets.
+sketches differ in at most as many bits as the sets differ in n-grams. A short sketch of ``SKETCH`` bits is full for a long text, so what it lets
+through is bounded again by sketches with a bit or two for every n-gram; the longer of two is folded to the other's length. Only pairs within all bounds fetch their sets.
 """
 
 from __future__ import annotations
@@ -37,31 +38,38 @@ HOT, OFTEN, SALTS = 1000, 20, 1024
 SKETCH = 512
 _PARTS = [f"s{i}" for i in range(SKETCH // 64)]
 
-_SETS = f"doc_id long, mark long, class long, n long, {', '.join(f'{c} long' for c in _PARTS)}, part int, counts binary"
+_SETS = f"doc_id long, mark long, class long, n long, {', '.join(f'{c} long' for c in _PARTS)}, wide binary, part int, counts binary"
+
+
+def wide_sketch(own: np.ndarray) -> bytes:
+    """Parities of a set's n-grams in as many bits as it has n-grams, rounded up to a power of 2."""
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own >> 20) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _sets(batches, n, counters):
     """Rows (doc_id, mark, class, n, sketch) and, at a partition's end, its n-gram counts in compressed rows."""
     counts = np.zeros(counters, dtype=np.int64)
-    names = ["doc_id", "mark", "class", "n", *_PARTS, "part", "counts"]
+    names = ["doc_id", "mark", "class", "n", *_PARTS, "wide", "part", "counts"]
     for batch in batches:
-        classes, sizes, flips = [], [], np.zeros((batch.num_rows, SKETCH), dtype=np.uint8)
+        classes, sizes, wides, flips = [], [], [], np.zeros((batch.num_rows, SKETCH), dtype=np.uint8)
         for i, own in tokens.shingle_sets(batch.column("text"), n):
             classes.append(tokens.set_mark(own) if len(own) else None)
             sizes.append(len(own))
+            wides.append(wide_sketch(own) if len(own) else None)
             np.add.at(counts, own & (counters - 1), 1)
             flips[i] = np.bincount((own >> 40) & (SKETCH - 1), minlength=SKETCH) & 1
         sketch = np.packbits(flips, axis=1).view(np.int64)
         none = pa.nulls(len(sizes))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("mark"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())]
-            + [pa.array(np.ascontiguousarray(c)) for c in sketch.T] + [none.cast(pa.int32()), none.cast(pa.binary())],
+            + [pa.array(np.ascontiguousarray(c)) for c in sketch.T] + [pa.array(wides, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
             names,
         )
     if counts.any():
         blobs = [zlib.compress(counts[i : i + ROW].tobytes(), 1) for i in range(0, counters, ROW)]
         none = pa.nulls(len(blobs)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * (len(names) - 2) + [pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none] * (len(names) - 3) + [pa.nulls(len(blobs), pa.binary()), pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names)
 
 
 def _summed(batches):
@@ -116,6 +124,18 @@ def _wanted_sets(batches, n, shared):
             )
 
 
+def _within(batches, percent):
+    """Pairs whose wide sketches differ in no more bits than similar sets of these sizes may."""
+    for batch in batches:
+        keep, most = [], (np.asarray(batch.column("an")) + np.asarray(batch.column("bn"))) * (100 - percent)
+        for x, y, allowed in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most.tolist()):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            least = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+            keep.append(int(np.unpackbits(x ^ y).sum()) * (100 + percent) <= allowed)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verified(batches, percent):
     """Pairs whose sets are similar enough."""
     for batch in batches:
@@ -143,7 +163,7 @@ def join_classes(df: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
     spark = df.sparkSession
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     both = materialise(texts.mapInArrow(lambda b: _sets(b, n, COUNTERS), _SETS), "join-sets")
-    rows = both.where("part IS NULL").select("doc_id", "mark", "class", "n", *_PARTS)
+    rows = both.where("part IS NULL").select("doc_id", "mark", "class", "n", *_PARTS, "wide")
     summed = both.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(_summed, "part int, counts binary")
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for part, blob in summed.collect():  # COUNTERS numbers, whatever the corpus
@@ -166,8 +186,8 @@ def join_classes(df: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
         whole = materialise(whole.where("low < high").select("gram", "size", "star"), "join-hot")
         postings = postings.unionByName(salted.select("gram", "class", "n", "place").join(whole, "gram"))
     # one row speaks for a class: its key finds the text, its sketch stands for the set
-    speaker = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "mark", *_PARTS)).alias("m"))
-    speaker = materialise(speaker.select("class", F.xxhash64("m.doc_id", "m.mark").alias("key"), *[F.col("m." + c).alias(c) for c in _PARTS]), "join-speakers")
+    speaker = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "mark", *_PARTS, "wide")).alias("m"))
+    speaker = materialise(speaker.select("class", F.xxhash64("m.doc_id", "m.mark").alias("key"), *[F.col("m." + c).alias(c) for c in (*_PARTS, "wide")]), "join-speakers")
     keyed = texts.select("text", F.xxhash64("doc_id", "mark").alias("key"))
 
     def sketches(side: str) -> DataFrame:
@@ -188,9 +208,16 @@ def join_classes(df: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
 
         Merge joins throughout: pairs and sets both grow with the corpus, and so the plan is the same at every size.
         """
-        once = pairs.distinct().join(sketches("a").hint("merge"), "a").join(sketches("b").hint("merge"), "b").where(bounded(F.col("an"), F.col("bn"))).select("a", "b")
+        once = pairs.distinct().join(sketches("a").hint("merge"), "a").join(sketches("b").hint("merge"), "b").where(bounded(F.col("an"), F.col("bn"))).select("a", "b", "an", "bn")
         once = materialise(once, "join-pairs")
-        ends = once.select(F.col("a").alias("class")).unionByName(once.select(F.col("b").alias("class"))).distinct()
+
+        def ends_of(some: DataFrame) -> DataFrame:
+            return some.select(F.col("a").alias("class")).unionByName(some.select(F.col("b").alias("class"))).distinct()
+
+        wide = materialise(speaker.select("class", "wide").join(ends_of(once).hint("merge"), "class"), "join-wide")
+        x, y = (wide.select(F.col("class").alias(side), F.col("wide").alias(name)).hint("merge") for side, name in ("ax", "by"))
+        once = materialise(once.join(x, "a").join(y, "b").mapInArrow(lambda b: _within(b, percent), "a long, b long"), "join-near")
+        ends = ends_of(once)
         bits = spark.sparkContext.broadcast(_bits(ends.join(speaker.select("class", "key"), "class"), "key"))
         sets = materialise(keyed.mapInArrow(lambda b: _wanted_sets(b, n, bits), "class long, grams binary"), "join-grams")
         x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
@@ -212,7 +239,7 @@ def join_classes(df: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
             met = active.join(stars, "gram").where(F.col("label") != F.col("s_label"))
             pairs = met.where(fits(F.col("s_n"), F.col("n"), F.col("s_place"), F.col("place"))).select(*ordered("class", "s_class", "n", "s_n"))
         else:
-            sketched = materialise(active.join(speaker.drop("key"), "class"), "join-sketched")
+            sketched = materialise(active.join(speaker.drop("key", "wide"), "class"), "join-sketched")
             names = {"class": "", "n": "n", "place": "p", "label": "l"} | {c: c for c in _PARTS}
             left, right = (sketched.select("gram", *[F.col(c).alias(side + short) for c, short in names.items()]) for side in "ab")
             sized = fits(F.col("an"), F.col("bn"), F.col("ap"), F.col("bp")) & bounded(F.col("an"), F.col("bn"))

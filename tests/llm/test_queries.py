@@ -60,3 +60,25 @@ def test_op4_folds_and_predictions(spark):
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_wide_sketches_tell_long_texts_apart():
+    """Sets of thousands of n-grams that share a part only are not fetched; similar ones always are, whatever their sizes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sessionloom.llm import ngram_join
+
+    draw = np.random.RandomState(3)
+    long_ = [np.unique(draw.randint(0, 1 << 62, 4000)) for _ in range(4)]
+    pairs = [(a, np.unique(np.concatenate([a[:1500], b[:2500]]))) for a, b in zip(long_, long_[1:])]
+    similar = []
+    for n in (1, 5, 60, 66, 1000, 1025, 4097):
+        own = np.unique(draw.randint(0, 1 << 62, n))
+        similar.append((own, own[: len(own) - len(own) // 7]))
+    each = pairs + [(a, b) for a, b in similar if 100 * len(b) >= 85 * len(a)]
+    columns = [[i for i in range(len(each))], [100 + i for i in range(len(each))], [len(a) for a, _ in each], [len(b) for _, b in each]]
+    sketches = [[ngram_join.wide_sketch(side) for side in sides] for sides in zip(*each)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns + sketches], ["a", "b", "an", "bn", "x", "y"])
+    (kept,) = ngram_join._within([batch], 85)
+    assert kept.column("a").to_pylist() == list(range(len(pairs), len(each)))
