@@ -139,6 +139,8 @@ def _out(**columns) -> pa.RecordBatch:
 
 #: Rows that a task gathers before it adds up equal ones.
 GATHERED = 1 << 17
+#: Least size of the filter of phrase ends, as a power of 2 (1 MiB).
+END_BITS = 23
 
 
 def _gathered(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +261,10 @@ def numbers_of(entries: DataFrame) -> DataFrame:
     return entries.select("lang", "phrase").mapInArrow(_numbered, "number long")
 
 
-def bit_filter(numbers: DataFrame):
-    """Broadcast bits of a column of numbers: 16 bits an entry, 4 KiB to 16 MiB."""
+def bit_filter(numbers: DataFrame, least_bits: int = 15):
+    """Broadcast bits of a column of numbers: 16 bits an entry, at least 4 KiB (or what ``least_bits`` says), at most 16 MiB."""
     spark = numbers.sparkSession
-    bits = min(MOST_BITS, max(15, math.ceil(math.log2(16 * max(1, numbers.count())))))
+    bits = min(MOST_BITS, max(least_bits, math.ceil(math.log2(16 * max(1, numbers.count())))))
     place = F.shiftrightunsigned("number", 64 - bits) + 1
     parts = numbers.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
@@ -394,7 +396,8 @@ def _collocations(docs: DataFrame, least: int, top: int, share: float) -> DataFr
     best = materialise(scored.join(hopeful.select("lang", "phrase"), ["lang", "phrase"]), "phrase-hopeful")
     ends = materialise(best.where("r IS NULL").select("lang", F.col("rest").alias("phrase")).distinct(), "phrase-ends")
     if ends.limit(1).count():
-        marks = bit_filter(numbers_of(ends))
+        # every phrase of the corpus is looked up: what a crowded filter lets through by mistake would outnumber the ends
+        marks = bit_filter(numbers_of(ends), END_BITS)
         counts = docs.mapInArrow(lambda b: _gathered(_ends(b, marks, frequent)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("end"))
         counts = materialise(counts.join(ends, ["lang", "phrase"]), "phrase-end-counts")
         best = best.join(counts.withColumnRenamed("phrase", "rest"), ["lang", "rest"], "left").withColumn("r", F.coalesce("r", "end"))

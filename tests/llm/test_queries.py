@@ -82,3 +82,16 @@ def test_wide_sketches_tell_long_texts_apart():
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns + sketches], ["a", "b", "an", "bn", "x", "y"])
     (kept,) = ngram_join._within([batch], 85)
     assert kept.column("a").to_pylist() == list(range(len(pairs), len(each)))
+
+
+def test_few_phrase_ends_let_few_others_through(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sessionloom.llm import phrases
+
+    ends = spark.range(367).select(F.xxhash64("id").alias("number"))
+    bits = phrases.bit_filter(ends, phrases.END_BITS).value
+    assert phrases.marked(bits, np.array([r[0] for r in ends.collect()], dtype=np.int64).view(np.uint64)).all()
+    others = np.random.RandomState(5).randint(0, 1 << 63, 1_000_000).astype(np.uint64) * np.uint64(2)
+    assert phrases.marked(bits, others).sum() < 500  # 11,000 in the smallest filter
