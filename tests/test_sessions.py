@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.score import bot_score
 from sessionloom.operators import enrich, sessions, structure
-from sessionloom.plans.chunks import ordered_points, time_gaps
+from sessionloom.operators.motion import motion_features
+from sessionloom.plans.chunks import hot_keys, ordered_points, time_gaps
 from sessionloom.schema import SESSION_COLUMNS
 from sessionloom.sources.readers import normalise_clicks
 
@@ -116,6 +117,41 @@ def test_ordered_points_do_not_depend_on_chunks(spark, chunk_rows):
     np.testing.assert_allclose(got["x_max"], want.groupby("s")["x"].transform("max"))
 
 
+@pytest.mark.parametrize("hot_rows", [0, 2, 16, 10_000])
+def test_long_and_short_traces_are_ordered_alike(spark, hot_rows):
+    rng = np.random.default_rng(6)
+    pdf = pd.concat([pd.DataFrame({"s": f"s{g}", "i": rng.integers(0, 30, n), "x": rng.random(n), "y": rng.random(n)}) for g, n in enumerate([1, 2, 3, 40, 17])])
+    pdf["tie"] = rng.permutation(len(pdf))
+    df = spark.createDataFrame(pdf)
+    odd = spark.createDataFrame([(None, 1, 0.5, 0.5, 1), ("s1", None, 0.5, 0.5, 1)], df.schema)
+    got = ordered_points(df.union(odd), "s", "i", "tie", "x", "y", 7, hot_rows).toPandas().sort_values(["s", "i", "tie"])
+    want = pdf.sort_values(["s", "i", "tie"])
+    assert got["tie"].tolist() == want["tie"].tolist()
+    for k, names in ((1, ["x1", "y1"]), (2, ["x2", "y2"])):
+        for name in names:
+            np.testing.assert_allclose(got[name], want.groupby("s")[name[0]].shift(k))
+    np.testing.assert_allclose(got["i1"], want.groupby("s")["i"].shift(1))
+    assert got["ordinal"].tolist() == (want.groupby("s").cumcount() + 1).tolist()
+    assert got["n"].tolist() == want.groupby("s")["i"].transform("size").tolist()
+    for c in "xy":
+        np.testing.assert_allclose(got[f"{c}_min"], want.groupby("s")[c].transform("min"))
+        np.testing.assert_allclose(got[f"{c}_max"], want.groupby("s")[c].transform("max"))
+
+
+def test_traces_are_shuffled_once(spark):
+    df = spark.range(40000).selectExpr("cast(id % 7000 AS string) AS session_id", "id DIV 7000 AS movement_index", "id AS tie", "rand(1) AS x_coordinate", "rand(2) AS y_coordinate")
+    plan = motion_features(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_hot_keys_are_counted_exactly(spark):
+    df = spark.range(1000).selectExpr("CASE WHEN id < 100 THEN id % 3 ELSE id END AS a", "'k' AS b")
+    hot, n = hot_keys(df, ["a", "b"], 33)
+    assert n == 1000 and hot.collect() == [(0, "k")]
+    assert hot_keys(df, ["a", "b"], 34) == (None, 1000)
+    assert hot_keys(df.limit(0), ["a", "b"], 0) == (None, 0)
+
+
 def test_schema_alignment_is_idempotent(spark):
     df = spark.createDataFrame([("a", 0, 2.0), ("b", None, 3.0)], "session_id string, label int, extra double")
     once = structure.align_schema(df)
