@@ -1,9 +1,10 @@
-"""Closed sessions of a stream with interval statistics and score, on keyed map state.
+"""Closed sessions of a stream with interval statistics and score, on keyed list and map state.
 
-State per key: the running session (start, last instant, count), one map entry per distinct interval and one per instant whose place in
-the order is still open. An event writes one map entry and sets one timer; when the watermark passes an instant, its timer folds it
-into the session and rewrites one interval's count. A last timer closes the session. Nothing is rewritten
-as a whole, so a long session costs no more per event than a short one.
+State per key: the running session (start, last instant, count), a map entry per distinct interval of it, and a list of the instants whose place in
+the order is still open. A batch appends its instants to the list and sets one timer, for the first of them. When the watermark passes an instant, the timer folds all
+instants behind it into the session at once; the intervals of a session that opens and closes among them never become state. The next
+timer is that of the first instant left or of the session's end. Only the instants ahead of the watermark are ever rewritten, so a long session costs no more per
+event than a short one, and a key's batch takes a few state calls however many events it has.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class IntervalSessions(StatefulProcessor):
         self.handle = handle
         self.running = handle.getValueState("running", "start long, last long, n long")
         self.intervals = handle.getMapState("intervals", "us long", "n long")
-        self.pending = handle.getMapState("pending", "us long", "n long")
+        self.pending = handle.getListState("pending", "us long, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new: dict[int, int] = {}
@@ -46,49 +47,69 @@ class IntervalSessions(StatefulProcessor):
                 new[us] = new.get(us, 0) + 1
         # instants before the last folded one are late: their place in the order is gone
         since = self.running.get()[1] if self.running.exists() else None
-        for us, n in new.items():
-            if since is None or us >= since:
-                held = self.pending.getValue((us,))[0] if self.pending.containsKey((us,)) else 0
-                self.pending.updateValue((us,), (held + n,))
-                self.handle.registerTimer(us // 1000 + 1)
+        kept = [(us, n) for us, n in new.items() if since is None or us >= since]
+        if kept:
+            self.pending.appendList(kept)
+            self._wake(min(us for us, _ in kept))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the first timer of a batch settles all that the watermark has passed; the others then find nothing left
+        # the first timer of a batch settles all that the watermark has passed; a second one finds nothing left
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        out = []
-        for us in sorted(k[0] for k in self.pending.keys() if k[0] <= mark):
-            n = self.pending.getValue((us,))[0]
-            self.pending.removeKey((us,))
-            start, last, count = self.running.get() if self.running.exists() else (us, None, 0)
-            if last is not None and us - last > self.gap:
-                out.append(self._close(key, start, last, count))
-                start, last, count = us, None, 0
-            self._count(0 if last is None else us - last, 1)
-            if n > 1:
-                self._count(0, n - 1)
-            self.running.update((start, us, count + n))
-        if self.running.exists():
-            start, last, count = self.running.get()
-            if last + self.gap <= mark:
-                out.append(self._close(key, start, last, count))
-            elif not list(self.pending.keys()):
-                self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        if out:
-            yield pd.concat(out)
-
-    def _count(self, interval: int, n: int) -> None:
-        held = self.intervals.getValue((interval,))[0] if self.intervals.containsKey((interval,)) else 0
-        self.intervals.updateValue((interval,), (held + n,))
-
-    def _close(self, key, start: int, last: int, count: int) -> pd.DataFrame:
-        met = [(k[0], v[0]) for k, v in self.intervals.iterator()]
-        mean, std, entropy = interval_statistics(np.array([m[0] for m in met], dtype=float), np.array([m[1] for m in met], dtype=float))
-        self.intervals.clear()
-        self.running.clear()
-        row = (*key, pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), count, mean, std, entropy)
-        names = [*self.keys, "session_start", "session_end", "click_count", "click_interval_mean", "click_interval_std", "click_interval_entropy"]
-        return pd.DataFrame([row], columns=names)
+        passed: dict[int, int] = {}
+        ahead = []
+        for us, n in self.pending.get():
+            if us <= mark:
+                passed[us] = passed.get(us, 0) + n
+            else:
+                ahead.append((us, n))
+        running = self.running.get() if self.running.exists() else None
+        found: dict[int, int] = {}
+        closed = []
+        # whether intervals of the running session lie in the state
+        stored = running is not None
+        for us in sorted(passed):
+            if running is not None and us - running[1] > self.gap:
+                closed.append(self._closed(key, running, found, stored))
+                running, found, stored = None, {}, False
+            start, last, count = running or (us, us, 0)
+            found[us - last] = found.get(us - last, 0) + 1
+            if passed[us] > 1:
+                found[0] = found.get(0, 0) + passed[us] - 1
+            running = (start, us, count + passed[us])
+        if running is not None and running[1] + self.gap <= mark:
+            closed.append(self._closed(key, running, found, stored))
+            running, found, stored = None, {}, False
+            self.running.clear()
+        if passed:
+            if ahead:
+                self.pending.put(ahead)
+            else:
+                self.pending.clear()
+            if running is not None:
+                self.running.update(running)
+                for interval, n in found.items():
+                    held = self.intervals.getValue((interval,))[0] if stored and self.intervals.containsKey((interval,)) else 0
+                    self.intervals.updateValue((interval,), (held + n,))
+        if ahead:
+            self._wake(min(us for us, _ in ahead))
+        if running is not None:
+            self._wake(running[1] + self.gap)
+        if closed:
+            out = pd.DataFrame(closed, columns=[*self.keys, "session_start", "session_end", "click_count", "click_interval_mean", "click_interval_std", "click_interval_entropy"])
+            yield out.assign(**{c: pd.to_datetime(out[c], unit="us") for c in ("session_start", "session_end")})
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def _closed(self, key, running: tuple[int, int, int], found: dict[int, int], stored: bool) -> tuple:
+        """The row of a session, of whose intervals some may lie in the state, which is emptied."""
+        if stored:
+            for (interval,), (n,) in self.intervals.iterator():
+                found[interval] = found.get(interval, 0) + n
+            self.intervals.clear()
+        met = np.array(sorted(found.items()), dtype=float)
+        return (*key, *running, *interval_statistics(met[:, 0], met[:, 1]))
 
     def close(self) -> None:
         pass

@@ -271,6 +271,62 @@ def test_scored_sessions_on_map_state(spark):
     assert one["bot_likelihood_score"] is not None
 
 
+class CountedState:
+    """A keyed state in memory that counts the calls of all states."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            if name == "exists":
+                return bool(self.held)
+            if name == "clear":
+                self.held = None
+            elif name == "appendList":
+                self.held = (self.held or []) + list(given[0])
+            elif name in ("put", "update"):
+                self.held = given[0]
+            elif name == "containsKey":
+                return given[0] in (self.held or {})
+            elif name == "getValue":
+                return self.held[given[0]]
+            elif name == "updateValue":
+                self.held = {**(self.held or {}), given[0]: given[1]}
+            elif name == "removeKey":
+                del self.held[given[0]]
+            elif name == "iterator":
+                return iter((self.held or {}).items())
+            elif name == "keys":
+                return iter(list(self.held or {}))
+            elif name == "get":
+                return iter(self.held or []) if isinstance(self.held, (list, type(None))) else self.held
+
+        return call
+
+
+def test_state_calls_follow_the_keys_not_their_events():
+    from types import SimpleNamespace
+
+    from sessionloom.streaming import scored
+
+    calls, minute = [], 60_000_000
+    state = lambda *_: CountedState(calls)
+    handle = SimpleNamespace(getValueState=state, getMapState=state, getListState=state, registerTimer=lambda ms: calls.append("registerTimer"))
+    one = scored.IntervalSessions(["ip"], 30 * minute)
+    one.init(handle)
+    # 300 sessions of two instants, an hour apart; the watermark passes all but the last 50
+    times = [h * 60 * minute + m * minute for h in range(1, 301) for m in (0, 10)]
+    assert not list(one.handleInputRows((7,), iter([pd.DataFrame({"us": times[::-1]})]), None))
+    mark = lambda h: SimpleNamespace(getCurrentWatermarkInMs=lambda: h * 3_600_000 - 1)
+    first = pd.concat(one.handleExpiredTimer((7,), mark(251), None))
+    rest = pd.concat(one.handleExpiredTimer((7,), mark(302), None))
+    both = pd.concat([first, rest])
+    assert (len(first), len(both)) == (250, 300) and set(both["click_count"]) == {2} and both["session_start"].is_monotonic_increasing
+    assert len(calls) < 30
+
+
 def test_thresholds_of_a_stream_stay_within_the_sketch_bound(spark):
     """Three batches of sessions; after each, the threshold's rank among all sessions so far is near 0.9."""
     from sessionloom.streaming import labels
